@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storystream.functions.topics import TOPICS
+from storystream.functions.vectors import dot, l2_normalize
+from storystream.operators.enrich import with_topic
+from storystream.operators.entities import extract_mentions
+from storystream.plans.listings import story_members
+from storystream.plans.maintenance import reclassify
 from storystream.schema import TITLE_LENGTH
 
 # Sentences added to the content so that every topic, a tie, plurals, phrases
@@ -98,3 +104,124 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedded_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).join(vectors(spark, sf_dir), "id")
+
+
+# One source row per (source, language), so names repeat; two carry a seed's name; suppliers
+# stand for sources without articles
+REPEATED_SOURCES = """
+SELECT min(doc_id) AS id,
+  CASE source WHEN 'src0' THEN 'TechCrunch' WHEN 'src1' THEN 'The Verge' ELSE source END AS name,
+  concat('https://', source, '.test/', lang) AS url
+FROM documents GROUP BY source, lang
+UNION ALL
+SELECT 1000000000 + s_suppkey AS id, concat('nation ', CAST(s_nationkey AS VARCHAR(20))) AS name,
+  concat('https://supplier.test/', CAST(s_suppkey AS VARCHAR(20))) AS url
+FROM supplier
+"""
+
+REPEATED_SOURCE_ARTICLES = """
+SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY source, lang) AS source_id,
+  concat('https://news.test/', md5(text)) AS url
+FROM documents
+"""
+
+# Fields of raw messages, some of them missing or broken
+RAW_FIELDS = """
+SELECT doc_id AS id, CASE WHEN doc_id % 17 = 5 THEN '' ELSE source END AS source,
+  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('https://', source, '.test/feed') END AS source_url,
+  CASE WHEN doc_id % 13 = 3 THEN NULL ELSE concat('  ', lang, ' title ', CAST(doc_id AS VARCHAR(20)), ' ') END AS title,
+  concat(' https://news.test/', md5(text), ' ') AS url,
+  CASE WHEN doc_id % 11 = 2 THEN 'yesterday' WHEN doc_id % 11 = 4 THEN NULL
+       ELSE concat('2024-01-', substr(CAST(doc_id % 28 + 101 AS VARCHAR(20)), 2), 'T10:11:12',
+                   CASE WHEN doc_id % 2 = 0 THEN 'Z' ELSE '+02:00' END) END AS published_at,
+  text AS content
+FROM documents
+"""
+
+# Mentions by two plain patterns, with their position in the article
+MENTION_PATTERNS = {"NAME": "[A-Z][a-z]+", "ADVERB": "[a-z]+ly"}
+MENTIONS_SQL = """
+SELECT id AS article_id, generate_subscripts(m, 1) - 1 AS position, unnest(m).name AS name, unnest(m).type AS type
+FROM (SELECT id, list_concat(
+    list_transform(regexp_extract_all(content, '[A-Z][a-z]+'), lambda x: {'name': x, 'type': 'NAME'}),
+    list_transform(regexp_extract_all(content, '[a-z]+ly'), lambda x: {'name': x, 'type': 'ADVERB'})) AS m
+  FROM articles_fx)
+"""
+
+# Memberships at a low and a high threshold: of three stories one stays whole, one falls into
+# halves and one loses an article
+COMPARED = """
+SELECT id AS article_id, CAST(floor(id / 6) AS BIGINT) AS low_story,
+  CAST(floor(id / 6) AS BIGINT) * 10 +
+  CASE CAST(floor(id / 6) AS BIGINT) % 3 WHEN 0 THEN 0 WHEN 1 THEN CAST(floor(id % 6 / 3) AS BIGINT)
+       ELSE CASE WHEN id % 6 = 5 THEN 1 ELSE 0 END END AS high_story
+FROM articles_fx
+"""
+
+
+def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    for name in tables:
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(sql, **tables)
+
+
+def repeated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(
+        spark,
+        REPEATED_SOURCES,
+        documents=table(spark, sf_dir, "documents"),
+        supplier=table(spark, sf_dir, "supplier"),
+    )
+
+
+def repeated_source_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, REPEATED_SOURCE_ARTICLES, documents=table(spark, sf_dir, "documents"))
+
+
+def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, RAW_FIELDS, documents=table(spark, sf_dir, "documents"))
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, COMPARED, articles_fx=articles(spark, sf_dir))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four neighbours make a story; the similarity is that to its first article."""
+    units = vectors(spark, sf_dir).select("id", l2_normalize(F.col("embedding")).alias("u"))
+    seeds = units.select(F.floor(F.col("id") / 4).alias("story_id"), F.col("u").alias("seed"), "id")
+    seeds = seeds.filter("id % 4 = 0").drop("id")
+    return (
+        units.withColumn("story_id", F.floor(F.col("id") / 4))
+        .join(seeds, "story_id")
+        .select(
+            "story_id",
+            F.col("id").alias("article_id"),
+            F.when(F.col("id") % 4 != 0, dot(F.col("u"), F.col("seed"))).alias("similarity"),
+        )
+    )
+
+
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).filter("id % 4 = 0").select(F.floor(F.col("id") / 4).alias("id"), "title")
+
+
+def joined_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classified = with_topic(topic_articles(spark, sf_dir))
+    return story_members(
+        stories(spark, sf_dir), members(spark, sf_dir), classified, sources(spark, sf_dir)
+    )
+
+
+def classified_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with the topic stored for them and the one they get now."""
+    stored = F.when(
+        F.col("id") % 9 < 8,
+        F.element_at(F.array(*[F.lit(t) for t in TOPICS]), (F.col("id") % 9 + 1).cast("int")),
+    )
+    return reclassify(topic_articles(spark, sf_dir).withColumn("topic", stored))
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = articles(spark, sf_dir).select("id", F.col("content").alias("text"))
+    return extract_mentions(texts, MENTION_PATTERNS)
