@@ -367,24 +367,42 @@ def merge_report(spark, sf_dir):
 
 
 def _feed_entries(spark, sf_dir):
-    """Feed documents of the articles, written as XML and read back."""
-    rows = fx.table(spark, sf_dir, "documents")
+    """RSS and Atom documents of the articles, written to a folder and read back.
+
+    A document holds the entries of one source and thousand ids between a first
+    and a last line; being a partition of the folder, it becomes one file.
+    """
     link = F.when(F.col("doc_id") % 9 > 0, F.concat(F.lit("https://news.test/"), F.md5("text"))).otherwise("")
-    date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "dd MMM yyyy HH:mm:ss")
+    moment = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
+    summary = F.concat(F.lit("&lt;p&gt;"), F.md5("text"), F.lit(" &amp;amp; "), "lang", F.lit("&lt;/p&gt;"))
+    title = F.concat("source", F.lit(" "), "doc_id")
     item = F.concat(
-        F.lit("<item><title> "), "source", F.lit(" "), "doc_id", F.lit("</title><link>"), link,
-        F.lit("</link><description>&lt;p&gt;"), F.md5("text"), F.lit(" &amp;amp; "), "lang",
-        F.lit("&lt;/p&gt;</description><pubDate>"), date, F.lit(" GMT</pubDate></item>"),
+        F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link><description>"), summary,
+        F.lit("</description><pubDate>"), F.date_format(moment, "E, dd MMM yyyy HH:mm:ss"),
+        F.lit(" GMT</pubDate></item>"),
     )
     entry = F.concat(
-        F.lit("<entry><title type='text'>"), "source", F.lit(" "), "doc_id",
-        F.lit("</title><link rel='alternate' href='"), link, F.lit("'/><summary type='html'>&lt;p&gt;"),
-        F.md5("text"), F.lit(" &amp;amp; "), "lang", F.lit("&lt;/p&gt;</summary><updated>"),
-        F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "yyyy-MM-dd'T'HH:mm:ss"),
-        F.lit("Z</updated></entry>"),
+        F.lit("<entry><title type='text'>"), title, F.lit("</title><link rel='alternate' href='"), link,
+        F.lit("'/><summary type='html'>"), summary, F.lit("</summary><updated>"),
+        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</updated></entry>"),
     )
+    rows = fx.table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 2).alias("kind"),
+        F.concat_ws("-", "source", F.floor(F.col("doc_id") / 1000), F.col("doc_id") % 2).alias("feed"),
+        F.col("doc_id").alias("line"),
+        F.when(F.col("doc_id") % 2 == 0, item).otherwise(entry).alias("value"),
+    )
+    documents = rows.select("kind", "feed").distinct()
+    atom = F.col("kind") == 1
+    first = F.when(atom, '<feed xmlns="http://www.w3.org/2005/Atom">').otherwise('<rss version="2.0"><channel>')
+    last = F.when(atom, "</feed>").otherwise("</channel></rss>")
+    lines = rows.unionByName(documents.withColumns({"line": F.lit(-1).cast("long"), "value": first})).unionByName(
+        documents.withColumns({"line": F.lit(2**62), "value": last})
+    )
     folder = new_table_path(spark, "feeds")
-    rows.select(F.when(F.col("doc_id") % 2 == 0, item).otherwise(entry)).write.text(folder)
+    lines.repartition("feed").sortWithinPartitions("feed", "line").select("feed", "value").write.partitionBy(
+        "feed"
+    ).text(folder)
     return feeds.read_feeds(spark, folder)
 
 

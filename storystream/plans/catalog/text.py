@@ -26,8 +26,7 @@ _MARKUP = (
 )
 _TEXT = f"regexp_replace(html, '{_MARKUP}', '', 'g')"
 for _entity, _character in x.COMMON_ENTITIES:
-    _character = _character.replace("'", "''")
-    _TEXT = f"replace({_TEXT}, '{_entity}', '{_character}')"
+    _TEXT = f"replace({_TEXT}, '{_entity}', chr({ord(_character)}))"
 
 
 @query("html_text", f"SELECT page_id AS id, {_TEXT} AS text FROM pages")
