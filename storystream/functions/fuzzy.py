@@ -1,8 +1,9 @@
 """Token-sort title similarity: 200 * LCS / (length a + length b) on sorted tokens.
 
-The longest common subsequence is computed for many pairs at once with the
-bit-parallel recurrence of Hyyrö (2004): one bit per character of the left
-title, one step per character of the right one, NumPy over the pairs.
+The longest common subsequence uses the bit-parallel recurrence of Hyyrö (2004):
+one bit per character of the left title, one step per character of the right
+one. Many left titles are packed side by side into one long integer, each with
+a spare bit that takes its carry, so a step serves all of them at once.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 
 from storystream.functions.text import WHITESPACE
 
-WORD = 63  # bits used per machine word; the last one takes the carry
-BAG_BUCKETS = 64
+# Bits packed into one integer: enough to outweigh the interpreter's cost per step
+PACK_BITS = 16_384
 
 
 def token_sort_key(title: Column) -> Column:
@@ -27,119 +28,92 @@ def token_sort_key(title: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(tokens, lambda token: token != "")), " ")
 
 
-class TitleBlock:
-    """Encoded titles of one task, with what the bounds and the LCS need."""
+class Titles:
+    """Code points of token-sorted titles."""
 
-    def __init__(self, titles: Sequence[str], alphabet: dict[str, int]):
-        self.codes = [
-            np.array([alphabet.setdefault(c, len(alphabet)) for c in t], dtype=np.int32) for t in titles
-        ]
+    def __init__(self, titles: Sequence[str]):
+        self.codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in titles]
         self.lengths = np.array([len(c) for c in self.codes], dtype=np.int64)
-        self.bags = np.zeros((len(self.codes), BAG_BUCKETS), dtype=np.int16)
-        for row, code in enumerate(self.codes):
-            self.bags[row] = np.bincount(code % BAG_BUCKETS, minlength=BAG_BUCKETS)
 
 
-def score_bound(left: TitleBlock, right: TitleBlock, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Upper bound of the score: an LCS is no larger than the common characters."""
-    total = left.lengths[i] + right.lengths[j]
-    common = np.minimum(left.bags[i], right.bags[j]).sum(axis=1, dtype=np.int64)
-    return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
+def score_bound(left: Titles, right: Titles, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bound of the score: an LCS is no longer than the shorter title."""
+    a, b = left.lengths[i], right.lengths[j]
+    return np.where(a + b == 0, 100.0, 200.0 * np.minimum(a, b) / np.maximum(a + b, 1))
 
 
-def scores(left: TitleBlock, right: TitleBlock, i: np.ndarray, j: np.ndarray, letters: int) -> np.ndarray:
-    """Exact scores of the pairs `(i, j)`; `letters` is the size of the shared alphabet."""
+def scores(left: Titles, right: Titles, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact scores of the pairs `(i, j)`."""
     total = left.lengths[i] + right.lengths[j]
     common = np.zeros(len(i), dtype=np.int64)
-    words = (left.lengths + WORD - 1) // WORD
-    for width in np.unique(words[i]):
-        if width == 0:
+    members, position = np.unique(i, return_inverse=True)
+    # Titles of like length share a pack, so that a right title that is too short
+    # or too long for some is so for the whole pack
+    order = np.argsort(left.lengths[members], kind="stable")
+    slots = left.lengths[members[order]] // 8 + 1
+    pack_of = np.empty(len(members), dtype=np.int64)
+    pack_of[order] = np.cumsum(slots * 8) // PACK_BITS
+    rank = np.empty(len(members), dtype=np.int64)
+    rank[order] = np.arange(len(members))
+
+    by_pack = np.lexsort((rank[position], j, pack_of[position]))
+    for pairs in np.split(by_pack, np.flatnonzero(np.diff(pack_of[position[by_pack]])) + 1):
+        if not len(pairs):
             continue
-        chosen = np.flatnonzero(words[i] == width)
-        # One NumPy step costs about as much as 32 steps on Python integers
-        compare = _lcs_integers if len(chosen) < 32 * width else _lcs_arrays
-        common[chosen] = compare(left, right, i[chosen], j[chosen], int(width), letters)
+        ranks = np.unique(rank[position[pairs]])
+        pack = _Pack([left.codes[title] for title in members[order[ranks]]])
+        slot = np.searchsorted(ranks, rank[position[pairs]])
+        for run in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(j[pairs])) + 1):
+            found = pack.common(right.codes[j[pairs[run[0]]]])
+            common[pairs[run]] = found[slot[run]]
     return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
 
 
-def _lcs_integers(left, right, i, j, width, letters):
-    """LCS lengths of few pairs, one Python integer as the bit vector of a title."""
-    masks: dict[int, dict[int, int]] = {}
-    steps: dict[int, list[int]] = {}
-    for title in set(i.tolist()):
-        mask = masks[title] = {}
-        for position, letter in enumerate(left.codes[title].tolist()):
-            mask[letter] = mask.get(letter, 0) | (1 << position)
-    for title in set(j.tolist()):
-        steps[title] = right.codes[title].tolist()
-    result = np.empty(len(i), dtype=np.int64)
-    for row, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        mask, size = masks[a], int(left.lengths[a])
-        full = (1 << size) - 1
-        v = full
-        for letter in steps[b]:
-            match = mask.get(letter)
-            if match:
-                u = v & match
-                v = ((v + u) | (v - u)) & full
-        result[row] = size - v.bit_count()
-    return result
-
-
-def _lcs_arrays(left, right, i, j, width, letters):
-    """LCS lengths of many pairs at once, one array element per pair and word."""
-    # Longest right title first: the pairs still running are always a prefix
-    order = np.argsort(-right.lengths[j], kind="stable")
-    lefts, rows = np.unique(i[order], return_inverse=True)
-    rights, columns = np.unique(j[order], return_inverse=True)
-    lengths = right.lengths[j[order]]
-    longest = int(lengths[0]) if len(lengths) else 0
-
-    steps = np.full((longest, len(rights)), letters, dtype=np.int32)
-    for column, title in enumerate(rights):
-        steps[: right.lengths[title], column] = right.codes[title]
-    masks = np.zeros((width, len(lefts), letters + 1), dtype=np.uint64)
-    for row, title in enumerate(lefts):
-        position = np.arange(left.lengths[title])
-        bits = np.uint64(1) << (position % WORD).astype(np.uint64)
-        np.bitwise_or.at(masks, (position // WORD, row, left.codes[title]), bits)
-
-    full = np.uint64((1 << WORD) - 1)
-    state = np.full((width, len(order)), full, dtype=np.uint64)
-    running = len(order)
-    for step in range(longest):
-        while lengths[running - 1] <= step:
-            running -= 1
-        letter = steps[step, columns[:running]]
-        carry = np.uint64(0)
-        for word in range(width):
-            v = state[word, :running]
-            match = masks[word, rows[:running], letter]
-            total = v + (v & match) + carry
-            carry = total >> np.uint64(WORD)
-            state[word, :running] = (total & full) | (v & ~match)
-    found = np.bitwise_count(~state & full).sum(axis=0, dtype=np.int64)
-    result = np.empty(len(order), dtype=np.int64)
-    result[order] = found
-    return result
+class _Pack:
+    """Left titles side by side in one integer, each in whole bytes with a spare bit."""
+
+    def __init__(self, codes: list[np.ndarray]):
+        lengths = np.array([len(c) for c in codes], dtype=np.int64)
+        slots = lengths // 8 + 1
+        self.starts = np.cumsum(slots) - slots
+        self.size = int(slots.sum())
+        letters = np.concatenate(codes) if len(codes) else np.empty(0, dtype=np.uint32)
+        inside = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        bits = np.repeat(self.starts * 8, lengths) + inside
+        self.full = self._integer(bits)
+        order = np.argsort(letters, kind="stable")
+        runs = np.split(order, np.flatnonzero(np.diff(letters[order])) + 1)
+        self.masks = {int(letters[run[0]]): self._integer(bits[run]) for run in runs if len(run)}
+
+    def _integer(self, bits: np.ndarray) -> int:
+        flags = np.zeros(self.size * 8, dtype=np.uint8)
+        flags[bits] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    def common(self, right: np.ndarray) -> np.ndarray:
+        """LCS length of every packed title with the right one."""
+        masks, full = self.masks, self.full
+        state = full
+        for letter in right.tolist():
+            mask = masks.get(letter)
+            if mask:
+                match = state & mask
+                state = ((state + match) | (state - match)) & full
+        cleared = np.frombuffer((state ^ full).to_bytes(self.size, "little"), dtype=np.uint8)
+        return np.add.reduceat(np.bitwise_count(cleared), self.starts, dtype=np.int64)
 
 
 def pair_scores(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     """Scores of titles pairwise by position, both already token-sorted."""
-    alphabet: dict[str, int] = {}
-    a, b = TitleBlock(left, alphabet), TitleBlock(right, alphabet)
-    position = np.arange(len(left))
-    return scores(a, b, position, position, len(alphabet))
+    a, b = Titles(left), Titles(right)
+    common = [int(_Pack([x]).common(y)[0]) if len(x) else 0 for x, y in zip(a.codes, b.codes)]
+    total = a.lengths + b.lengths
+    return np.where(total == 0, 100.0, 200.0 * np.array(common, dtype=np.int64) / np.maximum(total, 1))
 
 
 @F.pandas_udf(T.DoubleType())
 def _token_sort_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    size = 2000  # bounds the memory of the match masks
-    parts = [
-        pair_scores(left.iloc[at : at + size].tolist(), right.iloc[at : at + size].tolist())
-        for at in range(0, len(left), size)
-    ]
-    return pd.Series(np.concatenate(parts) if parts else np.empty(0))
+    return pd.Series(pair_scores(left, right))
 
 
 def token_sort_ratio(title_a: Column, title_b: Column) -> Column:

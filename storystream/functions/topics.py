@@ -37,11 +37,17 @@ EXTRA_FORMS = {
     "robot": ["robotic"],
 }
 
-# Text that must not follow a keyword ("Hacker News" is a site name)
-NOT_FOLLOWED_BY = {"hack": r"\s+news\b"}
+# Words that must not follow a keyword ("Hacker News" is a site name)
+NOT_FOLLOWED_BY = {"hack": ["news"]}
 
 TOPICS = list(TAXONOMY)
 
+# Word characters and whitespace as Python's `\b` and `\s` see them. ASCII comes first in the
+# class because almost every character is decided there.
+WORD = r"[a-z0-9_\p{L}\p{N}]"
+STARTS, ENDS = f"(?<!{WORD})", f"(?!{WORD})"
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
 
 def keyword_forms(keyword: str) -> list[str]:
     """Every spelling that counts as the keyword, words separated by one space."""
@@ -50,16 +56,17 @@ def keyword_forms(keyword: str) -> list[str]:
 
 def _alternatives(keyword: str, skip: int = 0) -> str:
     """The keyword's forms, without their first `skip` characters, as alternatives."""
-    return "|".join(re.escape(form[skip:]).replace(r"\ ", r"\s+") for form in keyword_forms(keyword))
+    return "|".join(re.escape(form[skip:]).replace(r"\ ", SPACE) for form in keyword_forms(keyword))
 
 
 def _guard(keyword: str) -> str:
-    return f"(?!{NOT_FOLLOWED_BY[keyword]})" if keyword in NOT_FOLLOWED_BY else ""
+    words = "|".join(NOT_FOLLOWED_BY.get(keyword, []))
+    return f"(?!{SPACE}(?:{words}){ENDS})" if words else ""
 
 
 def keyword_pattern(keyword: str) -> str:
     """Regular expression of one keyword as whole words, for `rlike` on lower-cased text."""
-    return rf"(?U)\b(?:{_alternatives(keyword)})\b{_guard(keyword)}"
+    return f"{STARTS}(?:{_alternatives(keyword)}){ENDS}{_guard(keyword)}"
 
 
 def taxonomy_pattern() -> str:
@@ -72,10 +79,10 @@ def taxonomy_pattern() -> str:
     """
     keywords = sorted(keyword for words in TAXONOMY.values() for keyword in words)
     groups = [
-        letter + "(?:" + "|".join(rf"(?:{_alternatives(k, 1)})\b{_guard(k)}" for k in same_letter) + ")"
+        letter + "(?:" + "|".join(f"(?:{_alternatives(k, 1)}){ENDS}{_guard(k)}" for k in same_letter) + ")"
         for letter, same_letter in groupby(keywords, key=lambda keyword: keyword[0])
     ]
-    return r"(?U)\b(?=(" + "|".join(groups) + "))"
+    return f"{STARTS}(?=({'|'.join(groups)}))"
 
 
 def _let(value: Column, body) -> Column:
@@ -85,15 +92,16 @@ def _let(value: Column, body) -> Column:
 
 def topic_hits(text: Column) -> Column:
     """Distinct `(topic, keyword)` pairs found in the text, each once."""
-    entries = []
-    for topic, keywords in TAXONOMY.items():
-        for keyword in keywords:
-            for form in keyword_forms(keyword):
-                entries += [F.lit(form), F.struct(F.lit(topic).alias("topic"), F.lit(keyword).alias("keyword"))]
-    keyword_of = F.create_map(*entries)
+    entries = ", ".join(
+        f"'{form}', named_struct('topic', '{topic}', 'keyword', '{keyword}')"
+        for topic, keywords in TAXONOMY.items()
+        for keyword in keywords
+        for form in keyword_forms(keyword)
+    )
+    keyword_of = F.expr(f"map({entries})")
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(taxonomy_pattern()), 1))
     return F.array_distinct(
-        F.transform(found, lambda form: F.element_at(keyword_of, F.regexp_replace(form, r"(?U)\s+", " ")))
+        F.transform(found, lambda form: F.element_at(keyword_of, F.regexp_replace(form, SPACE, " ")))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from storystream.functions.text import article_time
 from storystream.functions.vectors import is_usable, l2_normalize
 from storystream.operators.pairs import BLOCK_ROWS, matrix
-from storystream.operators.tiles import MICROS_PER_HOUR, TILE, micros, tiled
+from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros, tiled
 
 WINDOW_HOURS = 24
 CHUNK_ROWS = 2000
@@ -65,10 +65,7 @@ def nearest_stories(articles: DataFrame, stories: DataFrame, hours: int = WINDOW
     tiles = tiled(left, right, hours, [-1, 0, 1], CHUNK_ROWS)
     best = F.max(F.struct("similarity", (-F.col("story_id")).alias("minus_id"))).alias("best")
     return (
-        tiles[0]
-        .groupBy(*TILE)
-        .cogroup(tiles[1].groupBy(*TILE))
-        .applyInPandas(_closest_in_tile(hours), "article_id long, story_id long, similarity double")
+        in_tiles(*tiles, _closest_in_tile(hours), "article_id long, story_id long, similarity double")
         .groupBy("article_id")
         .agg(best)
         .select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storystream.functions.fuzzy import token_sort_ratio
 from storystream.functions.vectors import l2_normalize
-from storystream.operators.tiles import MICROS_PER_HOUR, TILE, micros, tiled
+from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros, tiled
 
 COSINE_THRESHOLD = 0.5
 WINDOW_HOURS = 6
@@ -54,11 +54,7 @@ def cosine_pairs(
         "id", micros(F.col("published_at")).alias("t"), l2_normalize(F.col("embedding")).alias("unit")
     )
     left, right = tiled(units, units, hours, [0, 1], CHUNK_ROWS)
-    return (
-        left.groupBy(*TILE)
-        .cogroup(right.groupBy(*TILE))
-        .applyInPandas(_pairs_in_tile(hours, threshold), "id_a long, id_b long, cosine double")
-    )
+    return in_tiles(left, right, _pairs_in_tile(hours, threshold), "id_a long, id_b long, cosine double")
 
 
 def with_titles(pairs: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:

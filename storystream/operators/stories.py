@@ -30,7 +30,7 @@ from storystream.functions.text import article_time
 from storystream.functions.vectors import is_usable, l2_normalize
 from storystream.operators.numbering import with_sequence
 from storystream.operators.pairs import matrix
-from storystream.operators.tiles import MICROS_PER_HOUR, micros
+from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros
 from storystream.session import materialize
 
 STORY_THRESHOLD = 0.6
@@ -292,9 +292,7 @@ def run_slices(
         empty = units.sparkSession.createDataFrame([], STATE_SCHEMA)
         near = empty if state is None else _near(state, articles, rules)
         output = materialize(
-            articles.groupBy(*GROUP)
-            .cogroup(near.groupBy(*GROUP))
-            .applyInPandas(_resolver(rules), OUTPUT_SCHEMA),
+            in_tiles(articles, near, _resolver(rules), OUTPUT_SCHEMA, GROUP),
             "slice-output",
         )
         outputs.append(output)
@@ -309,12 +307,8 @@ def _near(state: DataFrame, articles: DataFrame, rules: Rules) -> DataFrame:
     chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
     stories = state.withColumn("chunk", F.pmod(F.xxhash64("story"), F.lit(chunks)).cast("int"))
     keys = [*GROUP, "chunk"]
-    return (
-        articles.select("threshold", "session", "t", "unit", chunk)
-        .groupBy(*keys)
-        .cogroup(stories.groupBy(*keys))
-        .applyInPandas(_reachable(rules), STATE_SCHEMA)
-    )
+    copies = articles.select("threshold", "session", "t", "unit", chunk)
+    return in_tiles(copies, stories, _reachable(rules), STATE_SCHEMA, keys)
 
 
 def _next_state(

@@ -63,3 +63,18 @@ def tiled(
         .drop("chunks")
     )
     return left_tiles, right_tiles
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by the keys into as many partitions as shuffles have.
+
+    A tile's work is the product of its sides, so the adaptive merging of
+    partitions that are small in bytes would leave cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def in_tiles(left: DataFrame, right: DataFrame, fn, schema: str, keys: list[str] = TILE) -> DataFrame:
+    """Apply `fn` to both sides of every tile."""
+    grouped = spread(left, keys).groupBy(*keys)
+    return grouped.cogroup(spread(right, keys).groupBy(*keys)).applyInPandas(fn, schema)

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storystream.functions.fuzzy import TitleBlock, score_bound, scores, token_sort_key
-from storystream.operators.tiles import MICROS_PER_HOUR, TILE, micros, tiled
+from storystream.functions.fuzzy import Titles, score_bound, scores, token_sort_key
+from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros, tiled
+from storystream.session import materialize
 
 DUPLICATE_THRESHOLD = 65
 PAIR_THRESHOLD = 40
@@ -20,10 +21,10 @@ PAIR_BATCH = 200_000
 SECOND = 1_000_000
 
 
-def _keyed(articles: DataFrame) -> DataFrame:
+def _keyed(articles: DataFrame, *also: str) -> DataFrame:
     """Dated articles with their token-sorted title."""
     return articles.filter(F.col("published_at").isNotNull()).select(
-        "id", micros(F.col("published_at")).alias("t"), token_sort_key(F.col("title")).alias("key")
+        "id", micros(F.col("published_at")).alias("t"), token_sort_key(F.col("title")).alias("key"), *also
     )
 
 
@@ -92,28 +93,24 @@ def first_same_title(keyed: DataFrame, hours: int) -> DataFrame:
     return every.groupBy("key", "t").agg(F.min("found").alias("first_id"))
 
 
-class _Titles:
+class _TileTitles:
     """Titles of a tile, equal ones encoded and scored once."""
 
     def __init__(self, left: pd.Series, right: pd.Series):
         self.left_of, left_keys = pd.factorize(left)
         self.right_of, right_keys = pd.factorize(right)
-        alphabet: dict[str, int] = {}
-        self.left, self.right = TitleBlock(left_keys, alphabet), TitleBlock(right_keys, alphabet)
-        self.letters = len(alphabet)
+        self.left, self.right = Titles(left_keys), Titles(right_keys)
 
     def score(self, i: np.ndarray, j: np.ndarray, at_least: float) -> np.ndarray:
-        """Scores of the row pairs; 0 where a bound rules out `at_least`."""
-        a, b = self.left, self.right
+        """Scores of the row pairs; 0 where the lengths rule out `at_least`."""
+        width = len(self.right.lengths)
         distinct, back = np.unique(
-            self.left_of[i].astype(np.int64) * len(b.lengths) + self.right_of[j], return_inverse=True
+            self.left_of[i].astype(np.int64) * width + self.right_of[j], return_inverse=True
         )
-        li, rj = distinct // len(b.lengths), distinct % len(b.lengths)
-        shorter = 200.0 * np.minimum(a.lengths[li], b.lengths[rj])
-        keep = np.flatnonzero(shorter >= at_least * (a.lengths[li] + b.lengths[rj]))
-        keep = keep[score_bound(a, b, li[keep], rj[keep]) >= at_least]
+        a, b = distinct // width, distinct % width
+        keep = np.flatnonzero(score_bound(self.left, self.right, a, b) >= at_least)
         values = np.zeros(len(distinct))
-        values[keep] = scores(a, b, li[keep], rj[keep], self.letters)
+        values[keep] = scores(self.left, self.right, a[keep], b[keep])
         return values[back]
 
 
@@ -134,7 +131,7 @@ def _best_in_tile(hours: int, threshold: float):
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        titles = _Titles(left["key"], right["key"])
+        titles = _TileTitles(left["key"], right["key"])
         found = []
         for i, j in _window_pairs(left, right, width, lambda p: others[None, :] < ids[p, None]):
             score = titles.score(i, j, threshold)
@@ -165,12 +162,13 @@ def title_duplicates(
     are checked, against all rows.
     """
     checked = F.lit(True) if new is None else new
-    keyed = _keyed(articles)
-    first = first_same_title(keyed, hours)
-    ours = (
-        _keyed(articles.filter(checked))
-        .join(first, ["key", "t"], "left")
-        .withColumn("first_id", F.coalesce("first_id", "id"))
+    # Both tables are read several times and hold little more than the titles
+    keyed = materialize(_keyed(articles.withColumn("checked", checked), "checked"), "titles")
+    ours = materialize(
+        keyed.filter("checked")
+        .join(first_same_title(keyed, hours), ["key", "t"], "left")
+        .select("id", "t", "key", F.coalesce("first_id", "id").alias("first_id")),
+        "same-titles",
     )
     same = ours.filter("first_id < id").select(
         "id", F.col("first_id").alias("duplicate_of_id"), F.lit(100.0).alias("score")
@@ -184,9 +182,9 @@ def title_duplicates(
         CHUNK_ROWS,
     )
     similar = (
-        left.groupBy(*TILE)
-        .cogroup(right.groupBy(*TILE))
-        .applyInPandas(_best_in_tile(hours, threshold), "id long, duplicate_of_id long, score double")
+        in_tiles(
+            left, right, _best_in_tile(hours, threshold), "id long, duplicate_of_id long, score double"
+        )
         .groupBy("id")
         .agg(F.max(F.struct("score", (-F.col("duplicate_of_id")).alias("minus_id"))).alias("best"))
         .select("id", (-F.col("best.minus_id")).alias("duplicate_of_id"), F.col("best.score").alias("score"))
@@ -205,7 +203,7 @@ def _pairs_in_tile(hours: int, threshold: float):
             gap = times[None, :] - t[p, None]
             return (gap > 0) | ((gap == 0) & (others[None, :] > ids[p, None]))
 
-        titles = _Titles(left["key"], right["key"])
+        titles = _TileTitles(left["key"], right["key"])
         found = []
         for i, j in _window_pairs(left, right, width, later):
             score = titles.score(i, j, threshold)
@@ -223,10 +221,6 @@ def title_pairs(
     articles: DataFrame, hours: int = WINDOW_HOURS, threshold: float = PAIR_THRESHOLD
 ) -> DataFrame:
     """Pairs in time order, at most `hours` apart, whose titles score above the threshold."""
-    keyed = _keyed(articles)
+    keyed = materialize(_keyed(articles), "titles")
     left, right = tiled(keyed, keyed, hours, [0, 1], CHUNK_ROWS)
-    return (
-        left.groupBy(*TILE)
-        .cogroup(right.groupBy(*TILE))
-        .applyInPandas(_pairs_in_tile(hours, threshold), "id_a long, id_b long, score double")
-    )
+    return in_tiles(left, right, _pairs_in_tile(hours, threshold), "id_a long, id_b long, score double")

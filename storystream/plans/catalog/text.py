@@ -34,7 +34,10 @@ def html_text(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", x.html_text(F.col("content")).alias("text"))
 
 
-@query("clean_articles", f"SELECT page_id AS id, url, {_TEXT} AS content FROM pages")
+_ALL = f"replace(replace({_TEXT}, '&copy;', chr(169)), '&middot;', chr(183))"
+
+
+@query("clean_articles", f"SELECT page_id AS id, url, {_ALL} AS content FROM pages")
 def clean(spark, sf_dir):
     return clean_articles(_pages(spark, sf_dir))
 
