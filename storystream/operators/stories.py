@@ -399,11 +399,13 @@ def assign_stories(
     hours: int = WINDOW_HOURS,
     order: list[str] | None = None,
     slice_rows: int = SLICE_ROWS,
+    next_id: int | None = None,
 ) -> Assignment:
     """Put newly arrived articles into existing or new stories, in order of arrival.
 
     An article that already has a story keeps it and is reported as "existing".
-    `stories` needs id, centroid, article_count, first_at and newest_at.
+    `stories` needs id, centroid, article_count, first_at and newest_at, and may
+    leave out those too old to matter if `next_id` is given.
     """
     fresh = articles.join(members, articles["id"] == members["article_id"], "left_anti")
     existing = (
@@ -419,7 +421,8 @@ def assign_stories(
         micros(article_time(F.col("published_at"), F.col("created_at"))).alias("t"),
         l2_normalize(F.col("embedding")).alias("unit"),
     )
-    next_id = (stories.agg(F.max("id")).first()[0] or 0) + 1
+    if next_id is None:
+        next_id = (stories.agg(F.max("id")).first()[0] or 0) + 1
     state = stories.filter(F.col("centroid").isNotNull()).select(
         F.lit(float(threshold)).alias("threshold"),
         F.col("id").alias("story"),

@@ -20,6 +20,7 @@ from storystream.plans import maintenance
 from storystream.plans.catalog.registry import query
 from storystream.session import new_table_path
 from storystream.sources import feeds, messages
+from storystream.streaming import pipeline
 
 SWEEP_THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 
@@ -225,8 +226,36 @@ def raw_topic_scan(spark, sf_dir):
     """Messages written to a folder and read back in arrival order."""
     folder = new_table_path(spark, "raw-topic")
     messages.write_topic(messages.raw_messages(fx.raw_fields(spark, sf_dir)), "text", folder)
-    read = messages.decode_raw(messages.read_topic(spark, "text", stream=False, path=folder))
-    return read.select("payload.*")
+    topic = messages.read_topic(spark, "text", stream=False, path=folder)
+    return messages.decode_raw(messages.with_arrival(topic)).select("payload.*")
+
+
+@query(
+    "stream_articles",
+    f"""SELECT trim(title) AS title, trim(url) AS url, source AS source_name, count(*) OVER () AS articles
+        FROM ({_FIRST}) WHERE id = first_id""",
+)
+def stream_articles(spark, sf_dir):
+    """Messages streamed from a folder into the article tables in one run."""
+    topic, root, sent = (new_table_path(spark, label) for label in ("topic", "store", "processed"))
+    rows = fx.raw_fields(spark, sf_dir)
+    ordered = rows.orderBy("id").withColumn("content", F.md5("content"))
+    messages.write_topic(messages.raw_messages(ordered), "text", topic)
+    pipeline.start_ingest(
+        messages.read_topic(spark, "text", path=topic),
+        root,
+        f"{root}-checkpoint",
+        format="text",
+        path=sent,
+        trigger={"availableNow": True},
+    ).awaitTermination()
+    store = pipeline.Store(spark, root)
+    articles = store.read("articles")
+    names = store.read("sources").select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    total = articles.select(F.count("*").alias("articles"))
+    return articles.join(names, "source_id").select("title", "url", "source_name").withColumn(
+        "articles", total.scalar()
+    )
 
 
 # ---- entities

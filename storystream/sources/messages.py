@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storystream.schema import PROCESSED_MESSAGE, RAW_MESSAGE
+from storystream.session import materialize
 
 RAW_TOPIC = "news.raw"
 PROCESSED_TOPIC = "news.processed"
@@ -17,7 +18,7 @@ JSON_OPTIONS = {"ignoreNullFields": "false"}
 def read_topic(
     spark: SparkSession, format: str = "kafka", stream: bool = True, path: str | None = None, **options: str
 ) -> DataFrame:
-    """Messages as `value` text with `arrival`, their order.
+    """Messages as `value` text, and `place`, where in the topic they stand.
 
     For Kafka pass `subscribe` and the servers; reading starts at the earliest
     offset. For "text" pass the folder: one message per line, in order of file
@@ -27,19 +28,26 @@ def read_topic(
     if format == "kafka":
         options = {"startingOffsets": "earliest", "subscribe": RAW_TOPIC, **options}
         rows = reader.format("kafka").options(**options).load()
-        return rows.select(
-            F.col("value").cast("string").alias("value"),
-            F.struct("timestamp", "partition", "offset").alias("arrival"),
-        )
+        place = F.struct("timestamp", "partition", "offset")
+        return rows.select(F.col("value").cast("string").alias("value"), place.alias("place"))
     rows = reader.format(format).options(**options).load(path)
-    return rows.select(
-        "value",
-        F.struct(
-            F.col("_metadata.file_modification_time").alias("time"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("arrival"),
+    place = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    return rows.select("value", place.alias("place"))
+
+
+def with_arrival(messages: DataFrame) -> DataFrame:
+    """Add `arrival`, the order of the messages of one batch.
+
+    Lines of a file keep their order by row number; the numbers are written
+    down at once, as another read could give others.
+    """
+    numbered = messages.withColumn("line", F.monotonically_increasing_id())
+    return materialize(
+        numbered.select("value", F.struct("place.*", "line").alias("arrival")), "messages"
     )
 
 
