@@ -143,17 +143,22 @@ def parse_iso(value: Column) -> Column:
     )
 
 
+# The zone names of RFC 822; any other name counts as UTC
+RFC822_ZONES = {
+    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
 def parse_rfc822(value: Column) -> Column:
     """`Tue, 03 Sep 2024 10:11:12 GMT` and its variants; without a zone it is UTC."""
     bare = F.regexp_replace(F.trim(value), r"^[A-Za-z]+,?\s+(?=\d)", "")
     bare = F.regexp_replace(bare, r"\s+", " ")
     bare = F.regexp_replace(bare, r"^(\d{1,2} \w{3} \d{4} \d{2}:\d{2})( |$)", "$1:00$2")
-    bare = F.regexp_replace(bare, r" (?:GMT|UTC|UT|Z)$", " +0000")
-    return F.coalesce(
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss xx")),
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss")),
-    )
+    for zone, offset in RFC822_ZONES.items():
+        bare = F.regexp_replace(bare, f" {zone}$", f" {offset}")
+    bare = F.regexp_replace(bare, r"(:\d{2}:\d{2})(?: [A-Z]{1,5})?$", "$1 +0000")
+    return F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss xx"))
 
 
 def parse_published(*fields: Column) -> Column:

@@ -265,9 +265,14 @@ def run_slices(
     times = units.select("t")
     if stories is not None:
         times = times.unionByName(stories.select(F.col("newest_t").alias("t")))
-    sessions = with_sessions(units, times, rules.hours)
-    numbered = with_sequence(sessions, ["session", *order], "seq", first_story)
-    starts = numbered.groupBy("session").agg(F.min("seq").alias("start"))
+    if in_time_order:  # sessions follow each other in time, so one numbering serves both
+        numbered = with_sequence(
+            with_sessions(units, times, rules.hours), ["session", *order], "seq", first_story
+        ).withColumn("place", F.col("seq"))
+    else:
+        arrived = with_sequence(units, order, "seq", first_story)
+        numbered = with_sequence(with_sessions(arrived, times, rules.hours), ["session", "seq"], "place")
+    starts = numbered.groupBy("session").agg(F.min("place").alias("start"))
     sliced = materialize(
         numbered.join(starts, "session").select(
             "session",
@@ -275,7 +280,7 @@ def run_slices(
             "id",
             "t",
             "unit",
-            F.floor((F.col("seq") - F.col("start")) / slice_rows).cast("int").alias("slice"),
+            F.floor((F.col("place") - F.col("start")) / slice_rows).cast("int").alias("slice"),
         ),
         "slices",
         partition_by="slice",

@@ -27,7 +27,12 @@ SWEEP_THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 # Score of the pairs of a title window: character counts rule most pairs out; the rest get
 # their common subsequence from 60-bit words, one step per character of the second title
 _FULL = "1152921504606846975::UBIGINT"
-_TITLE_SCORES = rf"""
+_EARLIER = "b.t BETWEEN a.t - INTERVAL 6 HOUR AND a.t + INTERVAL 6 HOUR AND b.id < a.id"
+_LATER = "b.t BETWEEN a.t AND a.t + INTERVAL 6 HOUR AND (b.t > a.t OR b.id > a.id)"
+
+
+def _title_scores(near: str, threshold: int) -> str:
+    return rf"""
 WITH keys_fx AS (SELECT id, published_at AS t, array_to_string(list_sort(list_filter(
         regexp_split_to_array(title, '\s+'), lambda w: w <> '')), ' ') AS s
       FROM articles_fx WHERE published_at IS NOT NULL),
@@ -35,10 +40,10 @@ WITH keys_fx AS (SELECT id, published_at AS t, array_to_string(list_sort(list_fi
       FROM keys_fx),
   counts AS (SELECT id, c, count(*) AS n FROM letters GROUP BY ALL),
   near AS (SELECT a.id AS a, b.id AS b, length(a.s) AS la, length(b.s) AS lb, a.s = b.s AS same
-      FROM keys_fx a JOIN keys_fx b ON b.t BETWEEN a.t - INTERVAL 6 HOUR AND a.t + INTERVAL 6 HOUR AND b.id < a.id
-      WHERE 200 * least(length(a.s), length(b.s)) >= 65 * (length(a.s) + length(b.s))),
+      FROM keys_fx a JOIN keys_fx b ON {near}
+      WHERE 200 * least(length(a.s), length(b.s)) >= {threshold} * (length(a.s) + length(b.s))),
   bounded AS (SELECT a, b FROM near JOIN counts x ON x.id = a JOIN counts y ON y.id = b AND y.c = x.c
-      WHERE NOT same GROUP BY a, b, la, lb HAVING 200 * sum(least(x.n, y.n)) >= 65 * (la + lb)),
+      WHERE NOT same GROUP BY a, b, la, lb HAVING 200 * sum(least(x.n, y.n)) >= {threshold} * (la + lb)),
   words AS (SELECT id, c, p // 60 AS w, CAST(sum(1::UBIGINT << CAST(p % 60 AS UBIGINT)) AS UBIGINT) AS m
       FROM letters GROUP BY ALL),
   masks AS (SELECT id, map_from_entries(list((c, ms))) AS pm, any_value(nw) AS nw FROM (
@@ -62,7 +67,7 @@ WITH keys_fx AS (SELECT id, published_at AS t, array_to_string(list_sort(list_fi
 
 @query(
     "title_dedup",
-    _TITLE_SCORES
+    _title_scores(_EARLIER, 65)
     + """SELECT a AS id, arg_max(b, (score, -b)) AS duplicate_of_id, round(max(score), 6) AS score
          FROM scored WHERE score >= 65 GROUP BY a""",
 )
@@ -71,9 +76,13 @@ def title_dedup(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("title_pairs")
+@query(
+    "title_pairs",
+    _title_scores(_LATER, 40) + "SELECT a AS id_a, b AS id_b, round(score, 6) AS score FROM scored WHERE score > 40",
+)
 def pairs_by_title(spark, sf_dir):
-    return title_pairs(fx.articles(spark, sf_dir)).orderBy(F.col("score").desc(), "id_a", "id_b")
+    pairs = title_pairs(fx.articles(spark, sf_dir))
+    return pairs.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "id_a", "id_b")
 
 
 _COSINES = """SELECT a.id AS id_a, b.id AS id_b, list_dot_product(u.u, w.u) AS cosine
@@ -108,13 +117,64 @@ def pair_match_count(spark, sf_dir):
 # ---- stories
 
 
-@query("backfill_stories")
+def _walk(thresholds: list[float], order: str, articles: str = "true", max_age: str = "true") -> str:
+    """Stories by one recursive step per article, for several thresholds (tau) side by side.
+
+    A step holds the states of the stories that are still within reach (an hour
+    more than the window, for articles that come a little late).
+    """
+    return f"""
+WITH RECURSIVE ordered_fx AS (
+  SELECT a.id, epoch_us(coalesce(a.published_at, a.created_at)) AS t, u.u, row_number() OVER (ORDER BY {order}) AS step
+  FROM articles_fx a JOIN units_fx u ON u.id = a.id WHERE {articles}),
+walk AS (
+  SELECT unnest({thresholds})::DOUBLE AS tau, 0::BIGINT AS step, 0::BIGINT AS story, NULL::DOUBLE[] AS s,
+    NULL::BIGINT AS first, NULL::BIGINT AS newest, 0::BIGINT AS n, 0::BIGINT AS stories, NULL::BIGINT AS id,
+    NULL::DOUBLE AS similarity, false AS hit
+  UNION ALL
+  SELECT tau, step, CASE WHEN new THEN stories + 1 ELSE story END,
+    CASE WHEN new THEN u WHEN joins THEN list_transform(list_zip(s, u), lambda z: z[1] + z[2]) ELSE s END,
+    CASE WHEN new THEN t WHEN joins THEN least(first, t) ELSE first END,
+    CASE WHEN new THEN t WHEN joins THEN greatest(newest, t) ELSE newest END,
+    CASE WHEN new THEN 1 WHEN joins THEN n + 1 ELSE n END, stories + CAST(starts AS BIGINT), id,
+    CASE WHEN joins THEN sim END, new OR joins
+  FROM (SELECT *, rank = 1 AND NOT starts AS joins,
+          unnest(CASE WHEN rank = 1 AND starts THEN [false, true] ELSE [false] END) AS new
+    FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY sim DESC NULLS LAST, story) AS rank,
+            coalesce(max(sim) OVER (PARTITION BY tau), -2) < tau AS starts
+      FROM (SELECT w.tau, o.step, o.id, o.t, o.u, w.story, w.s, w.first, w.newest, w.n, w.stories,
+              CASE WHEN abs(o.t - w.newest) <= 86400000000 AND {max_age}
+                THEN list_dot_product(w.s, o.u) / sqrt(list_dot_product(w.s, w.s)) END AS sim
+            FROM walk w JOIN ordered_fx o ON o.step = w.step + 1)))
+  WHERE new OR joins OR t - newest <= 90000000000)
+"""
+
+
+_IN_TIME = "coalesce(a.published_at, a.created_at), a.id"
+_STATUS = "CASE WHEN similarity IS NULL THEN 'created' ELSE 'joined' END"
+_SIZES = """SELECT tau AS threshold, count(*) AS stories, count(*) FILTER (size = 1) AS size_1,
+    count(*) FILTER (size > 1) AS size_2_plus, max(size) AS largest
+  FROM (SELECT tau, story, count(*) AS size FROM walk WHERE hit GROUP BY ALL) GROUP BY tau"""
+
+
+@query(
+    "backfill_stories",
+    _walk([0.6], _IN_TIME)
+    + f"""SELECT id AS article_id, story AS story_id, round(similarity, 9) AS similarity, {_STATUS} AS status
+          FROM walk WHERE hit""",
+)
 def backfill(spark, sf_dir):
     members = backfill_stories(fx.embedded_articles(spark, sf_dir)).members
     return members.select("article_id", "story_id", F.round("similarity", 9).alias("similarity"), "status")
 
 
-@query("backfill_centroids")
+@query(
+    "backfill_centroids",
+    _walk([0.6], _IN_TIME)
+    + """SELECT story AS story_id, min(id) FILTER (similarity IS NULL) AS seed_id, max(n) AS article_count,
+           round(arg_max(list_dot_product(s, s) / (n * n), n), 9) AS square
+         FROM walk WHERE hit GROUP BY story""",
+)
 def backfill_centroids(spark, sf_dir):
     """Stories of a backfill with the length of their mean vector."""
     stories = backfill_stories(fx.embedded_articles(spark, sf_dir)).stories
@@ -126,7 +186,16 @@ def backfill_centroids(spark, sf_dir):
     )
 
 
-@query("assign_stories")
+_OLD = "a.id < (SELECT floor(avg(id)) FROM articles_fx)"
+
+
+@query(
+    "assign_stories",
+    _walk([0.6], f"NOT ({_OLD}), CASE WHEN {_OLD} THEN coalesce(a.published_at, a.created_at) END, a.id")
+    + f"""SELECT a.id AS article_id, story AS story_id, round(similarity, 9) AS similarity,
+            CASE WHEN {_OLD} THEN 'existing' ELSE {_STATUS} END AS status
+          FROM walk a WHERE hit""",
+)
 def assign(spark, sf_dir):
     """Later articles put, in order of arrival, into the stories of earlier ones."""
     articles = fx.embedded_articles(spark, sf_dir)
@@ -145,14 +214,17 @@ def assign(spark, sf_dir):
     return found.select("article_id", "story_id", F.round("similarity", 9).alias("similarity"), "status")
 
 
-@query("threshold_sweep")
+@query("threshold_sweep", _walk(SWEEP_THRESHOLDS, _IN_TIME, "a.published_at IS NOT NULL") + _SIZES)
 def sweep(spark, sf_dir):
     members = threshold_sweep(fx.embedded_articles(spark, sf_dir), SWEEP_THRESHOLDS)
     sizes = members.groupBy("threshold", "story").agg(F.count("*").alias("size"))
     return cluster_size_report(sizes, ["threshold"]).orderBy("threshold")
 
 
-@query("threshold_sweep_max_age")
+@query(
+    "threshold_sweep_max_age",
+    _walk(SWEEP_THRESHOLDS, _IN_TIME, "a.published_at IS NOT NULL", "w.newest - w.first <= 900000000") + _SIZES,
+)
 def sweep_max_age(spark, sf_dir):
     members = threshold_sweep(fx.embedded_articles(spark, sf_dir), SWEEP_THRESHOLDS, max_age_hours=0.25)
     sizes = members.groupBy("threshold", "story").agg(F.count("*").alias("size"))

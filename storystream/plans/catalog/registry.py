@@ -118,8 +118,9 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql
     views = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in needed)
-    if sql.lstrip().startswith("WITH "):
-        return f"WITH {views},\n{sql.lstrip()[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(start):
+            return f"{start}{views},\n{sql.lstrip()[len(start):]}"
     return f"WITH {views}\n{sql}"
 
 
