@@ -48,7 +48,10 @@ def first_url_wins(rows: DataFrame, known: DataFrame | None = None) -> DataFrame
     """
     first = rows.groupBy("url").agg(F.min("arrival").alias("arrival"))
     if known is not None:
-        first = first.join(known.select("url"), "url", "left_anti")
+        # The large table is first cut down to the urls at hand, which is a broadcast of
+        # those urls when they are few, and only then subtracted
+        repeated = known.select("url").join(first.select("url"), "url", "left_semi")
+        first = first.join(repeated, "url", "left_anti")
     return rows.join(first.select("arrival"), "arrival", "left_semi")
 
 

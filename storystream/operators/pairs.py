@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storystream.functions.fuzzy import token_sort_ratio
 from storystream.functions.vectors import l2_normalize
 from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros, tiled
+from storystream.session import materialize
 
 COSINE_THRESHOLD = 0.5
 WINDOW_HOURS = 6
@@ -22,26 +23,51 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, 0))
 
 
+def _matches(left: pd.DataFrame, right: pd.DataFrame, width: int, threshold: float):
+    """Row numbers and cosines of a tile's matching pairs, a block of left rows at a time."""
+    t, times = left["t"].to_numpy(), right["t"].to_numpy()
+    ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+    a, b = matrix(left["unit"]), matrix(right["unit"])
+    for at in range(0, len(left) if len(right) else 0, BLOCK_ROWS):
+        part = slice(at, at + BLOCK_ROWS)
+        gap = times[None, :] - t[part, None]
+        later = (gap > 0) | ((gap == 0) & (others[None, :] > ids[part, None]))
+        cosine = a[part] @ b.T
+        i, j = np.nonzero(later & (gap <= width) & (cosine >= threshold))
+        yield i + at, j, cosine[i, j]
+
+
 def _pairs_in_tile(hours: int, threshold: float):
     width = hours * MICROS_PER_HOUR
 
     def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        t, times = left["t"].to_numpy(), right["t"].to_numpy()
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        a, b = matrix(left["unit"]), matrix(right["unit"])
-        found = []
-        for at in range(0, len(left), BLOCK_ROWS):
-            part = slice(at, at + BLOCK_ROWS)
-            gap = times[None, :] - t[part, None]
-            later = (gap > 0) | ((gap == 0) & (others[None, :] > ids[part, None]))
-            cosine = a[part] @ b.T
-            i, j = np.nonzero(later & (gap <= width) & (cosine >= threshold))
-            found.append(pd.DataFrame({"id_a": ids[part][i], "id_b": others[j], "cosine": cosine[i, j]}))
-        return pd.concat(found)
+        found = [
+            pd.DataFrame({"id_a": ids[i], "id_b": others[j], "cosine": cosine})
+            for i, j, cosine in _matches(left, right, width, threshold)
+        ]
+        return pd.concat(found) if found else pd.DataFrame({"id_a": [], "id_b": [], "cosine": []})
 
     return pairs
 
 
+def _count_in_tile(hours: int, threshold: float):
+    width = hours * MICROS_PER_HOUR
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [sum(len(i) for i, _, _ in _matches(left, right, width, threshold))]})
+
+    return count
+
+
+def _tiles(articles: DataFrame, hours: int) -> tuple[DataFrame, DataFrame]:
+    units = articles.filter(F.col("published_at").isNotNull() & F.col("embedding").isNotNull()).select(
+        "id", micros(F.col("published_at")).alias("t"), l2_normalize(F.col("embedding")).alias("unit")
+    )
+    units = materialize(units, "units")
+    return tiled(units, units, hours, [0, 1], CHUNK_ROWS)
+
+
 def cosine_pairs(
     articles: DataFrame, hours: int = WINDOW_HOURS, threshold: float = COSINE_THRESHOLD
 ) -> DataFrame:
@@ -50,11 +76,16 @@ def cosine_pairs(
     Only dated articles with an embedding take part. The products of a tile are
     one matrix multiplication; only pairs that pass leave the task.
     """
-    units = articles.filter(F.col("published_at").isNotNull() & F.col("embedding").isNotNull()).select(
-        "id", micros(F.col("published_at")).alias("t"), l2_normalize(F.col("embedding")).alias("unit")
-    )
-    left, right = tiled(units, units, hours, [0, 1], CHUNK_ROWS)
-    return in_tiles(left, right, _pairs_in_tile(hours, threshold), "id_a long, id_b long, cosine double")
+    tiles = _tiles(articles, hours)
+    return in_tiles(*tiles, _pairs_in_tile(hours, threshold), "id_a long, id_b long, cosine double")
+
+
+def cosine_pair_count(
+    articles: DataFrame, hours: int = WINDOW_HOURS, threshold: float = COSINE_THRESHOLD
+) -> DataFrame:
+    """How many pairs `cosine_pairs` has, counted inside the tiles."""
+    counts = in_tiles(*_tiles(articles, hours), _count_in_tile(hours, threshold), "n long")
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
 
 def with_titles(pairs: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:

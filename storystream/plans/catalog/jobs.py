@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storystream.functions.fuzzy import token_sort_ratio
 from storystream.functions.topics import TOPICS
+from storystream.functions.vectors import norm
 from storystream.operators import ingest
-from storystream.operators.entities import link_entities
-from storystream.operators.pairs import cosine_pairs, with_titles
+from storystream.operators.enrich import with_embeddings
+from storystream.operators.entities import link_entities, mention_counts
+from storystream.operators.pairs import cosine_pair_count, cosine_pairs, with_titles
 from storystream.operators.stories import (
     assign_stories,
     backfill_stories,
@@ -25,8 +28,8 @@ from storystream.streaming import pipeline
 SWEEP_THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 
 # Score of the pairs of a title window: character counts rule most pairs out; the rest get
-# their common subsequence from 60-bit words, one step per character of the second title
-_FULL = "1152921504606846975::UBIGINT"
+# their common subsequence from 120-bit words, one step per character of the second title
+_FULL = f"{2**120 - 1}::HUGEINT"
 _EARLIER = "b.t BETWEEN a.t - INTERVAL 6 HOUR AND a.t + INTERVAL 6 HOUR AND b.id < a.id"
 _LATER = "b.t BETWEEN a.t AND a.t + INTERVAL 6 HOUR AND (b.t > a.t OR b.id > a.id)"
 
@@ -44,23 +47,23 @@ WITH keys_fx AS (SELECT id, published_at AS t, array_to_string(list_sort(list_fi
       WHERE 200 * least(length(a.s), length(b.s)) >= {threshold} * (length(a.s) + length(b.s))),
   bounded AS (SELECT a, b FROM near JOIN counts x ON x.id = a JOIN counts y ON y.id = b AND y.c = x.c
       WHERE NOT same GROUP BY a, b, la, lb HAVING 200 * sum(least(x.n, y.n)) >= {threshold} * (la + lb)),
-  words AS (SELECT id, c, p // 60 AS w, CAST(sum(1::UBIGINT << CAST(p % 60 AS UBIGINT)) AS UBIGINT) AS m
+  words AS (SELECT id, c, p // 120 AS w, CAST(sum(1::HUGEINT << CAST(p % 120 AS HUGEINT)) AS HUGEINT) AS m
       FROM letters GROUP BY ALL),
   masks AS (SELECT id, map_from_entries(list((c, ms))) AS pm, any_value(nw) AS nw FROM (
-      SELECT k.id, k.c, any_value(k.nw) AS nw, list(coalesce(m.m, 0::UBIGINT) ORDER BY k.w) AS ms
+      SELECT k.id, k.c, any_value(k.nw) AS nw, list(coalesce(m.m, 0::HUGEINT) ORDER BY k.w) AS ms
       FROM (SELECT c.id, c.c, n.nw, unnest(range(n.nw)) AS w FROM (SELECT DISTINCT id, c FROM letters) c
-            JOIN (SELECT id, max(p) // 60 + 1 AS nw FROM letters GROUP BY id) n ON n.id = c.id) k
+            JOIN (SELECT id, max(p) // 120 + 1 AS nw FROM letters GROUP BY id) n ON n.id = c.id) k
       LEFT JOIN words m ON m.id = k.id AND m.c = k.c AND m.w = k.w GROUP BY k.id, k.c) GROUP BY id),
   bits AS (SELECT a, b, list_reduce(list_transform(string_split(k.s, ''), lambda c: pm[c]),
       lambda v, m: CASE WHEN m IS NULL THEN v ELSE
         list_reduce(list_transform(list_zip(v, m), lambda z: [z[1], z[2]]),
-          lambda u, z: list_append([(z[1] + (z[1] & z[2]) + u[1]) >> 60] || u[2:],
+          lambda u, z: list_append([(z[1] + (z[1] & z[2]) + u[1]) >> 120] || u[2:],
             ((z[1] + (z[1] & z[2]) + u[1]) & {_FULL}) | (z[1] & ({_FULL} - z[2]))),
-          [0::UBIGINT])[2:] END,
+          [0::HUGEINT])[2:] END,
       list_transform(range(nw), lambda i: {_FULL})) AS v
       FROM bounded JOIN masks x ON x.id = a JOIN keys_fx k ON k.id = b),
   scored AS (SELECT a, b, 100.0::DOUBLE AS score FROM near WHERE same
-      UNION ALL SELECT n.a, n.b, 200.0::DOUBLE * list_sum(list_transform(v, lambda z: 60 - bit_count(z))) / (la + lb)
+      UNION ALL SELECT n.a, n.b, 200.0::DOUBLE * list_sum(list_transform(v, lambda z: 120 - bit_count(z))) / (la + lb)
       FROM bits JOIN near n ON n.a = bits.a AND n.b = bits.b)
 """
 
@@ -85,6 +88,21 @@ def pairs_by_title(spark, sf_dir):
     return pairs.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "id_a", "id_b")
 
 
+@query(
+    "token_sort_ratio",
+    _title_scores("b.id = a.id + 4", 0)
+    + """SELECT n.a AS id, round(coalesce(s.score, 0), 6) AS score
+         FROM near n LEFT JOIN scored s ON s.a = n.a AND s.b = n.b""",
+)
+def title_ratio(spark, sf_dir):
+    """Score of every dated title against the one four ids on."""
+    titles = fx.articles(spark, sf_dir).filter(F.col("published_at").isNotNull()).select("id", "title")
+    later = titles.select((F.col("id") - 4).alias("id"), F.col("title").alias("other"))
+    return titles.join(later, "id").select(
+        "id", F.round(token_sort_ratio(F.col("title"), F.col("other")), 6).alias("score")
+    )
+
+
 _COSINES = """SELECT a.id AS id_a, b.id AS id_b, list_dot_product(u.u, w.u) AS cosine
   FROM articles_fx a JOIN articles_fx b ON (b.published_at > a.published_at
       OR (b.published_at = a.published_at AND b.id > a.id)) AND b.published_at <= a.published_at + INTERVAL 6 HOUR
@@ -111,7 +129,7 @@ def pairs_by_cosine(spark, sf_dir):
 
 @query("pair_match_count", f"SELECT count(*) AS pairs FROM ({_COSINES}) WHERE cosine >= 0.5")
 def pair_match_count(spark, sf_dir):
-    return cosine_pairs(fx.embedded_articles(spark, sf_dir)).agg(F.count("*").alias("pairs"))
+    return cosine_pair_count(fx.embedded_articles(spark, sf_dir))
 
 
 # ---- stories
@@ -572,10 +590,6 @@ def seed_sources(spark, sf_dir):
        FROM articles_fx a JOIN topics_fx t ON t.id = a.id LEFT JOIN vectors_fx v ON v.id = a.id""",
 )
 def enrich_article(spark, sf_dir):
-    from storystream.functions.vectors import norm
-    from storystream.operators.entities import mention_counts
-    from storystream.operators.enrich import with_embeddings
-
     found = mention_counts(fx.mentions(spark, sf_dir)).withColumnRenamed("article_id", "id")
     enriched = with_embeddings(fx.with_topic(fx.topic_articles(spark, sf_dir)), fx.vectors(spark, sf_dir))
     return enriched.join(found, "id", "left").select(

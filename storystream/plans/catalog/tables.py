@@ -203,20 +203,13 @@ def story_timeline(spark, sf_dir):
 
 @query(
     "story_detail",
-    """SELECT s.*, j.article_id, j.article_title, round(j.similarity, 9) AS similarity,
-         row_number() OVER (ORDER BY j.article_time, j.article_id) - 1 AS position
+    """SELECT s.* EXCLUDE (id, title), s.id AS story_id, s.title AS story_title, j.article_id, j.article_title,
+         j.url, j.source_name, j.published_at, j.created_at, round(j.similarity, 9) AS similarity, j.article_time
        FROM summaries_fx s JOIN joined_fx j ON j.story_id = s.id WHERE s.id = 7""",
 )
 def story_detail(spark, sf_dir):
     detail = _joined_names(listings.story_detail(fx.joined_members(spark, sf_dir), 7))
-    rows = detail.select("*", F.posexplode("articles").alias("position", "a")).drop("articles")
-    return rows.select(
-        *[c for c in rows.columns if c not in ("a", "position")],
-        F.col("position").cast("long").alias("position"),
-        F.col("a.id").alias("article_id"),
-        F.col("a.title").alias("article_title"),
-        F.round("a.similarity", 9).alias("similarity"),
-    )
+    return detail.withColumn("similarity", F.round("similarity", 9))
 
 
 @query("story_by_id", "SELECT * FROM summaries_fx WHERE id = 7")

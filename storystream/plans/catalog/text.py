@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storystream.functions import text as x
-from storystream.functions.fuzzy import token_sort_key, token_sort_ratio
+from storystream.functions.fuzzy import token_sort_key
 from storystream.functions.topics import TAXONOMY, TOPICS, keyword_forms, keyword_pattern, topic_scores
 from storystream.functions.vectors import cosine, l2_normalize, norm
 from storystream.plans import fixtures as fx
@@ -132,16 +132,6 @@ def sorted_titles(spark, sf_dir):
     return fx.articles(spark, sf_dir).select("id", token_sort_key(F.col("title")).alias("key"))
 
 
-@query("token_sort_ratio")
-def ratio(spark, sf_dir):
-    """Score of every title against the title four ids on."""
-    titles = fx.articles(spark, sf_dir).select("id", "title")
-    later = titles.select((F.col("id") - 4).alias("id"), F.col("title").alias("other"))
-    return titles.join(later, "id").select(
-        "id", F.round(token_sort_ratio(F.col("title"), F.col("other")), 6).alias("score")
-    )
-
-
 @query(
     "parse_published",
     """

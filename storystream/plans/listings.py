@@ -159,22 +159,17 @@ def story_timeline(joined: DataFrame, story_id: int | None = None) -> DataFrame:
 
 
 def story_detail(joined: DataFrame, story_id: int) -> DataFrame:
-    """One story's summary with its members in time order; no row if there is none."""
+    """One story's summary beside each of its members, in time order; no row if there is none.
+
+    Members stay rows: a story may be too large for one nested value.
+    """
     one = joined.filter(F.col("story_id") == story_id)
-    article = F.struct(
-        "article_time",
-        F.col("article_id").alias("id"),
-        F.col("article_title").alias("title"),
-        "url",
-        "source_name",
-        "published_at",
-        "created_at",
-        "similarity",
-    )
-    articles = one.groupBy(F.col("story_id").alias("id")).agg(
-        F.array_sort(F.collect_list(article)).alias("articles")
+    summary = story_summaries(one).withColumnsRenamed({"id": "story_id", "title": "story_title"})
+    return (
+        summary.join(story_timeline(one), "story_id")
+        .withColumnsRenamed({"id": "article_id", "title": "article_title"})
+        .orderBy("article_time", "article_id")
     )
-    return story_summaries(one).join(articles, "id")
 
 
 def stories_by_size(members: DataFrame, at_least: int = 2) -> DataFrame:

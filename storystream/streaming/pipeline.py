@@ -101,9 +101,15 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
     article without a usable embedding gets no story but keeps the rest.
     """
     models = models or Models()
-    named = messages.decode_processed(batch)
-    found, missing = enrich.processed_articles(named, store.read("articles"))
-    done = store.read("enrichments", number).select(F.col("article_id").alias("id"))
+    named = materialize(messages.decode_processed(batch), "named")
+    ids = named.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+
+    def in_range(table: str, column: str, before: int | None = None) -> DataFrame:
+        """Ids grow from batch to batch, so a range of them reads few files of a table."""
+        return store.read(table, before).filter(F.col(column).between(ids["lo"], ids["hi"]))
+
+    found, missing = enrich.processed_articles(named, in_range("articles", "id"))
+    done = in_range("enrichments", "article_id", number).select(F.col("article_id").alias("id"))
     articles = enrich.with_topic(found)
     if models.make_encoder:
         articles = enrich.embed_articles(articles, models.make_encoder)
@@ -120,22 +126,20 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
         number,
     )
     mentions = materialize(enrich.mentions(articles, models.make_extractor), "mentions")
-    links = store.read("article_entities", number)
+    links = in_range("article_entities", "article_id", number)
     new, linked = entities.link_entities(mentions, store.read("entities", number), links)
     store.write("entities", new, number)
     store.write("article_entities", linked, number)
     store.write("missing", missing, number)
-    _assign(store, articles, number, models)
+    _assign(store, articles, in_range("story_articles", "article_id", number), number, models)
 
 
-def _assign(store: Store, articles: DataFrame, number: int, models: Models) -> None:
+def _assign(store: Store, articles: DataFrame, near: DataFrame, number: int, models: Models) -> None:
     oldest = articles.agg(F.min(article_time(F.col("published_at"), F.col("created_at")))).first()[0]
     since = F.lit(oldest) - F.make_dt_interval(hours=F.lit(stories.WINDOW_HOURS))
     known = store.stories(number, since)
     next_id = (store.read("stories", number).agg(F.max("id")).first()[0] or 0) + 1
-    members = store.read("story_articles", number).join(
-        articles.select(F.col("id").alias("article_id")), "article_id", "left_semi"
-    )
+    members = near.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
     found = stories.assign_stories(articles, known, members, models.threshold, next_id=next_id)
     store.write(
         "story_articles",
