@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from storystream.functions.text import entity_key
 from storystream.operators.numbering import with_sequence
+from storystream.session import materialize
 
 MENTIONS = "article_id long, position int, name string, type string"
 
@@ -66,8 +67,16 @@ def link_entities(
     Names that differ only in case are one entity per type and keep the first
     spelling seen. `entities` and `links` are what is known already.
     """
-    seen = mentions.groupBy(entity_key(F.col("name")).alias("key"), "type").agg(
-        F.min(F.struct("article_id", "position", "name")).alias("first")
+    # One row per article and entity, combined before the shuffle and written down: what
+    # follows reads it twice, and taking mentions out of text is the costly part
+    pairs = materialize(
+        mentions.groupBy("article_id", entity_key(F.col("name")).alias("key"), "type").agg(
+            F.min(F.struct("position", "name")).alias("first")
+        ),
+        "mention-pairs",
+    )
+    seen = pairs.groupBy("key", "type").agg(
+        F.min(F.struct("article_id", "first.position", "first.name")).alias("first")
     )
     known = entities.groupBy(entity_key(F.col("name")).alias("key"), "type").agg(F.min("id").alias("known_id"))
     keyed = seen.join(known, ["key", "type"], "left")
@@ -85,9 +94,7 @@ def link_entities(
         .select("key", "type", F.col("known_id").alias("entity_id"))
         .unionByName(new.select("key", "type", F.col("id").alias("entity_id")))
     )
-    # A key that fills a third of the mentions is reduced to one row per article first;
-    # what is left of its skew is split by the adaptive join
-    pairs = mentions.select("article_id", entity_key(F.col("name")).alias("key"), "type").distinct()
+    # The skew of a key that most articles mention is split by the adaptive join
     linked = pairs.join(ids, ["key", "type"]).select("article_id", "entity_id")
     if links is not None:
         linked = linked.join(links, ["article_id", "entity_id"], "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storystream.functions.text import article_time
 from storystream.functions.topics import UNCATEGORIZED
+from storystream.session import materialize
 
 ARTICLE_LIMIT = 50
 ARTICLE_LIMIT_MAX = 200
@@ -113,8 +114,12 @@ def min_articles(summaries: DataFrame, at_least: int = 1) -> DataFrame:
 def list_stories(
     summaries: DataFrame, limit: int = STORY_LIMIT, offset: int = 0, at_least: int = 1
 ) -> DataFrame:
-    """A page of stories, latest first, each row with the total over all pages."""
-    kept = min_articles(summaries, at_least)
+    """A page of stories, latest first, each row with the total over all pages.
+
+    The page and the total read the same summaries, which are written down so
+    that the members are joined and summed once.
+    """
+    kept = materialize(min_articles(summaries, at_least), "summaries")
     total = kept.select(F.count("*").alias("total"))
     return (
         kept.orderBy(F.col("latest_article_at").desc(), F.col("id").desc())
@@ -126,7 +131,7 @@ def list_stories(
 
 def story_page(summaries: DataFrame, limit: int = STORY_LIMIT, offset: int = 0, at_least: int = 1) -> DataFrame:
     """The page as one row: total, limit, offset, items; past the end, items are empty."""
-    kept = min_articles(summaries, at_least)
+    kept = materialize(min_articles(summaries, at_least), "summaries")
     limit = min(limit, STORY_LIMIT_MAX)
     total = kept.select(F.count("*").alias("total"))
     page = kept.orderBy(F.col("latest_article_at").desc(), F.col("id").desc()).offset(offset).limit(limit)
