@@ -17,6 +17,7 @@ from storystream.operators.entities import extract_mentions
 from storystream.plans.listings import story_members
 from storystream.plans.maintenance import reclassify
 from storystream.schema import TITLE_LENGTH
+from storystream.session import spread_input
 
 # Sentences added to the content so that every topic, a tie, plurals, phrases
 # and the "hacker news" exception occur
@@ -56,8 +57,13 @@ FROM documents
 """
 
 
+# Tables of long texts, by their key: the work on them is worth spreading
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_input(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,12 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_input(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of fewer partitions than cores, such as one small file, over all cores.
+
+    Larger inputs, which have work for every core as they are, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
