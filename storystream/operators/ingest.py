@@ -117,7 +117,8 @@ def ingest_articles(
         (F.min("published_at") - F.make_dt_interval(hours=F.lit(hours))).alias("lo"),
         (F.max("published_at") + F.make_dt_interval(hours=F.lit(hours))).alias("hi"),
     ).first()
-    candidates = articles.select(*columns).filter(F.col("published_at").between(span["lo"], span["hi"]))
+    lo, hi = (F.lit(span[end]).cast("timestamp") for end in ("lo", "hi"))
+    candidates = articles.select(*columns).filter(F.col("published_at").between(lo, hi))
     duplicates = title_duplicates(
         candidates.unionByName(inserted.select(*columns)), hours, threshold, F.col("id") >= next_id
     )

@@ -436,7 +436,11 @@ def update_topic(spark, sf_dir):
     return maintenance.update_topic(fx.classified_articles(spark, sf_dir)).select("id", "topic")
 
 
-@query("changed_sample")
+@query(
+    "changed_sample",
+    """SELECT c.id, a.title, c.topic, c.new_topic FROM classified_fx c JOIN articles_fx a ON a.id = c.id
+       WHERE c.topic IS DISTINCT FROM c.new_topic ORDER BY md5(concat('42-', c.id)), c.id LIMIT 20""",
+)
 def changed_sample(spark, sf_dir):
     return maintenance.changed_sample(fx.classified_articles(spark, sf_dir))
 

@@ -52,7 +52,8 @@ def update_topic(classified: DataFrame) -> DataFrame:
 def changed_sample(classified: DataFrame, size: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED) -> DataFrame:
     """A reproducible sample of the changed articles, in id order."""
     drawn = changed_topics(classified).select("id", "title", "topic", "new_topic")
-    return drawn.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size).orderBy("id")
+    draw = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("id").cast("string")))
+    return drawn.orderBy(draw, "id").limit(size).orderBy("id")
 
 
 def clean_articles(articles: DataFrame, to_text=html_text_full) -> DataFrame:

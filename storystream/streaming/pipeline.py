@@ -106,7 +106,8 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
 
     def in_range(table: str, column: str, before: int | None = None) -> DataFrame:
         """Ids grow from batch to batch, so a range of them reads few files of a table."""
-        return store.read(table, before).filter(F.col(column).between(ids["lo"], ids["hi"]))
+        lo, hi = (F.lit(ids[end]).cast("long") for end in ("lo", "hi"))
+        return store.read(table, before).filter(F.col(column).between(lo, hi))
 
     found, missing = enrich.processed_articles(named, in_range("articles", "id"))
     done = in_range("enrichments", "article_id", number).select(F.col("article_id").alias("id"))
@@ -136,7 +137,7 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
 
 def _assign(store: Store, articles: DataFrame, near: DataFrame, number: int, models: Models) -> None:
     oldest = articles.agg(F.min(article_time(F.col("published_at"), F.col("created_at")))).first()[0]
-    since = F.lit(oldest) - F.make_dt_interval(hours=F.lit(stories.WINDOW_HOURS))
+    since = F.lit(oldest).cast("timestamp") - F.make_dt_interval(hours=F.lit(stories.WINDOW_HOURS))
     known = store.stories(number, since)
     next_id = (store.read("stories", number).agg(F.max("id")).first()[0] or 0) + 1
     members = near.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")

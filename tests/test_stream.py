@@ -153,3 +153,14 @@ def test_missing_article_is_reported(spark, tmp_path):
     sent = spark.createDataFrame([("k", '{"id": 99, "url": "u"}')], "key string, value string")
     enrich_batch(store, sent, 0)
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/missing").collect()] == [99]
+
+
+def test_batch_without_articles(spark, tmp_path):
+    """Only rejects, then nothing to enrich."""
+    store = Store(spark, str(tmp_path / "store"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('nonsense\n{"source": "s"}')
+    sent = ingest_batch(store, messages.read_topic(spark, "text", stream=False, path=str(tmp_path / "in")), 0)
+    enrich_batch(store, sent, 0)
+    assert store.read("articles").count() == store.stories().count() == 0
+    assert spark.read.parquet(f"{store.root}/quarantine").count() == 2
