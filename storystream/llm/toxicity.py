@@ -37,6 +37,8 @@ THRESHOLD = 0.7
 LEAST_DOCUMENTS = 5
 #: ... and its smoothed log-odds of toxic against clean documents reach this
 LEAST_LOG_ODDS = 3.0
+#: Log-odds at which a learned word weighs as much as a listed one
+FULL_LOG_ODDS = 5.0
 STEM_LENGTHS = (4, 5, 6)
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = "ITGNRQ_"
@@ -240,7 +242,8 @@ def _learn_insults(train: DataFrame) -> tuple[dict[str, tuple[str, float]], dict
         # A stem says more than its words only if no single word makes up most of it
         if not shorter and whole < 0.8 * in_toxic[f"{stem}*"]:
             stems.add(stem)
-    return {w: (INSULT, 1.0) for w in words}, {s: 1.0 for s in stems}
+    weight = lambda feature: min(1.0, odds(feature) / FULL_LOG_ODDS)
+    return {w: (INSULT, weight(w)) for w in words}, {s: weight(f"{s}*") for s in stems}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> DataFrame:
