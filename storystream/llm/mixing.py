@@ -153,18 +153,18 @@ def _choose(docs: DataFrame, weights: dict, budget: float, epochs: int, seed: in
     before = Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     reached = materialize(
         sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .where("_start <= _limit")
+        .where("_start < _limit")
         .select(*leaf, "_range", "_start"),
         "mix-ranges",
     )
-    rows = docs.select(*_rows(docs), F.struct(docs.columns).alias("_doc")) if whole else narrow
+    rows = docs.select(*_rows(docs), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")) if whole else narrow
     within = Window.partitionBy(*leaf, "_range").orderBy("_order", "doc_id", "text_hash")
     earlier = within.rowsBetween(Window.unboundedPreceding, -1)
     return (
         _place(rows, per_leaf, epochs, seed)
         .join(reached, [*leaf, "_range"])
         .withColumn("_here", F.col("_start") + F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
-        .where("_here + tokens <= _rest")
+        .where("_here < _rest")
     )
 
 
@@ -178,10 +178,10 @@ def mix(
     """Rows (doc_id, epoch, domain, lang, source, tokens, position, allotted), one per use of a document.
 
     `position` is the number of tokens that the leaf takes before the row; a row
-    is taken while its last token lies within the leaf's budget, so a leaf stays
-    below its budget by less than one document. Null lang and source count as
-    'unknown'. Null and empty texts have no tokens: they are taken while the
-    budget reaches their place. Rows equal in id and text are uses of their own,
+    is taken if its first token lies within the leaf's budget, so a leaf exceeds
+    its budget by less than one document, and one with any budget is not empty.
+    Null lang and source count as 'unknown'. Null and empty texts have no tokens:
+    they are taken if their place lies before the budget's end. Rows equal in id and text are uses of their own,
     in any order. Other columns are ignored; an empty table gives no rows.
     """
     return _choose(docs, weights, budget, epochs, seed, False).select(

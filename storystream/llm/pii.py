@@ -249,8 +249,11 @@ def sanitise(docs: DataFrame, remove: float = REMOVE, **options) -> DataFrame:
         f" IF(s.kind < 4, {names}[least(s.kind, 3)], IF(s.disclosed >= {remove}, '', concat(left(s.value, 1), '.')))),"
         " 'at', s.end)), acc -> concat(acc.text, substring(text, CAST(acc.at + 1 AS INT))))"
     )
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text"
+    )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     cleaned = F.when(F.col("text").isNull(), None).otherwise(F.expr(text))
-    return docs.join(found, same, "left").select(
-        *(cleaned.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns)
+    return rows.join(found, same, "left").select(
+        *((cleaned if c == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns)
     )

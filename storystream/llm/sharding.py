@@ -134,11 +134,13 @@ def shard(
     stay in one shard, in any order. Columns of `docs` that have these names
     already are replaced. An empty table gives an empty result.
     """
-    plain = docs.drop(*names)
-    keyed = plain.withColumn("_shard_key", key_of(F.col(id_column), F.col(text_column)))
-    narrow = materialize(
-        keyed.select(F.col("_shard_key").alias("key"), size_of(F.col(text_column)).alias("size")), "shard-keys"
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    keyed = docs.select(
+        F.struct(*kept).alias("doc"),
+        key_of(F.col(id_column), F.col(text_column)).alias("key"),
+        size_of(F.col(text_column)).alias("size"),
     )
+    narrow = materialize(keyed.select("key", "size"), "shard-keys")
     known = measure(narrow, shards, tolerance, probes)
     cuts = [known.splitter(known.total[0] * s / shards)[0] for s in range(1, shards)]
     cuts = sorted(k for k in cuts if k is not None)
@@ -159,10 +161,13 @@ def shard(
         block = np.searchsorted(edges, values.to_numpy().astype("S32"), side="right")
         return pd.DataFrame({"block": block.astype(np.int32), "shard": owners[block], "first": slots[block]})
 
-    placed = keyed.withColumn("_place", place("_shard_key"))
-    order = Window.partitionBy("_place.block").orderBy("_shard_key")
-    return placed.withColumn("_row", F.row_number().over(order)).select(
-        *(F.col(f"`{c}`") for c in plain.columns),
-        F.col("_place.shard").alias(names[0]),
-        (F.col("_place.first") + F.col("_row") - 1).alias(names[1]),
+    order = Window.partitionBy("place.block").orderBy("key")
+    return (
+        keyed.withColumn("place", place("key"))
+        .withColumn("row", F.row_number().over(order))
+        .select(
+            "doc.*",
+            F.col("place.shard").alias(names[0]),
+            (F.col("place.first") + F.col("row") - 1).alias(names[1]),
+        )
     )
