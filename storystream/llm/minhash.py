@@ -237,19 +237,25 @@ def near_duplicates(
     )
     classes = materialize(classes.where("first_id IS NOT NULL"), "classes")
 
-    banded = classes.select("key", "n", "first_id", F.explode("bands").alias("bucket"))
+    # Band rows are narrow: a class goes by 64 bits of its key, and is looked up again where a band is shared.
+    # The member whose number is least after a twist by the bucket is the hub, so that every band has another
+    number = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint")
+    numbered = classes.withColumn("number", number)
+    banded = numbered.select("number", F.explode("bands").alias("bucket"))
     buckets = (
         banded.groupBy("bucket")
         .agg(
             F.count("*").alias("members"),
-            F.min(F.struct(F.xxhash64("key", "bucket"), "key", "n")).alias("hub"),
+            F.min(F.col("number").bitwiseXOR(F.col("bucket"))).alias("least"),
         )
         .where("members > 1")
+        .select("bucket", "members", F.col("least").bitwiseXOR(F.col("bucket")).alias("hub_number"))
     )
+    who = numbered.select("number", "key", "n", "first_id")
+    hubs = numbered.select(F.col("number").alias("hub_number"), F.col("key").alias("hub"), F.col("n").alias("hub_n"))
     shared = materialize(
-        banded.join(buckets, "bucket").select(
-            "bucket", "members", "key", "n", "first_id",
-            F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"),
+        banded.join(buckets, "bucket").join(who, "number").join(hubs, "hub_number").select(
+            "bucket", "members", "key", "n", "first_id", "hub", "hub_n"
         ),
         "shared",
     )
@@ -262,7 +268,7 @@ def near_duplicates(
     wanted = shared.groupBy("first_id").agg(F.lit(1).alias("_"))
     sets = materialize(
         map_slices(
-            rows.join(wanted, F.col("doc_id") == F.col("first_id"), "left_semi").select("text"),
+            rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("first_id"), "left_semi").select("text"),
             _sets(width), "key binary, elements binary",
         ).dropDuplicates(["key"]),
         "sets",
