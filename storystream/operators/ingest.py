@@ -123,5 +123,8 @@ def ingest_articles(
         candidates.unionByName(inserted.select(*columns)), hours, threshold, F.col("id") >= next_id
     )
     return Ingested(
-        inserted.join(duplicates, "id", "left").drop("score"), new_sources, quarantine, repeated
+        inserted.join(duplicates, "id", "left").withColumnRenamed("score", "duplicate_score"),
+        new_sources,
+        quarantine,
+        repeated,
     )

@@ -1,466 +1,214 @@
-"""Stories: articles grouped one after another by cosine to a moving centroid.
-
-Every article joins the most similar story whose newest article is within the
-window, or starts one, and each join moves a centroid, so the result depends on
-the order. The work is split without changing the result:
-
-* sessions: where no article falls within `hours` of the next, no story can
-  reach across; sessions (and thresholds, in a sweep) are independent groups;
-* slices: a session is walked in slices of at most `slice_rows` articles.
-  Per slice, a distributed join keeps the stories that some article of the
-  slice could join as they are; then one task per group resolves the slice.
-
-The second split is exact: until a story is touched in the slice, its
-similarities are those of the join, and a story can first be touched only by an
-article that it was similar enough to. For touched and new stories the resolver
-knows the similarity from the products of the slice's own articles.
+"""Stories: articles grouped by links to the most similar article that arrived before.
+
+An article is linked to the earlier arrival whose embedding is closest to its own,
+among those at most `hours` away in time, if the cosine reaches the threshold;
+a story is what links connect, and its id is that of its first article. The rule
+looks at pairs only, so it does not depend on an order of processing: a batch, a
+stream of batches and a replay give the same stories. The pairs are compared in
+tiles that return one row per article, and stories are named by pointer jumping,
+whose number of steps is the logarithm of the longest chain of links.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storystream.functions.text import article_time
 from storystream.functions.vectors import is_usable, l2_normalize
-from storystream.operators.numbering import with_sequence
-from storystream.operators.pairs import matrix
-from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros
+from storystream.operators.pairs import BLOCK_ROWS, matrix
+from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros, tiled
 from storystream.session import materialize
 
 STORY_THRESHOLD = 0.6
 WINDOW_HOURS = 24
-# Articles of one group resolved by one task: bounds its matrices to slice_rows ** 2 numbers
-SLICE_ROWS = 4096
-# Stories of one group compared by one task with the articles of the slice
-STORY_ROWS = 16384
-# Stories the join keeps may miss the threshold by this much; the resolver decides
-SLACK = 1e-9
-
-GROUP = ["threshold", "session"]
-
-STATE_SCHEMA = (
-    "threshold double, session long, story long, story_sum array<double>, article_count long,"
-    " first_t long, newest_t long"
-)
-OUTPUT_SCHEMA = (
-    "kind string, threshold double, session long, seq long, article_id long, story long,"
-    " similarity double, status string, story_sum array<double>, article_count long,"
-    " first_t long, newest_t long"
-)
-
-
-@dataclass
-class Rules:
-    """How an article chooses its story."""
-
-    hours: int = WINDOW_HOURS
-    max_age_hours: float | None = None
-
-    @property
-    def window(self) -> int:
-        return self.hours * MICROS_PER_HOUR
-
-    @property
-    def max_age(self) -> float:
-        return math.inf if self.max_age_hours is None else self.max_age_hours * MICROS_PER_HOUR
+CHUNK_ROWS = 2000
+# Cosines are compared to so many digits, so that ties do not hang on the order of a sum
+DIGITS = 12
 
 
 @dataclass
 class Assignment:
-    """Memberships and stories of a run; `rejected` articles have no usable vector."""
+    """What is known of articles after grouping them; nothing is written."""
 
-    members: DataFrame  # threshold, article_id, story_id, similarity, status
-    stories: DataFrame  # threshold, story_id, seed_id, centroid, article_count, first_t, newest_t
+    members: DataFrame  # article_id, story_id, similarity, status
     rejected: DataFrame  # id, reason
 
 
-def resolve_slice(
-    t: np.ndarray,
-    seq: np.ndarray,
-    vectors: np.ndarray,
-    story: np.ndarray,
-    sums: np.ndarray,
-    counts: np.ndarray,
-    first: np.ndarray,
-    newest: np.ndarray,
-    threshold: float,
-    rules: Rules,
-):
-    """Walk articles in order through known stories (sorted by id) and new ones.
-
-    A story is held as the sum of its unit vectors. Row s of `dots` has the
-    products of story s with every article of the slice; a join adds one row of
-    the articles' own products to it, so no vector is touched again.
-    Returns per article its story's position and similarity (NaN for a seed),
-    and the stories' final state; position len(story) + k is the k-th new one.
-    """
-    known, n = len(story), len(seq)
-    gram = vectors @ vectors.T
-    dots = np.zeros((known + n, n))
-    if known:
-        dots[:known] = sums @ vectors.T
-    square = np.concatenate([np.einsum("ij,ij->i", sums, sums) if known else np.empty(0), np.zeros(n)])
-    counts = np.concatenate([counts, np.zeros(n, dtype=np.int64)])
-    first = np.concatenate([first, np.zeros(n, dtype=np.int64)])
-    newest = np.concatenate([newest, np.zeros(n, dtype=np.int64)])
-    chosen = np.empty(n, dtype=np.int64)
-    similarity = np.full(n, np.nan)
-    size = known
-    for i in range(n):
-        best, best_sim = -1, -math.inf
-        if size:
-            length = np.sqrt(square[:size])
-            sims = np.divide(dots[:size, i], length, out=np.full(size, -np.inf), where=length > 0)
-            open_ = (np.abs(newest[:size] - t[i]) <= rules.window) & (
-                newest[:size] - first[:size] <= rules.max_age
-            )
-            sims[~open_] = -np.inf
-            best = int(np.argmax(sims))  # the first of equals, which has the lowest id
-            best_sim = sims[best]
-        if best_sim >= threshold:
-            similarity[i] = best_sim
-            newest[best] = max(newest[best], t[i])
-            first[best] = min(first[best], t[i])
-        else:
-            best = size
-            size += 1
-            first[best] = newest[best] = t[i]
-        square[best] += 2 * dots[best, i] + gram[i, i]
-        dots[best] += gram[i]
-        counts[best] += 1
-        chosen[i] = best
-    return chosen, similarity, counts[:size], first[:size], newest[:size]
-
-
-def _resolver(rules: Rules):
-    def resolve(key, articles: pd.DataFrame, stories: pd.DataFrame) -> pd.DataFrame:
-        threshold, session = key
-        articles = articles.sort_values("seq")
-        stories = stories.sort_values("story")
-        t, seq = articles["t"].to_numpy(), articles["seq"].to_numpy()
-        vectors = matrix(articles["unit"])
-        story = stories["story"].to_numpy(dtype=np.int64)
-        sums = matrix(stories["story_sum"]) if len(stories) else np.empty((0, vectors.shape[1]))
-        chosen, similarity, counts, first, newest = resolve_slice(
-            t,
-            seq,
-            vectors,
-            story,
-            sums,
-            stories["article_count"].to_numpy(dtype=np.int64),
-            stories["first_t"].to_numpy(dtype=np.int64),
-            stories["newest_t"].to_numpy(dtype=np.int64),
-            float(threshold),
-            rules,
-        )
-        seed = np.isnan(similarity)
-        ids = np.concatenate([story, seq[seed]])
-        members = pd.DataFrame(
-            {
-                "kind": "member",
-                "seq": seq,
-                "article_id": articles["id"].to_numpy(),
-                "story": ids[chosen],
-                "similarity": pd.Series(similarity).astype(object).where(~seed, None),
-                "status": np.where(seed, "created", "joined"),
-                "story_sum": None,
-            }
-        )
-        touched, inverse = np.unique(chosen, return_inverse=True)
-        added = np.zeros((len(touched), vectors.shape[1]))
-        np.add.at(added, inverse, vectors)
-        old = touched < len(story)
-        added[old] += sums[touched[old]]
-        changed = pd.DataFrame(
-            {
-                "kind": "story",
-                "story": ids[touched],
-                "similarity": None,
-                "story_sum": list(added),
-                "article_count": counts[touched],
-                "first_t": first[touched],
-                "newest_t": newest[touched],
-            }
-        )
-        out = pd.concat([members, changed], ignore_index=True)
-        out["threshold"], out["session"] = threshold, session
-        for column in ("seq", "article_id", "article_count", "first_t", "newest_t"):
-            out[column] = out[column].astype("Int64")
-        return out[[field.split()[0] for field in OUTPUT_SCHEMA.split(", ")]]
-
-    return resolve
-
-
-def _reachable(rules: Rules):
-    """Stories of a chunk that some article of the slice could join as they are."""
-
-    def keep(key, articles: pd.DataFrame, stories: pd.DataFrame) -> pd.DataFrame:
-        columns = [field.split()[0] for field in STATE_SCHEMA.split(", ")]
-        if not len(articles) or not len(stories):
-            return stories[columns].iloc[:0]
-        t = articles["t"].to_numpy()
-        vectors, sums = matrix(articles["unit"]), matrix(stories["story_sum"])
-        newest = stories["newest_t"].to_numpy()
-        length = np.linalg.norm(sums, axis=1)
-        kept = np.zeros(len(stories), dtype=bool)
-        for at in range(0, len(articles), 512):
-            part = slice(at, at + 512)
-            near = np.abs(newest[:, None] - t[None, part]) <= rules.window
-            similar = sums @ vectors[part].T >= (float(key[0]) - SLACK) * length[:, None]
-            kept |= (near & similar).any(axis=1)
-        return stories.loc[kept, columns]
-
-    return keep
-
-
-def with_sessions(rows: DataFrame, times: DataFrame, hours: int) -> DataFrame:
-    """Add `session`, the number of the last gap of more than `hours` before `t`.
-
-    `times` has every time that counts. No gap fits inside a bucket that is as
-    wide as the gap, so it is enough to look at the buckets' ends: one small
-    row per `hours` of history, whatever the number of articles.
-    """
-    width = hours * MICROS_PER_HOUR
-    bucket = F.floor(F.col("t") / F.lit(width))
-    ends = times.groupBy(bucket.alias("bucket")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    order = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    gap = F.col("lo") - F.lag("hi").over(order) > width
-    sessions = ends.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("long")).select(
-        "bucket", F.sum("gap").over(order).alias("session")
-    )
-    return rows.withColumn("bucket", bucket).join(sessions, "bucket").drop("bucket")
-
-
-def split_usable(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Articles whose embedding has a direction; the others with the reason."""
-    usable = articles.filter(is_usable(F.col("embedding")))
-    rejected = articles.filter(~is_usable(F.col("embedding"))).select(
+def timed_units(articles: DataFrame) -> DataFrame:
+    """Articles with a usable embedding, as id, t (microseconds) and unit vector."""
+    return articles.filter(is_usable(F.col("embedding"))).select(
         "id",
-        F.when(F.col("embedding").isNull(), "no embedding").otherwise("zero embedding").alias("reason"),
-    )
-    return usable, rejected
-
-
-def run_slices(
-    units: DataFrame,
-    order: list[str],
-    thresholds: list[float],
-    rules: Rules,
-    in_time_order: bool,
-    stories: DataFrame | None = None,
-    first_story: int = 0,
-    slice_rows: int = SLICE_ROWS,
-) -> list[DataFrame]:
-    """Outputs of all slices, as OUTPUT_SCHEMA; `units` has id, t, unit and the order columns.
-
-    `stories` is earlier state as STATE_SCHEMA without `session`; its ids lie
-    below `first_story`.
-    """
-    times = units.select("t")
-    if stories is not None:
-        times = times.unionByName(stories.select(F.col("newest_t").alias("t")))
-    if in_time_order:  # sessions follow each other in time, so one numbering serves both
-        numbered = with_sequence(
-            with_sessions(units, times, rules.hours), ["session", *order], "seq", first_story
-        ).withColumn("place", F.col("seq"))
-    else:
-        arrived = with_sequence(units, order, "seq", first_story)
-        numbered = with_sequence(with_sessions(arrived, times, rules.hours), ["session", "seq"], "place")
-    starts = numbered.groupBy("session").agg(F.min("place").alias("start"))
-    sliced = materialize(
-        numbered.join(starts, "session").select(
-            "session",
-            "seq",
-            "id",
-            "t",
-            "unit",
-            F.floor((F.col("place") - F.col("start")) / slice_rows).cast("int").alias("slice"),
-        ),
-        "slices",
-        partition_by="slice",
+        micros(article_time(F.col("published_at"), F.col("created_at"))).alias("t"),
+        l2_normalize(F.col("embedding")).alias("unit"),
     )
-    tau = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    last = sliced.agg(F.max("slice")).first()[0]
-    state = None
-    if stories is not None:
-        state = with_sessions(stories.withColumn("t", F.col("newest_t")), times, rules.hours).drop("t")
-        state = materialize(state, "state")
-    outputs = []
-    for number in range(0 if last is None else last + 1):
-        articles = sliced.filter(F.col("slice") == number).select("*", tau)
-        empty = units.sparkSession.createDataFrame([], STATE_SCHEMA)
-        near = empty if state is None else _near(state, articles, rules)
-        output = materialize(
-            in_tiles(articles, near, _resolver(rules), OUTPUT_SCHEMA, GROUP),
-            "slice-output",
-        )
-        outputs.append(output)
-        if number < last:
-            state = _next_state(state, output, articles if in_time_order else None, rules)
-    return outputs
-
-
-def _near(state: DataFrame, articles: DataFrame, rules: Rules) -> DataFrame:
-    """Stories that the slice's articles could join, looked for in chunks of bounded size."""
-    chunks = max(1, math.ceil(state.count() / STORY_ROWS))
-    chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    stories = state.withColumn("chunk", F.pmod(F.xxhash64("story"), F.lit(chunks)).cast("int"))
-    keys = [*GROUP, "chunk"]
-    copies = articles.select("threshold", "session", "t", "unit", chunk)
-    return in_tiles(copies, stories, _reachable(rules), STATE_SCHEMA, keys)
 
 
-def _next_state(
-    state: DataFrame | None, output: DataFrame, articles: DataFrame | None, rules: Rules
-) -> DataFrame:
-    """Stories after the slice; in time order, only those a later article can still reach."""
-    columns = [field.split()[0] for field in STATE_SCHEMA.split(", ")]
-    changed = output.filter("kind = 'story'").select(*columns)
-    after = changed
-    if state is not None:
-        after = state.select(*columns).join(changed, [*GROUP, "story"], "left_anti").unionByName(changed)
-    if articles is not None:
-        reached = articles.groupBy(*GROUP).agg(F.max("t").alias("reached"))
-        after = (
-            after.join(reached, GROUP).filter(F.col("newest_t") >= F.col("reached") - rules.window).drop("reached")
-        )
-    return materialize(after, "state")
+def _partner_in_tile(width: int, threshold: float):
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("id")
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        t, times = left["t"].to_numpy(), right["t"].to_numpy()
+        a, b = matrix(left["unit"]), matrix(right["unit"])
+        found = []
+        for at in range(0, len(left) if len(right) else 0, BLOCK_ROWS):
+            part = slice(at, at + BLOCK_ROWS)
+            cosine = np.round(a[part] @ b.T, DIGITS)
+            near = np.abs(times[None, :] - t[part, None]) <= width
+            cosine[~near | (others[None, :] >= ids[part, None])] = -np.inf
+            first = cosine.argmax(axis=1)
+            value = cosine[np.arange(len(first)), first]
+            hit = value >= threshold
+            found.append(
+                pd.DataFrame({"article_id": ids[part][hit], "partner_id": others[first[hit]], "similarity": value[hit]})
+            )
+        empty = pd.DataFrame({"article_id": [], "partner_id": [], "similarity": []})
+        return pd.concat(found) if found else empty
 
+    return best
 
-def _collected(outputs: list[DataFrame], spark) -> DataFrame:
-    every = spark.createDataFrame([], OUTPUT_SCHEMA)
-    for output in outputs:
-        every = every.unionByName(output)
-    return every
 
+def best_partners(
+    new: DataFrame, units: DataFrame, threshold: float = STORY_THRESHOLD, hours: float = WINDOW_HOURS
+) -> DataFrame:
+    """Rows (article_id, partner_id, similarity): the closest earlier arrival, ties to the lowest id.
 
-def _assignment(outputs: list[DataFrame], rejected: DataFrame, first_story: int) -> Assignment:
-    """Memberships, and each story's last state, under dense ids for new stories."""
-    every = _collected(outputs, rejected.sparkSession)
-    members = every.filter("kind = 'member'")
-    seeds = members.filter("status = 'created'").select("threshold", "story", F.col("article_id").alias("seed_id"))
-    ids = _dense_ids(seeds, first_story)
-    versions = every.filter("kind = 'story'").groupBy("threshold", "story").agg(
-        F.max_by(F.struct("story_sum", "article_count", "first_t", "newest_t"), "article_count").alias("v")
-    )
-    story_id = F.coalesce("story_id", "story").alias("story_id")
-    return Assignment(
-        members.join(ids, ["threshold", "story"], "left").select(
-            "threshold", "article_id", story_id, "similarity", "status"
-        ),
-        versions.join(ids, ["threshold", "story"], "left").select(
-            "threshold",
-            story_id,
-            "seed_id",
-            F.transform("v.story_sum", lambda x: x / F.col("v.article_count")).alias("centroid"),
-            "v.article_count",
-            "v.first_t",
-            "v.newest_t",
-        ),
-        rejected,
+    `new` and `units` are rows of `timed_units`; articles without a partner in
+    reach of the threshold have no row.
+    """
+    tiles = tiled(new, units, max(1, round(hours)), [-1, 0, 1], CHUNK_ROWS)
+    best = F.max(F.struct("similarity", (-F.col("partner_id")).alias("minus_id"))).alias("best")
+    inside = _partner_in_tile(int(hours * MICROS_PER_HOUR), threshold)
+    return (
+        in_tiles(*tiles, inside, "article_id long, partner_id long, similarity double")
+        .groupBy("article_id")
+        .agg(best)
+        .select(
+            "article_id",
+            (-F.col("best.minus_id")).alias("partner_id"),
+            F.col("best.similarity").alias("similarity"),
+        )
     )
 
 
-def _dense_ids(seeds: DataFrame, first_story: int) -> DataFrame:
-    """New stories numbered in the order they started, per threshold."""
-    numbered = with_sequence(seeds, ["threshold", "story"], "n")
-    starts = numbered.groupBy("threshold").agg(F.min("n").alias("start"))
-    return numbered.join(starts, "threshold").select(
-        "threshold",
-        "story",
-        "seed_id",
-        (F.col("n") - F.col("start") + F.lit(first_story)).alias("story_id"),
-    )
+def first_articles(links: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Links with `first_id`, the article at the end of the chain of partners.
 
+    Every step joins each article with its end so far to the end's own end, so
+    the reach doubles; links lead to lower ids, so there are no circles.
+    """
+    by = by or []
+    ends = materialize(links.withColumn("first_id", F.col("partner_id")), "chains")
+    while True:
+        step = ends.select(*by, F.col("article_id").alias("first_id"), F.col("first_id").alias("next_id"))
+        longer = materialize(
+            ends.join(step, [*by, "first_id"], "left").select(
+                *by, "article_id", "partner_id", "similarity",
+                F.coalesce("next_id", "first_id").alias("first_id"),
+                F.col("next_id").isNotNull().alias("moved"),
+            ),
+            "chains",
+        )
+        ends = longer.drop("moved")
+        if longer.filter("moved").isEmpty():
+            return ends
 
-def backfill_stories(
-    articles: DataFrame,
-    threshold: float = STORY_THRESHOLD,
-    hours: int = WINDOW_HOURS,
-    slice_rows: int = SLICE_ROWS,
-) -> Assignment:
-    """Stories of all articles with a usable embedding, walked in time order from none."""
-    usable, rejected = split_usable(articles)
-    units = usable.select(
-        "id",
-        micros(article_time(F.col("published_at"), F.col("created_at"))).alias("t"),
-        l2_normalize(F.col("embedding")).alias("unit"),
-    )
-    outputs = run_slices(units, ["t", "id"], [threshold], Rules(hours), True, None, 1, slice_rows)
-    return _assignment(outputs, rejected, 1)
+
+def rejected_articles(articles: DataFrame) -> DataFrame:
+    reason = F.when(F.col("embedding").isNull(), "no embedding").otherwise("zero embedding")
+    return articles.filter(~is_usable(F.col("embedding"))).select("id", reason.alias("reason"))
 
 
 def assign_stories(
     articles: DataFrame,
-    stories: DataFrame,
-    members: DataFrame,
+    members: DataFrame | None = None,
     threshold: float = STORY_THRESHOLD,
-    hours: int = WINDOW_HOURS,
-    order: list[str] | None = None,
-    slice_rows: int = SLICE_ROWS,
-    next_id: int | None = None,
+    hours: float = WINDOW_HOURS,
 ) -> Assignment:
-    """Put newly arrived articles into existing or new stories, in order of arrival.
+    """Stories of all articles; those in `members` (article_id, story_id, similarity) keep theirs.
 
-    An article that already has a story keeps it and is reported as "existing".
-    `stories` needs id, centroid, article_count, first_at and newest_at, and may
-    leave out those too old to matter if `next_id` is given.
+    An article without a usable embedding gets no story and is rejected with a reason.
     """
-    fresh = articles.join(members, articles["id"] == members["article_id"], "left_anti")
-    existing = (
-        members.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-        .select("article_id", "story_id", "similarity")
-        .withColumns({"threshold": F.lit(float(threshold)), "status": F.lit("existing")})
+    units = materialize(timed_units(articles), "units")
+    new = units
+    if members is not None:
+        new = units.join(members.select(F.col("article_id").alias("id")), "id", "left_anti")
+    chains = first_articles(best_partners(new, units, threshold, hours))
+    found = new.select(F.col("id").alias("article_id")).join(
+        chains.select("article_id", "first_id", "similarity"), "article_id", "left"
+    ).select("article_id", F.coalesce("first_id", "article_id").alias("first_id"), "similarity")
+    status = F.when(F.col("similarity").isNull(), "created").otherwise("joined").alias("status")
+    rejected = rejected_articles(articles)
+    if members is None:
+        return Assignment(found.select("article_id", F.col("first_id").alias("story_id"), "similarity", status), rejected)
+    known = members.select(F.col("article_id").alias("first_id"), "story_id")
+    joined = found.join(known, "first_id", "left").select(
+        "article_id", F.coalesce("story_id", "first_id").alias("story_id"), "similarity", status
     )
-    usable, rejected = split_usable(fresh)
-    order = order or ["id"]
-    units = usable.select(
-        "id",
-        *[c for c in order if c not in ("id", "t")],
-        micros(article_time(F.col("published_at"), F.col("created_at"))).alias("t"),
-        l2_normalize(F.col("embedding")).alias("unit"),
-    )
-    if next_id is None:
-        next_id = (stories.agg(F.max("id")).first()[0] or 0) + 1
-    state = stories.filter(F.col("centroid").isNotNull()).select(
-        F.lit(float(threshold)).alias("threshold"),
-        F.col("id").alias("story"),
-        F.transform("centroid", lambda x: x * F.col("article_count")).alias("story_sum"),
-        F.col("article_count").cast("long").alias("article_count"),
-        micros(F.col("first_at")).alias("first_t"),
-        micros(F.col("newest_at")).alias("newest_t"),
-    )
-    outputs = run_slices(units, order, [threshold], Rules(hours), False, state, next_id, slice_rows)
-    found = _assignment(outputs, rejected, next_id)
-    return Assignment(found.members.unionByName(existing), found.stories, found.rejected)
+    kept = members.select("article_id", "story_id", "similarity", F.lit("existing").alias("status"))
+    return Assignment(joined.unionByName(kept), rejected)
 
 
 def threshold_sweep(
-    articles: DataFrame,
-    thresholds: list[float],
-    max_age_hours: float | None = None,
-    hours: int = WINDOW_HOURS,
-    slice_rows: int = SLICE_ROWS,
+    articles: DataFrame, thresholds: list[float], hours: float = WINDOW_HOURS
 ) -> DataFrame:
-    """Memberships of dated articles at several thresholds: threshold, article_id, story, similarity.
+    """Memberships of dated articles at several thresholds: threshold, article_id, story_id, similarity.
+
+    The best partner is the same at all thresholds, so the pairs are compared once.
+    """
+    units = materialize(timed_units(articles.filter(F.col("published_at").isNotNull())), "units")
+    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    best = best_partners(units, units, min(thresholds), hours)
+    links = best.select(levels, "*").filter("similarity >= threshold")
+    chains = first_articles(links, ["threshold"]).drop("partner_id")
+    return (
+        units.select(levels, F.col("id").alias("article_id"))
+        .join(chains, ["threshold", "article_id"], "left")
+        .select("threshold", "article_id", F.coalesce("first_id", "article_id").alias("story_id"), "similarity")
+    )
 
-    Articles without a direction are kept, as in a report they count as
-    stories of one; `story` is the position of the story's first article.
+
+def story_states(members: DataFrame, articles: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows (id, centroid, article_count, first_at, newest_at) of the stories that `members` belong to.
+
+    `known` are earlier states of those stories, without these members. Vectors
+    are summed by story and dimension, so no story is gathered in one place.
     """
-    units = articles.filter(F.col("published_at").isNotNull() & F.col("embedding").isNotNull()).select(
-        "id", micros(F.col("published_at")).alias("t"), l2_normalize(F.col("embedding")).alias("unit")
+    time = article_time(F.col("published_at"), F.col("created_at"))
+    rows = members.select(F.col("story_id").alias("id"), "article_id").join(
+        articles.select(F.col("id").alias("article_id"), time.alias("t"), l2_normalize(F.col("embedding")).alias("unit")),
+        "article_id",
+    )
+    parts = rows.select("id", F.posexplode("unit").alias("dimension", "x"))
+    counts = rows.groupBy("id").agg(
+        F.count("*").alias("article_count"), F.min("t").alias("first_at"), F.max("t").alias("newest_at")
     )
-    outputs = run_slices(
-        units, ["t", "id"], thresholds, Rules(hours, max_age_hours), True, None, 0, slice_rows
+    if known is not None:
+        touched = known.join(counts.select("id"), "id", "left_semi")
+        old = touched.select("id", "article_count", F.posexplode("centroid").alias("dimension", "x"))
+        parts = parts.unionByName(old.select("id", "dimension", (F.col("x") * F.col("article_count")).alias("x")))
+        counts = (
+            counts.unionByName(touched.select("id", "article_count", "first_at", "newest_at"))
+            .groupBy("id")
+            .agg(
+                F.sum("article_count").alias("article_count"),
+                F.min("first_at").alias("first_at"),
+                F.max("newest_at").alias("newest_at"),
+            )
+        )
+    sums = parts.groupBy("id", "dimension").agg(F.sum("x").alias("x"))
+    vectors = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dimension", "x"))).alias("sums"))
+    return counts.join(vectors, "id").select(
+        "id",
+        F.transform("sums", lambda d: d["x"] / F.col("article_count")).alias("centroid"),
+        "article_count",
+        "first_at",
+        "newest_at",
     )
-    members = _collected(outputs, articles.sparkSession).filter("kind = 'member'")
-    return members.select("threshold", "article_id", "story", "similarity", "seq")
 
 
 def cluster_size_report(sizes: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -11,12 +11,7 @@ from storystream.operators import ingest
 from storystream.operators.enrich import with_embeddings
 from storystream.operators.entities import link_entities, mention_counts
 from storystream.operators.pairs import cosine_pair_count, cosine_pairs, with_titles
-from storystream.operators.stories import (
-    assign_stories,
-    backfill_stories,
-    cluster_size_report,
-    threshold_sweep,
-)
+from storystream.operators.stories import assign_stories, cluster_size_report, story_states, threshold_sweep
 from storystream.operators.titles import title_duplicates, title_pairs
 from storystream.plans import fixtures as fx
 from storystream.plans import maintenance
@@ -34,12 +29,13 @@ _EARLIER = "b.t BETWEEN a.t - INTERVAL 6 HOUR AND a.t + INTERVAL 6 HOUR AND b.id
 _LATER = "b.t BETWEEN a.t AND a.t + INTERVAL 6 HOUR AND (b.t > a.t OR b.id > a.id)"
 
 
-def _title_scores(near: str, threshold: int) -> str:
+def _title_scores(near: str, threshold: int, rows: str = "articles_fx") -> str:
     return rf"""
 WITH keys_fx AS (SELECT id, published_at AS t, array_to_string(list_sort(list_filter(
         regexp_split_to_array(title, '\s+'), lambda w: w <> '')), ' ') AS s
-      FROM articles_fx WHERE published_at IS NOT NULL),
-  letters AS (SELECT id, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) - 1 AS p
+      FROM {rows} WHERE published_at IS NOT NULL),
+  letters AS (SELECT id, unnest(list_transform(string_split(s, ''), lambda x: unicode(x))) AS c,
+      generate_subscripts(string_split(s, ''), 1) - 1 AS p
       FROM keys_fx),
   counts AS (SELECT id, c, count(*) AS n FROM letters GROUP BY ALL),
   near AS (SELECT a.id AS a, b.id AS b, length(a.s) AS la, length(b.s) AS lb, a.s = b.s AS same
@@ -54,7 +50,7 @@ WITH keys_fx AS (SELECT id, published_at AS t, array_to_string(list_sort(list_fi
       FROM (SELECT c.id, c.c, n.nw, unnest(range(n.nw)) AS w FROM (SELECT DISTINCT id, c FROM letters) c
             JOIN (SELECT id, max(p) // 120 + 1 AS nw FROM letters GROUP BY id) n ON n.id = c.id) k
       LEFT JOIN words m ON m.id = k.id AND m.c = k.c AND m.w = k.w GROUP BY k.id, k.c) GROUP BY id),
-  bits AS (SELECT a, b, list_reduce(list_transform(string_split(k.s, ''), lambda c: pm[c]),
+  bits AS (SELECT a, b, list_reduce(list_transform(string_split(k.s, ''), lambda c: pm[unicode(c)]),
       lambda v, m: CASE WHEN m IS NULL THEN v ELSE
         list_reduce(list_transform(list_zip(v, m), lambda z: [z[1], z[2]]),
           lambda u, z: list_append([(z[1] + (z[1] & z[2]) + u[1]) >> 120] || u[2:],
@@ -79,6 +75,19 @@ def title_dedup(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "processed_sink",
+    _title_scores(_EARLIER, 65)
+    + """SELECT url AS key, to_json({id: id, url: url}) AS value
+         FROM (SELECT x.id, any_value(x.url) AS url, max(s.score) AS score FROM articles_fx x
+               LEFT JOIN scored s ON s.a = x.id AND s.score >= 65 GROUP BY x.id) WHERE score IS NULL""",
+)
+def processed_sink(spark, sf_dir):
+    articles = fx.articles(spark, sf_dir)
+    marked = articles.join(title_duplicates(articles).select("id", "duplicate_of_id"), "id", "left")
+    return messages.processed_messages(marked)
+
+
 @query(
     "title_pairs",
     _title_scores(_LATER, 40) + "SELECT a AS id_a, b AS id_b, round(score, 6) AS score FROM scored WHERE score > 40",
@@ -135,118 +144,91 @@ def pair_match_count(spark, sf_dir):
 # ---- stories
 
 
-def _walk(thresholds: list[float], order: str, articles: str = "true", max_age: str = "true") -> str:
-    """Stories by one recursive step per article, for several thresholds (tau) side by side.
-
-    A step holds the states of the stories that are still within reach (an hour
-    more than the window, for articles that come a little late).
-    """
+def _walk(thresholds: list[float], hours: float = 24, articles: str = "true") -> str:
+    """Best earlier partner of every article, and the story its chain of partners leads to, per threshold (tau)."""
     return f"""
-WITH RECURSIVE ordered_fx AS (
-  SELECT a.id, epoch_us(coalesce(a.published_at, a.created_at)) AS t, u.u, row_number() OVER (ORDER BY {order}) AS step
+WITH RECURSIVE taus AS (SELECT unnest({thresholds})::DOUBLE AS tau),
+timed AS (SELECT a.id, epoch_us(coalesce(a.published_at, a.created_at)) AS t, u.u
   FROM articles_fx a JOIN units_fx u ON u.id = a.id WHERE {articles}),
+near AS (SELECT a.id, b.id AS partner, round(list_dot_product(a.u, b.u), 12) AS sim FROM timed a JOIN timed b
+  ON b.id < a.id AND b.t BETWEEN a.t - {int(hours * 3_600_000_000)} AND a.t + {int(hours * 3_600_000_000)}),
+links AS (SELECT tau, id, arg_max(partner, (sim, -partner)) AS partner, max(sim) AS sim
+  FROM near JOIN taus ON sim >= tau GROUP BY tau, id),
 walk AS (
-  SELECT unnest({thresholds})::DOUBLE AS tau, 0::BIGINT AS step, 0::BIGINT AS story, NULL::DOUBLE[] AS s,
-    NULL::BIGINT AS first, NULL::BIGINT AS newest, 0::BIGINT AS n, 0::BIGINT AS stories, NULL::BIGINT AS id,
-    NULL::DOUBLE AS similarity, false AS hit
-  UNION ALL
-  SELECT tau, step, CASE WHEN new THEN stories + 1 ELSE story END,
-    CASE WHEN new THEN u WHEN joins THEN list_transform(list_zip(s, u), lambda z: z[1] + z[2]) ELSE s END,
-    CASE WHEN new THEN t WHEN joins THEN least(first, t) ELSE first END,
-    CASE WHEN new THEN t WHEN joins THEN greatest(newest, t) ELSE newest END,
-    CASE WHEN new THEN 1 WHEN joins THEN n + 1 ELSE n END, stories + CAST(starts AS BIGINT), id,
-    CASE WHEN joins THEN sim END, new OR joins
-  FROM (SELECT *, rank = 1 AND NOT starts AS joins,
-          unnest(CASE WHEN rank = 1 AND starts THEN [false, true] ELSE [false] END) AS new
-    FROM (SELECT *, row_number() OVER (PARTITION BY tau ORDER BY sim DESC NULLS LAST, story) AS rank,
-            coalesce(max(sim) OVER (PARTITION BY tau), -2) < tau AS starts
-      FROM (SELECT w.tau, o.step, o.id, o.t, o.u, w.story, w.s, w.first, w.newest, w.n, w.stories,
-              CASE WHEN abs(o.t - w.newest) <= 86400000000 AND {max_age}
-                THEN list_dot_product(w.s, o.u) / sqrt(list_dot_product(w.s, w.s)) END AS sim
-            FROM walk w JOIN ordered_fx o ON o.step = w.step + 1)))
-  WHERE new OR joins OR t - newest <= 90000000000)
+  SELECT tau, t.id, t.id AS story, NULL::DOUBLE AS sim FROM timed t, taus
+  WHERE NOT EXISTS (FROM links l WHERE l.id = t.id AND l.tau = taus.tau)
+  UNION ALL SELECT l.tau, l.id, w.story, l.sim FROM walk w JOIN links l ON l.partner = w.id AND l.tau = w.tau)
 """
 
 
-_IN_TIME = "coalesce(a.published_at, a.created_at), a.id"
-_STATUS = "CASE WHEN similarity IS NULL THEN 'created' ELSE 'joined' END"
+_STATUS = "CASE WHEN sim IS NULL THEN 'created' ELSE 'joined' END"
 _SIZES = """SELECT tau AS threshold, count(*) AS stories, count(*) FILTER (size = 1) AS size_1,
     count(*) FILTER (size > 1) AS size_2_plus, max(size) AS largest
-  FROM (SELECT tau, story, count(*) AS size FROM walk WHERE hit GROUP BY ALL) GROUP BY tau"""
+  FROM (SELECT tau, story, count(*) AS size FROM walk GROUP BY ALL) GROUP BY tau"""
 
 
 @query(
     "backfill_stories",
-    _walk([0.6], _IN_TIME)
-    + f"""SELECT id AS article_id, story AS story_id, round(similarity, 9) AS similarity, {_STATUS} AS status
-          FROM walk WHERE hit""",
+    _walk([0.6])
+    + f"SELECT id AS article_id, story AS story_id, round(sim, 9) AS similarity, {_STATUS} AS status FROM walk",
 )
 def backfill(spark, sf_dir):
-    members = backfill_stories(fx.embedded_articles(spark, sf_dir)).members
-    return members.select("article_id", "story_id", F.round("similarity", 9).alias("similarity"), "status")
+    members = assign_stories(fx.embedded_articles(spark, sf_dir)).members
+    return members.withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
     "backfill_centroids",
-    _walk([0.6], _IN_TIME)
-    + """SELECT story AS story_id, min(id) FILTER (similarity IS NULL) AS seed_id, max(n) AS article_count,
-           round(arg_max(list_dot_product(s, s) / (n * n), n), 9) AS square
-         FROM walk WHERE hit GROUP BY story""",
+    _walk([0.6])
+    + """SELECT story AS story_id, sum(m * m) AS square, any_value(n) AS article_count FROM (
+           SELECT story, d, sum(x) / count(*) AS m, count(*) AS n FROM (
+             SELECT w.story, unnest(t.u) AS x, generate_subscripts(t.u, 1) AS d FROM walk w JOIN timed t ON t.id = w.id)
+           GROUP BY story, d) GROUP BY story""".replace("sum(m * m)", "round(sum(m * m), 9)"),
 )
 def backfill_centroids(spark, sf_dir):
-    """Stories of a backfill with the length of their mean vector."""
-    stories = backfill_stories(fx.embedded_articles(spark, sf_dir)).stories
-    return stories.select(
-        "story_id",
-        "seed_id",
+    """Stories of a backfill with the squared length of their mean vector."""
+    articles = fx.embedded_articles(spark, sf_dir)
+    states = story_states(assign_stories(articles).members, articles)
+    return states.select(
+        F.col("id").alias("story_id"),
         "article_count",
         F.round(F.aggregate("centroid", F.lit(0.0), lambda total, x: total + x * x), 9).alias("square"),
     )
 
 
-_OLD = "a.id < (SELECT floor(avg(id)) FROM articles_fx)"
+_OLD = "id < (SELECT floor(avg(id)) FROM articles_fx)"
 
 
 @query(
     "assign_stories",
-    _walk([0.6], f"NOT ({_OLD}), CASE WHEN {_OLD} THEN coalesce(a.published_at, a.created_at) END, a.id")
-    + f"""SELECT a.id AS article_id, story AS story_id, round(similarity, 9) AS similarity,
-            CASE WHEN {_OLD} THEN 'existing' ELSE {_STATUS} END AS status
-          FROM walk a WHERE hit""",
+    _walk([0.6])
+    + f"""SELECT id AS article_id, story AS story_id, round(sim, 9) AS similarity,
+            CASE WHEN {_OLD} THEN 'existing' ELSE {_STATUS} END AS status FROM walk""",
 )
 def assign(spark, sf_dir):
-    """Later articles put, in order of arrival, into the stories of earlier ones."""
+    """Later articles put into the stories of earlier ones: the same stories as all at once."""
     articles = fx.embedded_articles(spark, sf_dir)
     median = articles.agg(F.floor(F.avg("id")).alias("id"))
-    old = articles.filter(F.col("id") < median.scalar())
-    first = backfill_stories(old)
-    stories = first.stories.select(
-        F.col("story_id").alias("id"),
-        "centroid",
-        "article_count",
-        F.timestamp_micros("first_t").alias("first_at"),
-        F.timestamp_micros("newest_t").alias("newest_at"),
-    )
-    members = first.members.select("article_id", "story_id", "similarity")
-    found = assign_stories(articles, stories, members).members
-    return found.select("article_id", "story_id", F.round("similarity", 9).alias("similarity"), "status")
+    first = assign_stories(articles.filter(F.col("id") < median.scalar())).members
+    found = assign_stories(articles, first.drop("status")).members
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
-@query("threshold_sweep", _walk(SWEEP_THRESHOLDS, _IN_TIME, "a.published_at IS NOT NULL") + _SIZES)
-def sweep(spark, sf_dir):
-    members = threshold_sweep(fx.embedded_articles(spark, sf_dir), SWEEP_THRESHOLDS)
-    sizes = members.groupBy("threshold", "story").agg(F.count("*").alias("size"))
+def _sweep(spark, sf_dir, hours):
+    members = threshold_sweep(fx.embedded_articles(spark, sf_dir), SWEEP_THRESHOLDS, hours)
+    sizes = members.groupBy("threshold", "story_id").agg(F.count("*").alias("size"))
     return cluster_size_report(sizes, ["threshold"]).orderBy("threshold")
 
 
-@query(
-    "threshold_sweep_max_age",
-    _walk(SWEEP_THRESHOLDS, _IN_TIME, "a.published_at IS NOT NULL", "w.newest - w.first <= 900000000") + _SIZES,
-)
+@query("threshold_sweep", _walk(SWEEP_THRESHOLDS, 24, "a.published_at IS NOT NULL") + _SIZES)
+def sweep(spark, sf_dir):
+    return _sweep(spark, sf_dir, 24)
+
+
+@query("threshold_sweep_max_age", _walk(SWEEP_THRESHOLDS, 0.25, "a.published_at IS NOT NULL") + _SIZES)
 def sweep_max_age(spark, sf_dir):
-    members = threshold_sweep(fx.embedded_articles(spark, sf_dir), SWEEP_THRESHOLDS, max_age_hours=0.25)
-    sizes = members.groupBy("threshold", "story").agg(F.count("*").alias("size"))
-    return cluster_size_report(sizes, ["threshold"]).orderBy("threshold")
+    """Links over a quarter of an hour at most."""
+    return _sweep(spark, sf_dir, 0.25)
 
 
 # ---- ingest
@@ -263,19 +245,34 @@ def _messages(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir):
-    """All messages into tables that hold nothing but every other source."""
-    none = fx.articles(spark, sf_dir).filter("false").select("id", "title", "url", "published_at")
+    """All messages into tables that hold every other source and the articles of half the documents."""
     known = fx.sources(spark, sf_dir).filter("id % 2 = 0")
-    return ingest.ingest_articles(_messages(spark, sf_dir), none, known)
+    return ingest.ingest_articles(_messages(spark, sf_dir), fx.stored_articles(spark, sf_dir), known)
+
+
+_SENT_AT = """CASE WHEN published_at LIKE '20%' THEN CAST(substr(published_at, 1, 19) AS TIMESTAMP)
+  - CASE WHEN published_at LIKE '%Z' THEN INTERVAL 0 HOUR ELSE INTERVAL 2 HOUR END END"""
+
+
+def _ingest_sql(stored: str) -> str:
+    """New articles of the messages, and the scores of their titles against stored and earlier ones."""
+    scores = _title_scores(f"{_EARLIER} AND a.id > (SELECT top FROM last_id)", 65, "pool_fx").lstrip()
+    return f"""
+WITH last_id AS (SELECT coalesce(max(id), 0) AS top FROM articles_fx WHERE {stored}),
+  fresh_fx AS (SELECT row_number() OVER (ORDER BY id) + (SELECT top FROM last_id) AS id, trim(title) AS title,
+      trim(url) AS url, content, source AS source_name, {_SENT_AT} AS published_at
+    FROM ({_FIRST}) WHERE id = first_id AND trim(url) NOT IN (SELECT url FROM articles_fx WHERE {stored})),
+  pool_fx AS (SELECT id, title, published_at, url FROM articles_fx WHERE {stored}
+    UNION ALL SELECT id, title, published_at, url FROM fresh_fx),
+  {scores.removeprefix("WITH ")},
+  best_fx AS (SELECT a AS id, arg_max(b, (score, -b)) AS duplicate_of_id, round(max(score), 6) AS duplicate_score
+    FROM scored WHERE score >= 65 GROUP BY a)
+"""
 
 
 @query(
     "ingest_articles",
-    f"""SELECT row_number() OVER (ORDER BY id) AS id, trim(title) AS title, trim(url) AS url, content,
-          source AS source_name,
-          CASE WHEN published_at LIKE '2024%' THEN CAST(substr(published_at, 1, 19) AS TIMESTAMP)
-            - CASE WHEN published_at LIKE '%Z' THEN INTERVAL 0 HOUR ELSE INTERVAL 2 HOUR END END AS published_at
-        FROM ({_FIRST}) WHERE id = first_id""",
+    _ingest_sql("id % 2 = 0") + "SELECT * FROM fresh_fx LEFT JOIN best_fx USING (id)",
 )
 def ingest_articles(spark, sf_dir):
     found = _ingested(spark, sf_dir)
@@ -283,7 +280,9 @@ def ingest_articles(spark, sf_dir):
     names = names.unionByName(found.sources.select("id", "name"))
     names = names.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     return found.articles.join(names, "source_id").select(
-        "id", "title", "url", "content", "source_name", F.col("published_at").cast("timestamp_ntz").alias("published_at")
+        "id", "title", "url", "content", "source_name",
+        F.col("published_at").cast("timestamp_ntz").alias("published_at"),
+        "duplicate_of_id", F.round("duplicate_score", 6).alias("duplicate_score"),
     )
 
 
@@ -322,15 +321,15 @@ def raw_topic_scan(spark, sf_dir):
 
 @query(
     "stream_articles",
-    f"""SELECT trim(title) AS title, trim(url) AS url, source AS source_name, count(*) OVER () AS articles
-        FROM ({_FIRST}) WHERE id = first_id""",
+    _ingest_sql("false")
+    + """SELECT f.title, f.url, content, source_name, count(*) OVER () AS articles, p.url AS duplicate_of_url
+         FROM fresh_fx f LEFT JOIN best_fx b ON b.id = f.id LEFT JOIN pool_fx p ON p.id = b.duplicate_of_id""",
 )
 def stream_articles(spark, sf_dir):
     """Messages streamed from a folder into the article tables in one run."""
     topic, root, sent = (new_table_path(spark, label) for label in ("topic", "store", "processed"))
     rows = fx.raw_fields(spark, sf_dir)
-    ordered = rows.orderBy("id").withColumn("content", F.md5("content"))
-    messages.write_topic(messages.raw_messages(ordered), "text", topic)
+    messages.write_topic(messages.raw_messages(rows.orderBy("id")), "text", topic)
     pipeline.start_ingest(
         messages.read_topic(spark, "text", path=topic),
         root,
@@ -343,8 +342,12 @@ def stream_articles(spark, sf_dir):
     articles = store.read("articles")
     names = store.read("sources").select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     total = articles.select(F.count("*").alias("articles"))
-    return articles.join(names, "source_id").select("title", "url", "source_name").withColumn(
-        "articles", total.scalar()
+    first = articles.select(F.col("id").alias("duplicate_of_id"), F.col("url").alias("duplicate_of_url"))
+    return (
+        articles.join(names, "source_id")
+        .join(first, "duplicate_of_id", "left")
+        .select("title", "url", "content", "source_name", "duplicate_of_url")
+        .withColumn("articles", total.scalar())
     )
 
 
@@ -497,7 +500,9 @@ def _feed_entries(spark, sf_dir):
     """
     link = F.when(F.col("doc_id") % 9 > 0, F.concat(F.lit("https://news.test/"), F.md5("text"))).otherwise("")
     moment = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
-    summary = F.concat(F.lit("&lt;p&gt;"), F.md5("text"), F.lit(" &amp;amp; "), "lang", F.lit("&lt;/p&gt;"))
+    # The text is escaped once for HTML and once for XML
+    escape = lambda text: F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    summary = escape(F.concat(F.lit("<p>"), escape(F.col("text")), F.lit(" &amp; "), "lang", F.lit("</p>")))
     title = F.concat("source", F.lit(" "), "doc_id")
     item = F.concat(
         F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link><description>"), summary,
@@ -529,7 +534,7 @@ def _feed_entries(spark, sf_dir):
     return feeds.read_feeds(spark, folder)
 
 
-_ENTRY = """SELECT doc_id, source, lang, md5(text) AS h, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS d
+_ENTRY = """SELECT doc_id, source, lang, md5(text) AS h, text, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS d
   FROM documents"""
 
 
@@ -537,7 +542,8 @@ _ENTRY = """SELECT doc_id, source, lang, md5(text) AS h, TIMESTAMP '2024-01-01'
     "feed_scan",
     f"""SELECT concat(source, ' ', doc_id) AS title,
           CASE WHEN doc_id % 9 > 0 THEN concat('https://news.test/', h) ELSE '' END AS link,
-          concat('<p>', h, ' &amp; ', lang, '</p>') AS summary FROM ({_ENTRY})""",
+          concat('<p>', replace(replace(text, '&', '&amp;'), '<', '&lt;'), ' &amp; ', lang, '</p>') AS summary
+        FROM ({_ENTRY})""",
 )
 def feed_scan(spark, sf_dir):
     return _feed_entries(spark, sf_dir).select(
@@ -549,7 +555,7 @@ def feed_scan(spark, sf_dir):
     "feed_messages",
     f"""SELECT source, concat('https://', source, '.test/feed') AS source_url, concat(source, ' ', doc_id) AS title,
           concat('https://news.test/', h) AS url, strftime(d, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS published_at,
-          concat(h, ' & ', lang) AS content FROM ({_ENTRY}) WHERE doc_id % 9 > 0""",
+          concat(text, ' & ', lang) AS content FROM ({_ENTRY}) WHERE doc_id % 9 > 0""",
 )
 def feed_messages(spark, sf_dir):
     source = F.split(F.trim("title"), " ")[0]

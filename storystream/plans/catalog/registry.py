@@ -93,7 +93,7 @@ VIEWS = {
     "dup_articles_fx": fixtures.REPEATED_SOURCE_ARTICLES,
     "canonical_fx": """
         SELECT id, name, min(id) OVER (PARTITION BY name) AS keep_id FROM dup_sources_fx""",
-    "raw_fx": fixtures.RAW_FIELDS,
+    "raw_fx": fixtures.RAW_FIELDS.format(moment=fixtures.MOMENT_DUCKDB),
     "mentions_fx": fixtures.MENTIONS_SQL,
     "compare_fx": fixtures.COMPARED,
     "old_topics_fx": f"""

@@ -387,21 +387,12 @@ def processed_topic_scan(spark, sf_dir):
     return found.withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)))
 
 
-_FIELDS = "source: source, source_url: source_url, title: title, url: url, published_at: published_at, content: md5(content)"
+_FIELDS = "source: source, source_url: source_url, title: title, url: url, published_at: published_at, content: content"
 
 
 @query("raw_topic_sink", f"SELECT url AS key, to_json({{{_FIELDS}}}) AS value FROM raw_fx")
 def raw_topic_sink(spark, sf_dir):
-    return messages.raw_messages(fx.raw_fields(spark, sf_dir).withColumn("content", F.md5("content")))
-
-
-@query(
-    "processed_sink",
-    "SELECT url AS key, to_json({id: id, url: url}) AS value FROM articles_fx WHERE id % 6 <> 1",
-)
-def processed_sink(spark, sf_dir):
-    marked = fx.articles(spark, sf_dir).withColumn("duplicate_of_id", F.when(F.col("id") % 6 == 1, F.col("id") - 1))
-    return messages.processed_messages(marked)
+    return messages.raw_messages(fx.raw_fields(spark, sf_dir))
 
 
 @query("republish_all", "SELECT url AS key, to_json({id: id, url: url}) AS value FROM articles_fx")

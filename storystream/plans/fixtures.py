@@ -1,7 +1,7 @@
 """Articles, sources, vectors and memberships read out of the test tables.
 
-A document stands for an article: its first line, up to the length the title
-column allows, is the title and its whole text the content. Times and sources
+A document stands for an article: its first line is the title and its whole
+text the content. Times and sources
 follow from the document id, so both engines derive the same rows.
 """
 
@@ -16,8 +16,6 @@ from storystream.operators.enrich import with_topic
 from storystream.operators.entities import extract_mentions
 from storystream.plans.listings import story_members
 from storystream.plans.maintenance import reclassify
-from storystream.schema import TITLE_LENGTH
-from storystream.session import spread_input
 
 # Sentences added to the content so that every topic, a tie, plurals, phrases
 # and the "hacker news" exception occur
@@ -40,13 +38,13 @@ TOPIC_PHRASES = [
     "Hacker  news about a hacked laptop",
 ]
 
-ARTICLES = f"""
+ARTICLES = """
 SELECT doc_id AS id, CAST(substr(source, 4) AS BIGINT) AS source_id,
-  substr(split_part(text, chr(10), 1), 1, {TITLE_LENGTH}) AS title, text AS content,
+  split_part(text, chr(10), 1) AS title, text AS content,
   concat('https://news.test/', md5(text)) AS url,
   CASE WHEN doc_id % 50 = 0 THEN NULL
-       ELSE {{ntz}} '2024-01-01 00:00:00' + INTERVAL '7' MINUTE * doc_id END AS published_at,
-  {{ntz}} '2024-01-01 00:30:00' + INTERVAL '7' MINUTE * doc_id AS created_at
+       ELSE {ntz} '2024-01-01 00:00:00' + INTERVAL '7' MINUTE * doc_id END AS published_at,
+  {ntz} '2024-01-01 00:30:00' + INTERVAL '7' MINUTE * doc_id AS created_at
 FROM documents
 """
 
@@ -57,13 +55,8 @@ FROM documents
 """
 
 
-# Tables of long texts, by their key: the work on them is worth spreading
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_input(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,20 +119,24 @@ FROM supplier
 """
 
 REPEATED_SOURCE_ARTICLES = """
-SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY source, lang) AS source_id,
-  concat('https://news.test/', md5(text)) AS url
-FROM documents
+SELECT d.doc_id AS id, s.source_id, concat('https://news.test/', md5(d.text)) AS url
+FROM documents d JOIN (SELECT source, lang, min(doc_id) AS source_id FROM documents GROUP BY source, lang) s
+  ON s.source = d.source AND s.lang = d.lang
 """
 
+# When a document's article appeared, as text; the dialects differ in the name of the function
+MOMENT = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '7' MINUTE * doc_id"
+MOMENT_SPARK = f"""date_format({MOMENT.replace("TIMESTAMP", "TIMESTAMP_NTZ")}, "yyyy-MM-dd'T'HH:mm:ss")"""
+MOMENT_DUCKDB = f"strftime({MOMENT}, '%Y-%m-%dT%H:%M:%S')"
+
 # Fields of raw messages, some of them missing or broken
 RAW_FIELDS = """
 SELECT doc_id AS id, CASE WHEN doc_id % 17 = 5 THEN '' ELSE source END AS source,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('https://', source, '.test/feed') END AS source_url,
-  CASE WHEN doc_id % 13 = 3 THEN NULL ELSE concat('  ', lang, ' title ', CAST(doc_id AS VARCHAR(20)), ' ') END AS title,
+  CASE WHEN doc_id % 13 = 3 THEN NULL ELSE concat('  ', split_part(text, chr(10), 1), ' ') END AS title,
   concat(' https://news.test/', md5(text), ' ') AS url,
   CASE WHEN doc_id % 11 = 2 THEN 'yesterday' WHEN doc_id % 11 = 4 THEN NULL
-       ELSE concat('2024-01-', substr(CAST(doc_id % 28 + 101 AS VARCHAR(20)), 2), 'T10:11:12',
-                   CASE WHEN doc_id % 2 = 0 THEN 'Z' ELSE '+02:00' END) END AS published_at,
+       ELSE concat({moment}, CASE WHEN doc_id % 2 = 0 THEN 'Z' ELSE '+02:00' END) END AS published_at,
   text AS content
 FROM documents
 """
@@ -185,7 +182,13 @@ def repeated_source_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, RAW_FIELDS, documents=table(spark, sf_dir, "documents"))
+    return _run(spark, RAW_FIELDS.format(moment=MOMENT_SPARK), documents=table(spark, sf_dir, "documents"))
+
+
+def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that are there before messages come in: those of half the documents."""
+    rows = articles(spark, sf_dir).filter("id % 2 = 0")
+    return rows.select("id", "title", "url", F.col("published_at").cast("timestamp").alias("published_at"))
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,3 @@ RAW_MESSAGE = T.StructType(
 PROCESSED_MESSAGE = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("url", T.StringType())]
 )
-
-# title VARCHAR(1024): the longest title the data model allows
-TITLE_LENGTH = 1024

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
+_local_folder: tempfile.TemporaryDirectory | None = None
 
 
 def get_spark(app: str = "storystream", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,8 +30,8 @@ def get_spark(app: str = "storystream", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only a local master, where driver and executors are one machine, may fall
-    back to a temporary folder.
+    Only a local master, where driver and executors are one process, may fall
+    back to a temporary folder, which goes when Python ends.
     """
     global _local_folder
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,8 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="storystream-")
-    return _local_folder
+        _local_folder = tempfile.TemporaryDirectory(prefix="storystream-")
+    return _local_folder.name
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
@@ -61,12 +61,3 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_input(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of fewer partitions than cores, such as one small file, over all cores.
-
-    Larger inputs, which have work for every core as they are, are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -42,34 +42,34 @@ class Store:
     spark: SparkSession
     root: str
 
-    def read(self, name: str, before: int | None = None) -> DataFrame:
-        """Rows of all batches, or of those before one."""
+    def _batches(self, name: str, before: int | None) -> DataFrame:
         columns = T.StructType([*TABLES[name].fields, T.StructField("batch", T.LongType())])
         try:
             rows = self.spark.read.schema(columns).parquet(f"{self.root}/{name}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], TABLES[name])
-        if before is not None:
-            rows = rows.filter(F.col("batch") < before)
-        return rows.drop("batch")
+            return self.spark.createDataFrame([], columns)
+        return rows if before is None else rows.filter(F.col("batch") < before)
+
+    def read(self, name: str, before: int | None = None) -> DataFrame:
+        """Rows of all batches, or of those before one."""
+        return self._batches(name, before).drop("batch")
 
     def write(self, name: str, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
 
-    def stories(self, before: int | None = None, since: object = None) -> DataFrame:
-        """Each story's last state; `since` leaves out stories that ended before.
+    def enrichments(self, before: int | None = None) -> DataFrame:
+        """Each article's last enrichment."""
+        last = self._batches("enrichments", before)
+        return last.groupBy("article_id").agg(F.max_by(F.struct("topic", "embedding"), "batch").alias("e")).select(
+            "article_id", "e.*"
+        )
 
-        A story's count and newest time only grow, so the state with the highest
-        count is the last, and leaving out old states first cannot lose a story
-        whose last state is recent enough.
-        """
-        states = self.read("stories", before)
-        if since is not None:
-            states = states.filter(F.col("newest_at") >= since)
+    def stories(self, before: int | None = None) -> DataFrame:
+        """Each story's last state: a story's count only grows, so the state with the highest is the last."""
         columns = [f.name for f in schema.STORIES.fields if f.name != "id"]
-        last = states.groupBy("id").agg(F.max_by(F.struct(*columns), "article_count").alias("s"))
+        last = self.read("stories", before).groupBy("id").agg(F.max_by(F.struct(*columns), "article_count").alias("s"))
         return last.select("id", "s.*")
 
 
@@ -110,7 +110,6 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
         return store.read(table, before).filter(F.col(column).between(lo, hi))
 
     found, missing = enrich.processed_articles(named, in_range("articles", "id"))
-    done = in_range("enrichments", "article_id", number).select(F.col("article_id").alias("id"))
     articles = enrich.with_topic(found)
     if models.make_encoder:
         articles = enrich.embed_articles(articles, models.make_encoder)
@@ -120,10 +119,10 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
         articles = articles.withColumn("embedding", F.lit(None).cast("array<double>"))
     articles = materialize(articles, "enriched")
 
-    fresh = articles.join(done, "id", "left_anti")
+    # A repeated message enriches its article again; the last row of an article counts
     store.write(
         "enrichments",
-        fresh.select(F.col("id").alias("article_id"), "topic", F.col("embedding").cast("array<double>").alias("embedding")),
+        articles.select(F.col("id").alias("article_id"), "topic", F.col("embedding").cast("array<double>").alias("embedding")),
         number,
     )
     mentions = materialize(enrich.mentions(articles, models.make_extractor), "mentions")
@@ -132,40 +131,49 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
     store.write("entities", new, number)
     store.write("article_entities", linked, number)
     store.write("missing", missing, number)
-    _assign(store, articles, in_range("story_articles", "article_id", number), number, models)
-
-
-def _assign(store: Store, articles: DataFrame, near: DataFrame, number: int, models: Models) -> None:
-    oldest = articles.agg(F.min(article_time(F.col("published_at"), F.col("created_at")))).first()[0]
-    since = F.lit(oldest).cast("timestamp") - F.make_dt_interval(hours=F.lit(stories.WINDOW_HOURS))
-    known = store.stories(number, since)
-    next_id = (store.read("stories", number).agg(F.max("id")).first()[0] or 0) + 1
-    members = near.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    found = stories.assign_stories(articles, known, members, models.threshold, next_id=next_id)
-    store.write(
-        "story_articles",
-        found.members.filter("status <> 'existing'").select("story_id", "article_id", "similarity"),
-        number,
+    _assign(store, articles, number, models)
+
+
+def _assign(store: Store, articles: DataFrame, number: int, models: Models) -> None:
+    """Link the batch's articles to earlier ones within the window, and add to the stories they join."""
+    time = article_time(F.col("published_at"), F.col("created_at"))
+    span = articles.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    reach = F.make_dt_interval(hours=F.lit(stories.WINDOW_HOURS))
+    lo, hi = (F.lit(span[end]).cast("timestamp") for end in ("lo", "hi"))
+    columns = ["id", "published_at", "created_at", "embedding"]
+    earlier = (
+        store.read("articles", number)
+        .filter(time.between(lo - reach, hi + reach))
+        .join(articles.select("id"), "id", "left_anti")
+        .join(store.enrichments(number).withColumnRenamed("article_id", "id"), "id")
+        .select(*columns)
     )
-    titles = articles.select(F.col("id").alias("seed_id"), F.col("title").alias("seed_title"))
-    old = known.select(F.col("id").alias("story_id"), F.col("title").alias("old_title"))
+    members = store.read("story_articles", number)
+    window = materialize(earlier.unionByName(articles.select(*columns)), "window")
+    known = members.join(window.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    found = stories.assign_stories(window, known, models.threshold)
+    added = materialize(found.members.filter("status <> 'existing'"), "members")
+    store.write("story_articles", added.select("story_id", "article_id", "similarity"), number)
+
+    old = store.stories(number).join(added.select(F.col("story_id").alias("id")), "id", "left_semi")
+    old = materialize(old, "known-stories")
+    states = stories.story_states(added, articles, old)
+    titles = articles.select("id", F.col("title").alias("seed_title"))
     store.write(
         "stories",
-        found.stories.join(titles, "seed_id", "left")
-        .join(old, "story_id", "left")
-        .select(
-            F.col("story_id").alias("id"),
+        states.join(titles, "id", "left").join(old.select("id", F.col("title").alias("old_title")), "id", "left").select(
+            "id",
             F.coalesce("old_title", "seed_title").alias("title"),
             F.lit(None).cast("string").alias("summary"),
             F.lit(None).cast("double").alias("importance_score"),
             "centroid",
             "article_count",
-            F.timestamp_micros("first_t").alias("first_at"),
-            F.timestamp_micros("newest_t").alias("newest_at"),
+            "first_at",
+            "newest_at",
         ),
         number,
     )
-    store.write("rejected", found.rejected, number)
+    store.write("rejected", stories.rejected_articles(articles), number)
 
 
 def _start(stream: DataFrame, batch_job, checkpoint: str, trigger: dict) -> StreamingQuery:

@@ -1,8 +1,11 @@
-"""Plain sequential forms of the jobs, one row after another, to compare with."""
+"""What results must satisfy, stated pair by pair, to check the jobs against."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
+import pytest
 
 HOUR = 3_600_000_000
 
@@ -22,63 +25,41 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
 
 
-def duplicates(rows, hours=6, threshold=65):
-    """rows: (id, micros or None, title) in order of arrival -> {id: (duplicate_of, score)}."""
-    found, seen = {}, []
-    for id_, t, title in rows:
-        if t is None:
-            continue
-        best = None
-        for other, u, text in seen:
-            if abs(u - t) <= hours * HOUR:
-                score = ratio(title, text)
-                if score >= threshold and (best is None or score > best[1]):
-                    best = (other, score)
-        if best:
-            found[id_] = best
-        seen.append((id_, t, title))
-    return found
+def near(t: int | None, u: int | None, hours: float) -> bool:
+    return t is not None and u is not None and abs(t - u) <= hours * HOUR
+
+
+def check_best_earlier(found: dict, rows: list, score, threshold: float, hours: float, only=lambda i: True) -> None:
+    """`found` maps an id to (partner, score); rows are (id, micros or None, value).
+
+    A partner arrived earlier, lies within the window and has the score that is
+    stated; nobody who could be a partner has a better score, or as good a one and
+    a lower id; and who has no partner could not have one.
+    """
+    value, time = {i: v for i, _, v in rows}, {i: t for i, t, _ in rows}
+    able: dict = {i: {} for i in time}
+    for i, j in combinations(sorted(time), 2):
+        if near(time[i], time[j], hours) and (s := score(value[j], value[i])) >= threshold:
+            able[j][i] = s
+    assert set(found) == {i for i in time if able[i] and only(i)}
+    for i, (partner, stated) in found.items():
+        assert stated == pytest.approx(able[i][partner])
+        assert all(s < stated + 1e-9 and (s < stated - 1e-9 or j >= partner) for j, s in able[i].items())
+
+
+def check_duplicates(found: dict, rows: list, hours: float = 6, threshold: float = 65, only=lambda i: True) -> None:
+    check_best_earlier(found, rows, ratio, threshold, hours, only)
+
+
+def cosine(a, b) -> float:
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    return float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
 
 
 def title_pairs(rows, hours=6, threshold=40):
     ordered = sorted((t, i, s) for i, t, s in rows if t is not None)
     return {
         (a[1], b[1]): ratio(a[2], b[2])
-        for k, a in enumerate(ordered)
-        for b in ordered[k + 1 :]
+        for a, b in combinations(ordered, 2)
         if b[0] - a[0] <= hours * HOUR and ratio(a[2], b[2]) > threshold
     }
-
-
-def cluster(rows, threshold, hours=24, max_age_hours=None, stories=None):
-    """rows: (id, micros, vector) in processing order.
-
-    Returns [(id, story, similarity or None)] and the stories as dicts; `stories`
-    are earlier ones, whose position is their id.
-    """
-    stories = [dict(s) for s in stories or []]
-    members = []
-    for id_, t, vector in rows:
-        v = np.asarray(vector, dtype=float)
-        length = np.linalg.norm(v)
-        v = v / (length or 1.0)
-        best, best_sim = None, -np.inf
-        for k, story in enumerate(stories):
-            if abs(story["newest"] - t) > hours * HOUR:
-                continue
-            if max_age_hours is not None and story["newest"] - story["first"] > max_age_hours * HOUR:
-                continue
-            n = np.linalg.norm(story["sum"])
-            sim = float(v @ story["sum"] / n) if n else -np.inf
-            if sim > best_sim:
-                best, best_sim = k, sim
-        if best is not None and best_sim >= threshold:
-            story = stories[best]
-            story["sum"] = story["sum"] + v
-            story["newest"], story["first"] = max(story["newest"], t), min(story["first"], t)
-            story["count"] += 1
-            members.append((id_, best, best_sim))
-        else:
-            stories.append({"sum": v, "newest": t, "first": t, "count": 1})
-            members.append((id_, len(stories) - 1, None))
-    return members, stories

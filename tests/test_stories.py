@@ -1,10 +1,9 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from models import HOUR, cluster
+from models import HOUR, check_best_earlier, cosine
 from storystream.operators import stories as st
-from storystream.operators.stories import assign_stories, backfill_stories, threshold_sweep
+from storystream.operators.stories import assign_stories, best_partners, story_states, threshold_sweep, timed_units
 
 
 def rows_of(seed, n, hours, centers=6, noise=0.6, dims=8):
@@ -13,7 +12,7 @@ def rows_of(seed, n, hours, centers=6, noise=0.6, dims=8):
     return [
         (
             i,
-            int(rng.integers(int(hours * HOUR))) // HOUR * HOUR if i % 3 else int(rng.integers(int(hours * HOUR))),
+            int(rng.integers(int(hours * HOUR))),
             [float(x) for x in (middle[rng.integers(centers)] + noise * rng.normal(size=dims)) * rng.uniform(0.5, 3)],
         )
         for i in range(1, n + 1)
@@ -28,60 +27,79 @@ def articles(spark, rows):
     )
 
 
-def check(got, expected):
-    """Same membership and similarities; got: {id: (story, similarity)}."""
-    assert {i: s for i, (s, _) in got.items()} == {i: s for i, s, _ in expected}
-    for i, _, similarity in expected:
-        if similarity is None:
-            assert got[i][1] is None
-        else:
-            assert got[i][1] == pytest.approx(similarity, abs=1e-9)
+def partners(df, **options):
+    units = timed_units(df)
+    return {r.article_id: (r.partner_id, r.similarity) for r in best_partners(units, units, **options).collect()}
 
 
-def members_of(assignment, base=1):
-    return {r.article_id: (r.story_id - base, r.similarity) for r in assignment.members.collect()}
+def check_stories(members, links):
+    """An article is in its partner's story; one without a partner starts a story of its own name."""
+    story = {r.article_id: r.story_id for r in members}
+    for r in members:
+        if r.article_id in links:
+            assert story[r.article_id] == story[links[r.article_id][0]] and r.similarity == links[r.article_id][1]
+        else:
+            assert r.story_id == r.article_id and r.similarity is None
 
 
-@pytest.mark.parametrize("seed,hours,slice_rows", [(1, 60, 4096), (2, 60, 7), (3, 400, 5), (4, 2000, 16)])
-def test_backfill_like_one_by_one(spark, seed, hours, slice_rows):
+@pytest.mark.parametrize("seed,hours,chunk", [(1, 60, 2000), (2, 400, 5), (3, 20, 7)])
+def test_best_partner_and_stories(spark, monkeypatch, seed, hours, chunk):
+    monkeypatch.setattr(st, "CHUNK_ROWS", chunk)
     rows = rows_of(seed, 80, hours)
-    expected, stories = cluster(sorted(rows, key=lambda r: (r[1], r[0])), 0.6)
-    result = backfill_stories(articles(spark, rows), slice_rows=slice_rows)
-    check(members_of(result), expected)
-    for r in result.stories.collect():
-        story = stories[r.story_id - 1]
-        assert r.article_count == story["count"]
-        assert (r.first_t, r.newest_t) == (story["first"], story["newest"])
-        assert r.centroid == pytest.approx(list(story["sum"] / story["count"]))
-
-
-@pytest.mark.parametrize("seed,slice_rows", [(21, 4096), (22, 6)])
-def test_arrival_out_of_order(spark, seed, slice_rows):
-    """Articles in order of id, whose times jump back and forth, on top of earlier stories."""
-    rows = rows_of(seed, 90, 150)
-    first, later = rows[:40], rows[40:]
-    early = backfill_stories(articles(spark, first))
-    known, state = cluster(sorted(first, key=lambda r: (r[1], r[0])), 0.6)
-    expected, _ = cluster(later, 0.6, stories=state)
-    stories = early.stories.select(
-        F.col("story_id").alias("id"),
-        "centroid",
-        "article_count",
-        F.timestamp_micros("first_t").alias("first_at"),
-        F.timestamp_micros("newest_t").alias("newest_at"),
-    )
-    members = early.members.select("article_id", "story_id", "similarity")
-    result = assign_stories(articles(spark, rows), stories, members, slice_rows=slice_rows)
-    check(members_of(result), known + expected)
-    status = {r.article_id: r.status for r in result.members.collect()}
-    assert {status[r[0]] for r in first} == {"existing"}
-    assert "existing" not in {status[r[0]] for r in later}
+    df = articles(spark, rows)
+    links = partners(df)
+    check_best_earlier(links, rows, cosine, 0.6, 24)
+    assert len(links) > 20
+    members = assign_stories(df).members.collect()
+    check_stories(members, links)
+    assert len(members) == 80 and {r.status for r in members} == {"created", "joined"}
+    vectors, times = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}, {i: t for i, t, _ in rows}
+    for r in story_states(assign_stories(df).members, df).collect():
+        mine = [m.article_id for m in members if m.story_id == r.id]
+        assert r.article_count == len(mine)
+        assert r.centroid == pytest.approx(list(np.mean([vectors[i] for i in mine], axis=0)))
+        seconds = [round(x.timestamp() * 1e6) for x in (r.first_at, r.newest_at)]
+        assert seconds == [min(times[i] for i in mine), max(times[i] for i in mine)]
+
+
+def test_later_articles_find_the_stories_of_earlier_ones(spark):
+    """All at once, or on top of stories there are: the same."""
+    rows = rows_of(21, 90, 150)
+    df = articles(spark, rows)
+    whole = {r.article_id: r.story_id for r in assign_stories(df).members.collect()}
+    first = assign_stories(df.filter("id <= 40")).members
+    found = assign_stories(df, first.drop("status")).members.collect()
+    assert {r.article_id: r.story_id for r in found} == whole and len(found) == len(rows)
+    assert {r.article_id for r in found if r.status == "existing"} == set(range(1, 41))
+
+
+def test_states_add_up(spark):
+    rows = rows_of(5, 40, 30)
+    df = articles(spark, rows)
+    members = assign_stories(df).members
+    whole = {r.id: r for r in story_states(members, df).collect()}
+    old = story_states(members.filter("article_id <= 20"), df)
+    later = story_states(members.filter("article_id > 20"), df, old).collect()
+    assert later
+    for r in later:
+        assert (r.article_count, r.first_at, r.newest_at) == (
+            whole[r.id].article_count, whole[r.id].first_at, whole[r.id].newest_at,
+        )
+        assert r.centroid == pytest.approx(whole[r.id].centroid)
+
+
+def test_long_chain(spark):
+    """Each is closest to the one before: one story, named after the first."""
+    angle = np.linspace(0, 3, 70)
+    rows = [(i + 1, i * HOUR // 8, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)]
+    members = assign_stories(articles(spark, rows)).members.collect()
+    assert {r.story_id for r in members} == {1} and len(members) == 70
 
 
 def test_unusable_vectors_get_no_story(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.0, 0.0]), (3, 0, None), (4, HOUR, [1.0, 0.0])]
-    result = backfill_stories(articles(spark, rows))
-    assert members_of(result) == {1: (0, None), 4: (0, pytest.approx(1.0))}
+    result = assign_stories(articles(spark, rows))
+    assert {(r.article_id, r.story_id) for r in result.members.collect()} == {(1, 1), (4, 1)}
     assert {(r.id, r.reason) for r in result.rejected.collect()} == {(2, "zero embedding"), (3, "no embedding")}
 
 
@@ -89,32 +107,21 @@ def test_window_edges_and_ties(spark):
     day = 24 * HOUR
     rows = [
         (1, 0, [1.0, 0.0]),
-        (2, day, [1.0, 0.0]),  # exactly a day: joins
-        (3, 2 * day + 1, [1.0, 0.0]),  # a moment more: starts anew
+        (2, day, [1.0, 0.0]),  # exactly a day: linked
+        (3, 2 * day + 1, [1.0, 0.0]),  # a moment more: not
         (4, 2 * day + 2, [0.0, 1.0]),
         (6, 2 * day + 4, [1.0, 1.0]),  # as close to both: the lower id
     ]
-    df = spark.createDataFrame(rows, "id long, t long, embedding array<double>").selectExpr(
-        "id", "timestamp_micros(t) AS published_at", "timestamp_micros(t) AS created_at", "embedding"
-    )
-    got = members_of(backfill_stories(df))
-    assert {i: s for i, (s, _) in got.items()} == {1: 0, 2: 0, 3: 1, 4: 2, 6: 1}
-
-
-@pytest.mark.parametrize("max_age", [None, 30])
-def test_sweep(spark, max_age):
-    rows = [r for r in rows_of(31, 70, 120)]
-    dated = sorted((r for r in rows if r[0] % 5), key=lambda r: (r[1], r[0]))
-    got = threshold_sweep(articles(spark, rows), [0.5, 0.7], max_age, slice_rows=20).collect()
-    for threshold in (0.5, 0.7):
-        expected, _ = cluster(dated, threshold, max_age_hours=max_age)
-        mine = [(r.article_id, r.story) for r in got if r.threshold == threshold]
-        groups = lambda pairs: {frozenset(i for i, s in pairs if s == k) for k in {s for _, s in pairs}}
-        assert groups(mine) == groups([(i, s) for i, s, _ in expected])
+    assert partners(articles(spark, rows)) == {2: (1, 1.0), 6: (3, pytest.approx(0.5**0.5))}
 
 
-def test_chunked_search_for_stories(spark, monkeypatch):
-    monkeypatch.setattr(st, "STORY_ROWS", 3)
-    rows = rows_of(41, 60, 30, centers=20)
-    expected, _ = cluster(sorted(rows, key=lambda r: (r[1], r[0])), 0.6)
-    check(members_of(backfill_stories(articles(spark, rows), slice_rows=9)), expected)
+@pytest.mark.parametrize("hours", [24, 0.25])
+def test_sweep(spark, hours):
+    rows = rows_of(31, 70, 60)
+    df = articles(spark, rows)
+    got = threshold_sweep(df, [0.5, 0.7], hours).collect()
+    dated = df.filter("published_at IS NOT NULL")
+    for threshold in (0.5, 0.7):
+        members = [r for r in got if r.threshold == threshold]
+        assert len(members) == dated.count()
+        check_stories(members, partners(dated, threshold=threshold, hours=hours))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from models import HOUR, duplicates, title_pairs as plain_pairs
+from models import HOUR, check_duplicates, title_pairs as plain_pairs
 from storystream.operators import titles
 from storystream.operators.titles import title_duplicates, title_pairs
 
@@ -16,11 +16,6 @@ def found(df):
     return {r.id: (r.duplicate_of_id, r.score) for r in df.collect()}
 
 
-def same(got, expected):
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}
-    assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in expected.items()})
-
-
 def random_rows(seed, n, spread_hours, words=("rocket", "lands", "on", "mars", "again", "x")):
     rng = random.Random(seed)
     return [
@@ -37,14 +32,14 @@ def random_rows(seed, n, spread_hours, words=("rocket", "lands", "on", "mars", "
 def test_duplicates_like_one_by_one(spark, monkeypatch, seed, spread, chunk):
     monkeypatch.setattr(titles, "CHUNK_ROWS", chunk)
     rows = random_rows(seed, 90, spread)
-    same(found(title_duplicates(articles(spark, rows))), duplicates(rows))
+    check_duplicates(found(title_duplicates(articles(spark, rows))), rows)
 
 
 def test_copies_of_one_title(spark):
     """A title that most articles carry, at close and equal times, in any order of arrival."""
     rng = random.Random(5)
     rows = [(i, rng.randrange(30) * HOUR // 2 + rng.randrange(3), "one and the same title") for i in range(1, 120)]
-    same(found(title_duplicates(articles(spark, rows))), duplicates(rows))
+    check_duplicates(found(title_duplicates(articles(spark, rows))), rows)
 
 
 def test_edges(spark):
@@ -63,7 +58,7 @@ def test_edges(spark):
         (10, None, a),
     ]
     got = found(title_duplicates(articles(spark, rows)))
-    same(got, duplicates(rows))
+    check_duplicates(got, rows)
     assert got[2] == (1, 65.0) and 3 not in got and got[7][0] == 5 and got[9] == (8, 100.0)
 
 
@@ -71,7 +66,7 @@ def test_only_new_rows_are_checked(spark):
     rows = random_rows(7, 60, 12)
     df = articles(spark, rows)
     got = found(title_duplicates(df, new=df["id"] >= 40))
-    same(got, {k: v for k, v in duplicates(rows).items() if k >= 40})
+    check_duplicates(got, rows, only=lambda i: i >= 40)
 
 
 @pytest.mark.parametrize("seed,chunk", [(11, 2000), (12, 9)])
