@@ -9,6 +9,7 @@ a spare bit that takes its carry, so a step serves all of them at once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,11 @@ from storystream.functions.text import WHITESPACE
 
 # Bits packed into one integer: enough to outweigh the interpreter's cost per step
 PACK_BITS = 16_384
+# Characters are counted in bins; characters that share one can only raise the bound
+BINS = 128
+BOUND_ROWS = 16_384
+# No code point
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def token_sort_key(title: Column) -> Column:
@@ -35,6 +41,14 @@ class Titles:
         self.codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in titles]
         self.lengths = np.array([len(c) for c in self.codes], dtype=np.int64)
 
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """How often the characters of each bin occur in each title."""
+        bins = np.concatenate([np.empty(0, dtype=np.uint32), *self.codes]) % BINS
+        owner = np.repeat(np.arange(len(self.codes)), self.lengths)
+        flat = np.bincount(owner * BINS + bins, minlength=len(self.codes) * BINS)
+        return flat.reshape(len(self.codes), BINS).astype(np.int32)
+
 
 def score_bound(left: Titles, right: Titles, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Upper bound of the score: an LCS is no longer than the shorter title."""
@@ -42,6 +56,16 @@ def score_bound(left: Titles, right: Titles, i: np.ndarray, j: np.ndarray) -> np
     return np.where(a + b == 0, 100.0, 200.0 * np.minimum(a, b) / np.maximum(a + b, 1))
 
 
+def letter_bound(left: Titles, right: Titles, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bound of the score: an LCS has no character more often than either title."""
+    common = np.zeros(len(i), dtype=np.int64)
+    for at in range(0, len(i), BOUND_ROWS):
+        part = slice(at, at + BOUND_ROWS)
+        common[part] = np.minimum(left.counts[i[part]], right.counts[j[part]]).sum(axis=1)
+    total = left.lengths[i] + right.lengths[j]
+    return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
+
+
 def scores(left: Titles, right: Titles, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact scores of the pairs `(i, j)`."""
     total = left.lengths[i] + right.lengths[j]
@@ -103,12 +127,45 @@ class _Pack:
         return np.add.reduceat(np.bitwise_count(cleared), self.starts, dtype=np.int64)
 
 
+def _pair_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """LCS lengths of some pairs: all left titles in one integer, a step takes the next character of every right one."""
+    lengths = np.array([len(c) for c in left], dtype=np.int64)
+    steps = np.array([len(c) for c in right], dtype=np.int64)
+    slots = lengths // 8 + 1
+    starts, size = np.cumsum(slots) - slots, int(slots.sum())
+    letters, others = np.concatenate(left), np.concatenate(right)
+    owner = np.repeat(np.arange(len(left)), lengths)
+    bits = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[owner] * 8
+    begin = np.cumsum(steps) - steps
+    flags = np.zeros(size * 8, dtype=bool)
+
+    def integer(marked) -> int:
+        flags[bits] = marked
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    state = full = integer(True)
+    for step in range(int(steps.max())):
+        more = step < steps
+        letter = np.full(len(right), _NONE)
+        letter[more] = others[begin[more] + step]
+        match = state & integer(letters == letter[owner])
+        state = ((state + match) | (state - match)) & full
+    cleared = np.frombuffer((state ^ full).to_bytes(size, "little"), dtype=np.uint8)
+    return np.add.reduceat(np.bitwise_count(cleared), starts, dtype=np.int64)
+
+
 def pair_scores(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     """Scores of titles pairwise by position, both already token-sorted."""
     a, b = Titles(left), Titles(right)
-    common = [int(_Pack([x]).common(y)[0]) if len(x) else 0 for x, y in zip(a.codes, b.codes)]
     total = a.lengths + b.lengths
-    return np.where(total == 0, 100.0, 200.0 * np.array(common, dtype=np.int64) / np.maximum(total, 1))
+    common = np.zeros(len(total), dtype=np.int64)
+    # Pairs whose right titles are of like length go together, as a pack takes as many steps as its longest
+    order = np.argsort(b.lengths, kind="stable")
+    filled = np.cumsum(a.lengths[order] + 8) // PACK_BITS
+    for pack in np.split(order, np.flatnonzero(np.diff(filled)) + 1):
+        if len(pack):
+            common[pack] = _pair_common([a.codes[i] for i in pack], [b.codes[i] for i in pack])
+    return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from storystream.functions.fuzzy import token_sort_ratio
 from storystream.functions.vectors import l2_normalize
-from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros, tiled
+from storystream.operators.tiles import MICROS_PER_HOUR, PARTNERS, all_partners, in_tiles, micros, partners, tiled
 from storystream.session import materialize
 
 COSINE_THRESHOLD = 0.5
 WINDOW_HOURS = 6
 CHUNK_ROWS = 2000
+DIGITS = 12
 # Left rows multiplied with a whole chunk at a time
 BLOCK_ROWS = 250
 
@@ -37,18 +38,18 @@ def _matches(left: pd.DataFrame, right: pd.DataFrame, width: int, threshold: flo
         yield i + at, j, cosine[i, j]
 
 
-def _pairs_in_tile(hours: int, threshold: float):
+def _partners_in_tile(hours: int, threshold: float):
     width = hours * MICROS_PER_HOUR
 
-    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        found = [
-            pd.DataFrame({"id_a": ids[i], "id_b": others[j], "cosine": cosine})
-            for i, j, cosine in _matches(left, right, width, threshold)
-        ]
-        return pd.concat(found) if found else pd.DataFrame({"id_a": [], "id_b": [], "cosine": []})
+        parts = [partners(ids[:0], others[:0], np.empty(0))]
+        for i, j, cosine in _matches(left, right, width, threshold):
+            # Rounded, as the order of a sum must not decide between equal vectors
+            parts.append(partners(ids[i], others[j], np.round(cosine, DIGITS)))
+        return pd.concat(parts)
 
-    return pairs
+    return found
 
 
 def _count_in_tile(hours: int, threshold: float):
@@ -68,32 +69,33 @@ def _tiles(articles: DataFrame, hours: int) -> tuple[DataFrame, DataFrame]:
     return tiled(units, units, hours, [0, 1], CHUNK_ROWS)
 
 
-def cosine_pairs(
+def cosine_partners(
     articles: DataFrame, hours: int = WINDOW_HOURS, threshold: float = COSINE_THRESHOLD
 ) -> DataFrame:
-    """Pairs in time order, at most `hours` apart, with at least the threshold's cosine.
+    """Per article that has any: the best of the later ones, at most `hours` on, with at least the threshold's
+    cosine, ties to the lowest id, and the number of these partners.
 
     Only dated articles with an embedding take part. The products of a tile are
-    one matrix multiplication; only pairs that pass leave the task.
+    one matrix multiplication; the pairs stay in the tile.
     """
     tiles = _tiles(articles, hours)
-    return in_tiles(*tiles, _pairs_in_tile(hours, threshold), "id_a long, id_b long, cosine double")
+    return all_partners(in_tiles(*tiles, _partners_in_tile(hours, threshold), PARTNERS))
 
 
 def cosine_pair_count(
     articles: DataFrame, hours: int = WINDOW_HOURS, threshold: float = COSINE_THRESHOLD
 ) -> DataFrame:
-    """How many pairs `cosine_pairs` has, counted inside the tiles."""
+    """How many pairs are as near as `cosine_partners` asks, counted inside the tiles."""
     counts = in_tiles(*_tiles(articles, hours), _count_in_tile(hours, threshold), "n long")
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
 
 def with_titles(pairs: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """Pairs with both sides' title and source name, and the score of the titles."""
+    """Articles and partners with both sides' title and source name, and the score of the titles."""
     named = articles.join(sources, articles["source_id"] == sources["id"]).select(
         articles["id"], articles["title"], sources["name"].alias("source")
     )
-    for side in ("a", "b"):
-        columns = {"id": f"id_{side}", "title": f"title_{side}", "source": f"source_{side}"}
-        pairs = pairs.join(named.select([F.col(c).alias(n) for c, n in columns.items()]), f"id_{side}")
+    for key, side in (("id", "a"), ("partner_id", "b")):
+        columns = {"id": key, "title": f"title_{side}", "source": f"source_{side}"}
+        pairs = pairs.join(named.select([F.col(c).alias(n) for c, n in columns.items()]), key)
     return pairs.withColumn("title_score", token_sort_ratio(F.col("title_a"), F.col("title_b")))

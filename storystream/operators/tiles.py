@@ -11,11 +11,14 @@ happens inside the tile, which returns only the pairs that pass.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_HOUR = 3_600_000_000
 TILE = ["bucket", "reach", "left_chunk", "right_chunk"]
+PARTNERS = "id long, partner_id long, score double, partners long"
 
 
 def micros(time: Column) -> Column:
@@ -78,3 +81,28 @@ def in_tiles(left: DataFrame, right: DataFrame, fn, schema: str, keys: list[str]
     """Apply `fn` to both sides of every tile."""
     grouped = spread(left, keys).groupBy(*keys)
     return grouped.cogroup(spread(right, keys).groupBy(*keys)).applyInPandas(fn, schema)
+
+
+def partners(row: np.ndarray, partner: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    """Per row of some pairs: its best partner, ties to the lowest id, and how many it has."""
+    order = np.lexsort((partner, -score, row))
+    row, partner, score = row[order], partner[order], score[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, dtype=int)
+    return pd.DataFrame(
+        {
+            "id": row[first],
+            "partner_id": partner[first],
+            "score": score[first],
+            "partners": np.diff(np.r_[first, len(row)]),
+        }
+    )
+
+
+def all_partners(found: DataFrame) -> DataFrame:
+    """The partners that tiles found, put together: one row per article."""
+    best = F.max(F.struct("score", (-F.col("partner_id")).alias("minus_id")))
+    return (
+        found.groupBy("id")
+        .agg(best.alias("best"), F.sum("partners").alias("partners"))
+        .select("id", (-F.col("best.minus_id")).alias("partner_id"), F.col("best.score").alias("score"), "partners")
+    )

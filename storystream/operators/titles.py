@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storystream.functions.fuzzy import Titles, score_bound, scores, token_sort_key
-from storystream.operators.tiles import MICROS_PER_HOUR, in_tiles, micros, tiled
+from storystream.functions.fuzzy import Titles, letter_bound, score_bound, scores, token_sort_key
+from storystream.operators.tiles import MICROS_PER_HOUR, PARTNERS, all_partners, in_tiles, micros, partners, tiled
 from storystream.session import materialize
 
 DUPLICATE_THRESHOLD = 65
@@ -102,13 +102,14 @@ class _TileTitles:
         self.left, self.right = Titles(left_keys), Titles(right_keys)
 
     def score(self, i: np.ndarray, j: np.ndarray, at_least: float) -> np.ndarray:
-        """Scores of the row pairs; 0 where the lengths rule out `at_least`."""
+        """Scores of the row pairs; 0 where lengths or characters rule out `at_least`."""
         width = len(self.right.lengths)
         distinct, back = np.unique(
             self.left_of[i].astype(np.int64) * width + self.right_of[j], return_inverse=True
         )
         a, b = distinct // width, distinct % width
         keep = np.flatnonzero(score_bound(self.left, self.right, a, b) >= at_least)
+        keep = keep[letter_bound(self.left, self.right, a[keep], b[keep]) >= at_least]
         values = np.zeros(len(distinct))
         values[keep] = scores(self.left, self.right, a[keep], b[keep])
         return values[back]
@@ -192,10 +193,10 @@ def title_duplicates(
     return same.unionByName(similar)
 
 
-def _pairs_in_tile(hours: int, threshold: float):
+def _partners_in_tile(hours: int, threshold: float):
     width = hours * MICROS_PER_HOUR
 
-    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         t, times = left["t"].to_numpy(), right["t"].to_numpy()
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
 
@@ -204,23 +205,25 @@ def _pairs_in_tile(hours: int, threshold: float):
             return (gap > 0) | ((gap == 0) & (others[None, :] > ids[p, None]))
 
         titles = _TileTitles(left["key"], right["key"])
-        found = []
+        parts = [partners(ids[:0], others[:0], np.empty(0))]
         for i, j in _window_pairs(left, right, width, later):
             score = titles.score(i, j, threshold)
             kept = score > threshold
-            found.append(
-                pd.DataFrame({"id_a": ids[i[kept]], "id_b": others[j[kept]], "score": score[kept]})
-            )
-        empty = pd.DataFrame({"id_a": [], "id_b": [], "score": []})
-        return pd.concat(found) if found else empty
+            parts.append(partners(ids[i[kept]], others[j[kept]], score[kept]))
+        return pd.concat(parts)
 
-    return pairs
+    return found
 
 
-def title_pairs(
+def title_partners(
     articles: DataFrame, hours: int = WINDOW_HOURS, threshold: float = PAIR_THRESHOLD
 ) -> DataFrame:
-    """Pairs in time order, at most `hours` apart, whose titles score above the threshold."""
+    """Per article that has any: the best of the later ones, at most `hours` on, whose titles score above the
+    threshold, ties to the lowest id, and the number of these partners.
+
+    Every pair is scored, but pairs stay in their tile, so the result grows with
+    the articles and not with their pairs.
+    """
     keyed = materialize(_keyed(articles), "titles")
     left, right = tiled(keyed, keyed, hours, [0, 1], CHUNK_ROWS)
-    return in_tiles(left, right, _pairs_in_tile(hours, threshold), "id_a long, id_b long, score double")
+    return all_partners(in_tiles(left, right, _partners_in_tile(hours, threshold), PARTNERS))

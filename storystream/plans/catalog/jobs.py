@@ -10,9 +10,9 @@ from storystream.functions.vectors import norm
 from storystream.operators import ingest
 from storystream.operators.enrich import with_embeddings
 from storystream.operators.entities import link_entities, mention_counts
-from storystream.operators.pairs import cosine_pair_count, cosine_pairs, with_titles
+from storystream.operators.pairs import cosine_pair_count, cosine_partners, with_titles
 from storystream.operators.stories import assign_stories, cluster_size_report, story_states, threshold_sweep
-from storystream.operators.titles import title_duplicates, title_pairs
+from storystream.operators.titles import title_duplicates, title_partners
 from storystream.plans import fixtures as fx
 from storystream.plans import maintenance
 from storystream.plans.catalog.registry import query
@@ -29,9 +29,9 @@ _EARLIER = "b.t BETWEEN a.t - INTERVAL 6 HOUR AND a.t + INTERVAL 6 HOUR AND b.id
 _LATER = "b.t BETWEEN a.t AND a.t + INTERVAL 6 HOUR AND (b.t > a.t OR b.id > a.id)"
 
 
-def _title_scores(near: str, threshold: int, rows: str = "articles_fx") -> str:
+def _title_scores(near: str, threshold: int, rows: str = "articles_fx", first: str = "") -> str:
     return rf"""
-WITH keys_fx AS (SELECT id, published_at AS t, array_to_string(list_sort(list_filter(
+WITH {first} keys_fx AS (SELECT id, published_at AS t, array_to_string(list_sort(list_filter(
         regexp_split_to_array(title, '\s+'), lambda w: w <> '')), ' ') AS s
       FROM {rows} WHERE published_at IS NOT NULL),
   letters AS (SELECT id, unnest(list_transform(string_split(s, ''), lambda x: unicode(x))) AS c,
@@ -90,11 +90,14 @@ def processed_sink(spark, sf_dir):
 
 @query(
     "title_pairs",
-    _title_scores(_LATER, 40) + "SELECT a AS id_a, b AS id_b, round(score, 6) AS score FROM scored WHERE score > 40",
+    _title_scores(_LATER, 40)
+    + """SELECT a AS id, arg_max(b, (score, -b)) AS partner_id, round(max(score), 6) AS score, count(*) AS partners
+         FROM scored WHERE score > 40 GROUP BY a""",
 )
 def pairs_by_title(spark, sf_dir):
-    pairs = title_pairs(fx.articles(spark, sf_dir))
-    return pairs.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "id_a", "id_b")
+    """Per article its best later partner by title, and how many it has, best first."""
+    found = title_partners(fx.articles(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "id")
 
 
 @query(
@@ -118,22 +121,31 @@ _COSINES = """SELECT a.id AS id_a, b.id AS id_b, list_dot_product(u.u, w.u) AS c
   JOIN units_fx u ON u.id = a.id JOIN units_fx w ON w.id = b.id"""
 
 
+_COSINE_PARTNERS = f"""best AS (SELECT id_a AS id, arg_max(id_b, (round(cosine, 12), -id_b)) AS partner_id,
+  max(round(cosine, 12)) AS cosine, count(*) AS partners FROM ({_COSINES}) WHERE cosine >= 0.5 GROUP BY id_a),"""
+
+
 @query(
     "cosine_pairs",
-    f"""SELECT id_a, id_b, round(cosine, 9) AS cosine, sa.source_id AS source_a, sb.source_id AS source_b
-        FROM ({_COSINES}) p JOIN articles_fx sa ON sa.id = id_a JOIN articles_fx sb ON sb.id = id_b
-        WHERE cosine >= 0.5""",
+    _title_scores("(a.id, b.id) IN (SELECT (id, partner_id) FROM best)", 0, first=_COSINE_PARTNERS)
+    + """SELECT p.id, partner_id, round(cosine, 9) AS cosine, partners, round(coalesce(score, 0), 6) AS title_score,
+           sa.source_id AS source_a, sb.source_id AS source_b
+         FROM best p LEFT JOIN scored s ON s.a = p.id AND s.b = partner_id
+         JOIN articles_fx sa ON sa.id = p.id JOIN articles_fx sb ON sb.id = partner_id""",
 )
 def pairs_by_cosine(spark, sf_dir):
+    """Per article its nearest later partner and the score of their titles, and how many it has, nearest first."""
     articles = fx.embedded_articles(spark, sf_dir)
-    pairs = with_titles(cosine_pairs(articles), articles, fx.sources(spark, sf_dir))
-    return pairs.select(
-        "id_a",
-        "id_b",
-        F.round("cosine", 9).alias("cosine"),
+    found = with_titles(cosine_partners(articles), articles, fx.sources(spark, sf_dir))
+    return found.select(
+        "id",
+        "partner_id",
+        F.round("score", 9).alias("cosine"),
+        "partners",
+        F.round("title_score", 6).alias("title_score"),
         F.substring("source_a", 4, 9).cast("long").alias("source_a"),
         F.substring("source_b", 4, 9).cast("long").alias("source_b"),
-    ).orderBy(F.col("cosine").desc(), "id_a", "id_b")
+    ).orderBy(F.col("cosine").desc(), "id")
 
 
 @query("pair_match_count", f"SELECT count(*) AS pairs FROM ({_COSINES}) WHERE cosine >= 0.5")

@@ -5,7 +5,7 @@ from storystream.operators import entities, ingest
 from storystream.operators.enrich import embed_articles, mentions
 from storystream.operators.nearest import nearest_stories
 from storystream.operators.numbering import with_sequence
-from storystream.operators.pairs import cosine_pair_count, cosine_pairs
+from storystream.operators.pairs import cosine_pair_count, cosine_partners
 from storystream.plans import listings, maintenance
 from storystream.sources import messages
 
@@ -67,13 +67,13 @@ def test_models_are_pluggable(spark):
     assert sorted((r.article_id, r.name, r.type) for r in rows) == [(1, "T", "FIRST"), (2, "T", "FIRST")]
 
 
-def test_cosine_pairs_edges(spark):
+def test_cosine_partners_edges(spark):
     hour = 3_600_000_000
     rows = [(1, 0, [1.0, 0.0]), (2, 6 * hour, [1.0, 3**0.5 - 1e-9]), (3, 6 * hour + 1, [1.0, 0.0]), (4, 0, [0.0, 0.0]), (5, None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, t long, embedding array<double>").selectExpr(
         "id", "timestamp_micros(t) AS published_at", "embedding"
     )
-    assert sorted((r.id_a, r.id_b) for r in cosine_pairs(df).collect()) == [(1, 2), (2, 3)]
+    assert sorted((r.id, r.partner_id, r.partners) for r in cosine_partners(df).collect()) == [(1, 2, 1), (2, 3, 1)]
     assert cosine_pair_count(df).first()[0] == 2
 
 

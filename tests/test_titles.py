@@ -4,7 +4,7 @@ import pytest
 
 from models import HOUR, check_duplicates, title_pairs as plain_pairs
 from storystream.operators import titles
-from storystream.operators.titles import title_duplicates, title_pairs
+from storystream.operators.titles import title_duplicates, title_partners
 
 
 def articles(spark, rows):
@@ -73,5 +73,9 @@ def test_only_new_rows_are_checked(spark):
 def test_pairs(spark, monkeypatch, seed, chunk):
     monkeypatch.setattr(titles, "CHUNK_ROWS", chunk)
     rows = random_rows(seed, 60, 20)
-    got = {(r.id_a, r.id_b): r.score for r in title_pairs(articles(spark, rows)).collect()}
-    assert got == pytest.approx(plain_pairs(rows))
+    got = {r.id: (r.score, -r.partner_id, r.partners) for r in title_partners(articles(spark, rows)).collect()}
+    pairs = plain_pairs(rows)
+    assert got.keys() == {a for a, _ in pairs}
+    for a, best in got.items():
+        scored = [(score, -b) for (x, b), score in pairs.items() if x == a]
+        assert best == pytest.approx((*max(scored), len(scored)))
