@@ -449,19 +449,24 @@ def repoint_articles(spark, sf_dir):
     return maintenance.repoint_articles(fx.repeated_source_articles(spark, sf_dir), canonical)
 
 
-@query(
-    "constraint_check",
-    """SELECT 'articles unique url' AS "constraint", url AS value, count(*) AS rows FROM articles_fx GROUP BY url
-         HAVING count(*) > 1
-       UNION ALL SELECT 'sources unique name', name, count(*) FROM dup_sources_fx GROUP BY name HAVING count(*) > 1
-       UNION ALL SELECT 'articles foreign key source_id', CAST(source_id AS VARCHAR), count(*) FROM articles_fx
-         WHERE source_id NOT IN (SELECT id FROM sources_fx WHERE id % 4 > 0) GROUP BY source_id""",
-)
+def _audit() -> str:
+    """Every key over the tables that break it."""
+    tables = {name: f"({sql})" for name, sql in fx.AUDITED.items()}
+    found = []
+    for table, columns in maintenance.UNIQUE_KEYS:
+        value = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+        found.append(
+            f"""SELECT '{table} unique {", ".join(columns)}' AS "constraint", {value} AS value, count(*) AS rows
+            FROM {tables[table]} GROUP BY ALL HAVING count(*) > 1"""
+        )
+    for table, column, parent in maintenance.FOREIGN_KEYS:
+        found.append(
+            f"""SELECT '{table} foreign key {column}', CAST({column} AS VARCHAR), count(*) FROM {tables[table]}
+            WHERE {column} NOT IN (SELECT id FROM {tables[parent]}) GROUP BY {column}"""
+        )
+    return " UNION ALL ".join(found).replace("FROM repeated_sources", "FROM dup_sources_fx")
+
+
+@query("constraint_check", _audit())
 def constraint_check(spark, sf_dir):
-    articles = fx.articles(spark, sf_dir)
-    some = fx.sources(spark, sf_dir).filter("id % 4 > 0")
-    return (
-        maintenance.repeated_keys(articles, "articles", ["url"])
-        .unionByName(maintenance.repeated_keys(fx.repeated_sources(spark, sf_dir), "sources", ["name"]))
-        .unionByName(maintenance.missing_parents(articles, "articles", "source_id", some))
-    )
+    return maintenance.constraint_check(fx.audited(spark, sf_dir))

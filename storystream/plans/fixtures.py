@@ -124,6 +124,23 @@ FROM documents d JOIN (SELECT source, lang, min(doc_id) AS source_id FROM docume
   ON s.source = d.source AND s.lang = d.lang
 """
 
+# Tables with rows that break each constraint: copies of rows, and keys that are nowhere
+AUDITED = {
+    "sources": """SELECT id, url FROM repeated_sources
+      UNION ALL SELECT -id AS id, url FROM repeated_sources WHERE id % 3 = 0""",
+    "articles": """SELECT id, CASE WHEN id % 25 = 9 THEN -2000000000 - id ELSE source_id END AS source_id, url,
+        CASE WHEN id % 50 = 7 THEN -id WHEN id % 5 = 2 THEN id - 1 END AS duplicate_of_id FROM articles_fx""",
+    "entities": "SELECT DISTINCT id % 9 AS id FROM articles_fx",
+    "article_entities": """SELECT id AS article_id, id % 10 AS entity_id FROM articles_fx
+      UNION ALL SELECT id AS article_id, id % 10 AS entity_id FROM articles_fx WHERE id % 20 = 3
+      UNION ALL SELECT -id AS article_id, 1 AS entity_id FROM articles_fx WHERE id % 30 = 4""",
+    "stories": """SELECT DISTINCT CAST(floor(id / 4) AS BIGINT) AS id FROM articles_fx
+      WHERE CAST(floor(id / 4) AS BIGINT) % 7 <> 3""",
+    "story_articles": """SELECT CAST(floor(id / 4) AS BIGINT) AS story_id, id AS article_id FROM articles_fx
+      UNION ALL SELECT 0 AS story_id, id AS article_id FROM articles_fx WHERE id % 40 = 6
+      UNION ALL SELECT 0 AS story_id, -id AS article_id FROM articles_fx WHERE id % 30 = 4""",
+}
+
 # When a document's article appeared, as text; the dialects differ in the name of the function
 MOMENT = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '7' MINUTE * doc_id"
 MOMENT_SPARK = f"""date_format({MOMENT.replace("TIMESTAMP", "TIMESTAMP_NTZ")}, "yyyy-MM-dd'T'HH:mm:ss")"""
@@ -181,6 +198,14 @@ def repeated_source_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, REPEATED_SOURCE_ARTICLES, documents=table(spark, sf_dir, "documents"))
 
 
+def audited(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables in which every constraint is broken somewhere."""
+    given = {"repeated_sources": repeated_sources(spark, sf_dir), "articles_fx": articles(spark, sf_dir)}
+    return {
+        name: _run(spark, sql, **{k: v for k, v in given.items() if f"FROM {k}" in sql}) for name, sql in AUDITED.items()
+    }
+
+
 def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, RAW_FIELDS.format(moment=MOMENT_SPARK), documents=table(spark, sf_dir, "documents"))
 

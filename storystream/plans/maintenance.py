@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -146,6 +148,30 @@ def missing_parents(df: DataFrame, table: str, column: str, parents: DataFrame,
     )
 
 
+# The keys of the stored tables, and where foreign keys point
+UNIQUE_KEYS = [
+    ("sources", ["url"]),
+    ("articles", ["url"]),
+    ("article_entities", ["article_id", "entity_id"]),
+    ("story_articles", ["article_id"]),
+]
+FOREIGN_KEYS = [
+    ("articles", "source_id", "sources"),
+    ("articles", "duplicate_of_id", "articles"),
+    ("article_entities", "article_id", "articles"),
+    ("article_entities", "entity_id", "entities"),
+    ("story_articles", "story_id", "stories"),
+    ("story_articles", "article_id", "articles"),
+]
+
+
+def constraint_check(tables: dict[str, DataFrame]) -> DataFrame:
+    """Violations of all keys: constraint, value, number of rows."""
+    found = [repeated_keys(tables[table], table, columns) for table, columns in UNIQUE_KEYS]
+    found += [missing_parents(tables[table], table, column, tables[parent]) for table, column, parent in FOREIGN_KEYS]
+    return reduce(DataFrame.unionByName, found)
+
+
 def apply(tables: dict[str, DataFrame], folder: str) -> None:
     """Write a job's tables as a new snapshot; leaving this out is the dry run."""
     for name, df in tables.items():
