@@ -521,6 +521,11 @@ def _feed_entries(spark, sf_dir):
         F.lit("</description><pubDate>"), F.date_format(moment, "E, dd MMM yyyy HH:mm:ss"),
         F.lit(" GMT</pubDate></item>"),
     )
+    other_item = F.concat(
+        F.lit("<item><title>"), title, F.lit("</title><guid isPermaLink='true'>"), link,
+        F.lit("</guid><content:encoded>"), summary, F.lit("</content:encoded><dc:date>"),
+        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</dc:date></item>"),
+    )
     entry = F.concat(
         F.lit("<entry><title type='text'>"), title, F.lit("</title><link rel='alternate' href='"), link,
         F.lit("'/><summary type='html'>"), summary, F.lit("</summary><updated>"),
@@ -530,11 +535,17 @@ def _feed_entries(spark, sf_dir):
         (F.col("doc_id") % 2).alias("kind"),
         F.concat_ws("-", "source", F.floor(F.col("doc_id") / 1000), F.col("doc_id") % 2).alias("feed"),
         F.col("doc_id").alias("line"),
-        F.when(F.col("doc_id") % 2 == 0, item).otherwise(entry).alias("value"),
+        F.when(F.col("doc_id") % 4 == 0, item)
+        .when(F.col("doc_id") % 4 == 2, other_item)
+        .otherwise(entry)
+        .alias("value"),
     )
     documents = rows.select("kind", "feed").distinct()
     atom = F.col("kind") == 1
-    first = F.when(atom, '<feed xmlns="http://www.w3.org/2005/Atom">').otherwise('<rss version="2.0"><channel>')
+    first = F.when(atom, '<feed xmlns="http://www.w3.org/2005/Atom">').otherwise(
+        '<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"'
+        ' xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'
+    )
     last = F.when(atom, "</feed>").otherwise("</channel></rss>")
     lines = rows.unionByName(documents.withColumns({"line": F.lit(-1).cast("long"), "value": first})).unionByName(
         documents.withColumns({"line": F.lit(2**62), "value": last})

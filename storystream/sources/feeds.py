@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from storystream.functions.text import (
     first_nonempty,
     html_text_full,
+    is_present,
     is_valid_entry,
     iso_format,
     parse_published,
@@ -33,8 +34,9 @@ _MARKED = T.StructType([T.StructField("_type", _TEXT), T.StructField("_VALUE", _
 RSS_ITEM = T.StructType(
     [
         T.StructField(name, _TEXT)
-        for name in ("title", "link", "description", "pubDate")
+        for name in ("title", "link", "description", "encoded", "pubDate", "date")
     ]
+    + [T.StructField("guid", T.StructType([T.StructField("_isPermaLink", _TEXT), T.StructField("_VALUE", _TEXT)]))]
 )
 ATOM_ENTRY = T.StructType(
     [
@@ -65,14 +67,20 @@ def _xml(spark: SparkSession, path: str, row: str, schema: T.StructType, stream:
 
 
 def read_rss(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Entries of RSS documents: file, title, link, summary, published, updated."""
+    """Entries of RSS documents: file, title, link, summary, published, updated.
+
+    `guid` stands in for a missing link unless it says that it is none,
+    `content:encoded` for a missing description; `dc:date` is when it was updated.
+    """
+    link, guid = F.col("link"), F.col("guid")
+    permalink = F.lower(F.coalesce(guid["_isPermaLink"], F.lit("true"))) != "false"
     return _xml(spark, path, "item", RSS_ITEM, stream).select(
         F.col("_metadata.file_path").alias("file"),
         "title",
-        "link",
-        F.col("description").alias("summary"),
+        F.coalesce(F.when(is_present(link), link), F.when(permalink, guid["_VALUE"])).alias("link"),
+        F.coalesce("description", "encoded").alias("summary"),
         F.col("pubDate").alias("published"),
-        F.lit(None).cast("string").alias("updated"),
+        F.col("date").alias("updated"),
     )
 
 
