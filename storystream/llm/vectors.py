@@ -1,11 +1,10 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by comparing all pairs of a label, in tiles of bounded size.
 
-Each pass writes a vector as a string of signs of random projections and sorts
-all vectors of a label by it; vectors at a small angle share a long prefix in some
-pass and meet in a bounded window of neighbours. Verified neighbours of all passes
-are united into components, and inside a component every pair is then compared
-exactly, in tiles of bounded size, so the links of a vector are complete within
-all that the passes connected. Equal vectors are one row from the start.
+A label's vectors are dealt into chunks, and each pair of chunks is one tile: a
+matrix product that returns the number of links of each vector and a spanning
+forest of them, never the pairs. So links and components are exact, however large
+a label is and whatever direction its vectors share. Equal vectors are one row
+from the start.
 """
 
 from __future__ import annotations
@@ -16,17 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storystream.llm.links import components
-from storystream.operators.numbering import with_sequence
 from storystream.session import materialize
 
 COSINE = 0.93
-PASSES = 12
-BITS = 48
-#: Neighbours on each side that a vector is compared with in a pass
-WINDOW = 64
-BLOCK_ROWS = 4096
-TILE_ROWS = 1024
-SEED = 11
+#: Rows of a chunk, and numbers in its vectors
+CHUNK_ROWS, CHUNK_VALUES = 16384, 1 << 20
+#: Rows of a chunk that are multiplied with the other chunk at once
+BLOCK_ROWS = 512
 
 
 def _unit(vectors) -> np.ndarray:
@@ -36,89 +31,68 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def projection_codes(vectors, passes: int, bits: int, seed: int) -> np.ndarray:
-    """One integer of `bits` sign bits per vector and pass; the planes depend on seed, pass and dimension only."""
-    x = _unit(vectors)
-    out = np.zeros((len(x), passes), np.int64)
-    for p in range(passes):
-        planes = np.random.default_rng([seed, p, x.shape[1]]).standard_normal((x.shape[1], bits))
-        signs = (x @ planes > 0).astype(np.int64)
-        out[:, p] = signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-    return out
-
-
-def _explode_passes(passes: int, bits: int, seed: int):
-    def run(batches):
-        for pdf in batches:
-            for _, rows in pdf.groupby(pdf["v"].map(len)):
-                codes = projection_codes(rows["v"], passes, bits, seed)
-                for p in range(passes):
-                    yield pd.DataFrame(
-                        {"label": rows["label"], "pass": p, "code": codes[:, p], "rep": rows["rep"], "v": rows["v"]}
-                    )
-
-    return run
-
-
-def _forest(n: int, pairs) -> list[tuple[int, int]]:
-    parent = list(range(n))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    kept = []
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[a] = b
-            kept.append((i, j))
-    return kept
-
-
-def _neighbours(cosine: float, window: int):
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, run in block.groupby(["label", "pass", "dim"]):
-            run = run.sort_values("seq")
-            x, home = _unit(run["v"]), run["home"].to_numpy()
-            ids, links = run["rep"].to_numpy(), []
-            for step in range(1, min(window, len(run) - 1) + 1):
-                near = np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine
-                links += [(i, i + step) for i in np.flatnonzero(near & home[step:])]
-            found += [(ids[i], ids[j]) for i, j in _forest(len(run), links)]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return compare
+def _near(x: np.ndarray, y: np.ndarray, x_low: np.ndarray, y_low: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of x and y reach the cosine: in single precision, and again in double where that is too close."""
+    product = x_low @ y_low.T
+    hits = product >= cosine
+    # Beyond the rounding of the product and of its factors
+    close = np.abs(product - cosine) <= (x.shape[1] + 8) * 2.0**-23
+    for i in np.flatnonzero(close.any(axis=1)):
+        j = np.flatnonzero(close[i])
+        hits[i, j] = y[j] @ x[i] >= cosine
+    return hits
 
 
 def _tile_links(cosine: float):
-    def count(tile: pd.DataFrame) -> pd.DataFrame:
-        i, j = tile["part"].iloc[0]
-        left = tile[tile["chunk"] == i]
-        right = tile[tile["chunk"] == j]
-        hits = _unit(left["v"]) @ _unit(right["v"]).T >= cosine
-        if i == j:
-            np.fill_diagonal(hits, False)
-        links = [(left["rep"].to_numpy(), hits @ right["copies"].to_numpy())]
-        if i != j:
-            links.append((right["rep"].to_numpy(), left["copies"].to_numpy() @ hits))
-        return pd.DataFrame(
-            {"rep": np.concatenate([r for r, _ in links]), "links": np.concatenate([n for _, n in links])}
-        )
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        low, high = tile["part"].iloc[0]
+        same = low == high
+        left = tile[tile["chunk"] == low]
+        right = tile[tile["chunk"] == high]
+        if left.empty or right.empty:
+            return pd.DataFrame({"rep": [], "other": [], "links": []}, dtype=np.int64)
+        x, y = _unit(left["v"]), _unit(right["v"])
+        x_low, y_low = x.astype(np.float32), y.astype(np.float32)
+        x_rep, y_rep = left["rep"].to_numpy(), right["rep"].to_numpy()
+        x_copies, y_copies = left["copies"].to_numpy(), right["copies"].to_numpy()
+        x_links = np.zeros(len(x), np.int64)
+        y_links = x_links if same else np.zeros(len(y), np.int64)
+        shift = 0 if same else len(x)
+        group = np.arange(len(x) + (0 if same else len(y)))
+        ends = []
+        for start in range(0, len(x), BLOCK_ROWS):
+            rows = slice(start, start + BLOCK_ROWS)
+            # A pair of one chunk is compared once
+            first = start if same else 0
+            hits = _near(x[rows], y[first:], x_low[rows], y_low[first:], cosine)
+            if same:
+                hits = np.triu(hits, 1)
+            for i in np.flatnonzero(hits.any(axis=1)):
+                j = np.flatnonzero(hits[i]) + first
+                i += start
+                x_links[i] += y_copies[j].sum()
+                y_links[j] += x_copies[i]
+                others = group[j + shift]
+                apart, at = np.unique(others, return_index=True)
+                at = j[at[apart != group[i]]]
+                if len(at):
+                    ends += [(x_rep[i], y_rep[k]) for k in at]
+                    group[np.isin(group, apart)] = group[i]
+        found = [(x_rep, x_rep, x_links)] + ([] if same else [(y_rep, y_rep, y_links)])
+        if ends:
+            a, b = np.array(ends, np.int64).T
+            found.append((a, b, np.zeros(len(a), np.int64)))
+        rep, other, links = (np.concatenate(c) for c in zip(*found))
+        some = (links > 0) | (rep != other)
+        return pd.DataFrame({"rep": rep[some], "other": other[some], "links": links[some]})
 
-    return count
+    return compare
 
 
 def near_vectors(
     table: DataFrame,
     cosine: float = COSINE,
-    passes: int = PASSES,
-    window: int = WINDOW,
-    bits: int = BITS,
-    seed: int = SEED,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one per row of (vec_id, embedding, label).
 
@@ -138,46 +112,27 @@ def near_vectors(
         rows.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")),
         "vector-classes",
     )
-    sorted_rows = with_sequence(
-        classes.select("label", "rep", "v").mapInPandas(
-            _explode_passes(passes, bits, seed), "label int, pass int, code bigint, rep bigint, v array<double>"
-        ),
-        ["label", "pass", "code", "rep"],
-        "seq",
-    )
-    # The last rows of a block also go to the next one, as neighbours of its first
-    blocks = (
-        sorted_rows.withColumn("own", F.expr(f"seq div {BLOCK_ROWS}"))
-        .withColumn(
-            "block",
-            F.explode(
-                F.when(F.expr(f"seq % {BLOCK_ROWS} >= {BLOCK_ROWS - window}"), F.array("own", F.col("own") + 1))
-                .otherwise(F.array("own"))
-            ),
-        )
-        .select("block", (F.col("own") == F.col("block")).alias("home"), "seq", "label", "pass", "rep", "v",
-                F.size("v").alias("dim"))
-    )
-    edges = materialize(
-        blocks.groupBy("block").applyInPandas(_neighbours(cosine, window), "a bigint, b bigint"), "vector-links"
-    )
-    roots = components(edges, "vector-components")
-    placed = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "label", "v", "rep", "copies", F.coalesce("root", "rep").alias("root")
-    )
-    sizes = placed.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
+    sized = classes.withColumn("dim", F.size("v"))
+    sizes = sized.groupBy("label", "dim").agg(F.count("*").alias("members")).where("members > 1")
+    most = F.least(F.lit(chunk_rows), F.greatest(F.lit(BLOCK_ROWS), F.expr(f"{CHUNK_VALUES} div dim")))
     tiled = (
-        placed.join(sizes, "root")
-        .withColumn("chunks", F.ceil(F.col("members") / TILE_ROWS).cast("int"))
+        sized.join(sizes, ["label", "dim"])
+        .withColumn("chunks", F.ceil(F.col("members") / most).cast("int"))
         .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         .withColumn("part", F.array(F.least("chunk", "other"), F.greatest("chunk", "other")))
-        .select("root", "part", "chunk", "rep", "copies", "v")
+        .select("label", "dim", "part", "chunk", "rep", "copies", "v")
+    )
+    # A row with two ends is a link of the forest, one with equal ends a count of links
+    tiles = materialize(
+        tiled.groupBy("label", "dim", "part").applyInPandas(_tile_links(cosine), "rep bigint, other bigint, links bigint"),
+        "vector-links",
     )
-    linked = (
-        tiled.groupBy("root", "part").applyInPandas(_tile_links(cosine), "rep bigint, links bigint")
-        .groupBy("rep").agg(F.sum("links").alias("links"))
+    roots = components(tiles.select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector-components")
+    placed = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
+        "label", "v", "rep", "copies", F.coalesce("root", "rep").alias("root")
     )
+    linked = tiles.groupBy("rep").agg(F.sum("links").alias("links"))
     named = placed.join(linked, "rep", "left").select(
         "label", "v", F.col("root").alias("component"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),

@@ -354,6 +354,33 @@ def test_vectors_against_all_pairs(spark):
     assert all(found[i].kept == (found[i].component_id == i) for i in range(1500))
 
 
+def test_vectors_of_a_large_label_with_a_common_direction(spark):
+    rng = np.random.default_rng(11)
+    n, centre = 12_000, rng.standard_normal(64)
+    x = np.sqrt(0.8) * centre / np.linalg.norm(centre) + np.sqrt(0.2 / 64) * rng.standard_normal((n, 64))
+    # The second vector of each pair stands at a cosine of about 0.935 to the first
+    x[n // 2 : n // 2 + 1500] = x[:1500] + np.sqrt(0.14 / 64) * rng.standard_normal((1500, 64))
+    x = np.float32(x)
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(8)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links, least = np.zeros(n, int), np.arange(n)
+    pairs = []
+    for i in range(n):
+        j = np.flatnonzero(unit[i + 1 :] @ unit[i] >= vectors.COSINE) + i + 1
+        links[i] += len(j)
+        links[j] += 1
+        pairs += [(i, k) for k in j]
+    for i, j in pairs * 3:
+        least[i] = least[j] = min(least[i], least[j])
+    assert len(pairs) > 700
+    for options in ({}, {"chunk_rows": 2000}):
+        found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(table, **options).collect()}
+        assert [found[i][0] for i in range(n)] == links.tolist()
+        assert [found[i][1] for i in range(n)] == least.tolist()
+
+
 # 9 near duplicates
 
 
