@@ -34,9 +34,6 @@ PATTERNS = (
 
 #: Characters on each side of an entity in which terms are looked for
 CONTEXT = 120
-LEAST_TERM = 3
-#: A term must stand near an entity this often before its share is believed
-SUPPORT = 3
 #: Part of an entity's information that a term may disclose
 GENERALISE, REMOVE = 0.8, 0.95
 _TERM = r"[\p{L}\p{N}]+"
@@ -140,7 +137,7 @@ def _terms(side: str, cut: str, drop: str, origin: str) -> str:
 def near_terms(entities: DataFrame) -> DataFrame:
     """Rows (doc_id, text_hash, entity, term, start, end), one per term near an entity.
 
-    Terms that overlap an entity, are short or are only digits are left out.
+    Terms that overlap an entity are left out, no others: a short word or a number may disclose as much.
     """
     one = entities.where(F.size("found") > 0).select(
         "doc_id", "text_hash",
@@ -157,20 +154,19 @@ def near_terms(entities: DataFrame) -> DataFrame:
         + _terms("before", "cut_before", "1", "s_start - char_length(before)")
         + ", " + _terms("after", "cut_after", "-1", "s_end") + ")) AS t",
     )
-    return both.where(
-        f"char_length(t.term) >= {LEAST_TERM} AND t.term RLIKE r'\\p{{L}}'"
-        " AND NOT exists(taken, e -> e.start < t.end AND t.start < e.end)"
-    ).selectExpr("doc_id", "text_hash", "entity", "t.term AS term", "t.start AS start", "t.end AS end")
+    return both.where("NOT exists(taken, e -> e.start < t.end AND t.start < e.end)").selectExpr(
+        "doc_id", "text_hash", "entity", "t.term AS term", "t.start AS start", "t.end AS end"
+    )
 
 
-def disclosure(docs: DataFrame, entities: DataFrame, near: DataFrame, support: int = SUPPORT) -> DataFrame:
+def disclosure(docs: DataFrame, entities: DataFrame, near: DataFrame) -> DataFrame:
     """Rows (entity, term, together, disclosed): the part of an entity's information that a term gives away.
 
     All are counts of the whole corpus: occurrences of a term near the entity
-    and anywhere, mentions of the entity, and words. Only (entity, term) sums
-    and term sums are shuffled.
+    and anywhere, mentions of the entity, and words. Pairs met once count like
+    others. Only (entity, term) sums and term sums are shuffled.
     """
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("together"))
     words = docs.select(
         F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")).alias("term")
     ).where("term <> ''")
@@ -189,7 +185,7 @@ def disclosure(docs: DataFrame, entities: DataFrame, near: DataFrame, support: i
     )
 
 
-def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def find_personal_data(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """Rows (doc_id, text_hash, spans), one per document: spans of (start, kind, end, value, disclosed).
 
     Entities disclose 1. A null or empty text has no spans. Rows equal in id and
@@ -198,7 +194,7 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, support:
     """
     entities = materialize(find_entities(docs), "pii-entities")
     near = materialize(near_terms(entities), "pii-near")
-    told = disclosure(docs, entities, near, support).where(F.col("disclosed") >= generalise)
+    told = disclosure(docs, entities, near).where(F.col("disclosed") >= generalise)
     terms = (
         near.join(told, ["entity", "term"])
         .groupBy("doc_id", "text_hash", "start", "end")

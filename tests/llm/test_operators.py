@@ -490,3 +490,15 @@ def test_terms_that_disclose_are_found_and_sanitised(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[0] == "the common words around  write to [EMAIL] about the common words"
     assert clean[10] == rows[6][1]
+
+
+def test_terms_of_an_entity_mentioned_once(spark):
+    rows = [(0, "the common words of Ob Quillfeather at 4711 in the text, mary@mail.test")]
+    rows += [(1 + i, "the common words of the text are at the words in the text") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    terms = [(s.value, s.disclosed) for s in found[0] if s.kind == 4]
+    assert terms == [("ob", 1.0), ("quillfeather", 1.0), ("4711", 1.0)]
+    assert all(found[1 + i] == [] for i in range(30))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[0] == "the common words of   at  in the text, [EMAIL]"
