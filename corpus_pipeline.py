@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from storystream.llm import decontam, minhash, mixing, sharding, toxicity
 from storystream.session import materialize
 
+#: Two sets at a similarity of 0.8 share none of the bands with probability (1 - 0.8**6)**33 < 5e-5
+NEAR_BANDS, NEAR_BAND_ROWS = 33, 6
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    return minhash.deduplicate(docs)
+    """One document, that of the smallest id, of each group of near copies: five words, a similarity of 0.8 or more."""
+    return minhash.deduplicate(docs, percent=80, bands=NEAR_BANDS, band_rows=NEAR_BAND_ROWS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

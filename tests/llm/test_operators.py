@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from storystream.llm import decontam, minhash, mixing, pii, secrets, sharding, tokens, toxicity, urls, vectors
 from storystream.llm.links import components
 from storystream.llm.queries import QUERIES, op4_url_filter, op5_secrets, op6_sharding, op10_personal_data
@@ -420,6 +421,22 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == {i for i in range(len(texts)) if find(i) == i}
 
 
+def test_pipeline_drops_copies_from_a_similarity_of_80(spark, tmp_path):
+    rng = random.Random(14)
+    rows, similar = [], []
+    for i in range(40):
+        words = [f"w{i}x{j}" for j in range(104)]
+        # 100 shingles, of which 89 stay: 89 of 111 or 89 of 112 are common
+        changed = words[:-11] + [f"v{i}x{j}" for j in range(11 + i % 2)]
+        a, b = sets_of(" ".join(words)), sets_of(" ".join(changed))
+        similar.append(len(a & b) / len(a | b))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    assert any(0.8 <= s < 0.85 for s in similar) and any(s < 0.8 for s in similar)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    assert left == {2 * i for i in range(40)} | {2 * i + 1 for i in range(40) if similar[i] < 0.8}
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(12)
     errors = []
