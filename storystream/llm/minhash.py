@@ -117,7 +117,7 @@ def _sign(bands: int, rows: int, width: int) -> Callable[[], Callable]:
     def make():
         cache = WordHashes()
 
-        def apply(ids, texts):
+        def apply(ids, texts, hashes):
             sets = [shingles(text, cache, width) for text in texts]
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
@@ -127,6 +127,7 @@ def _sign(bands: int, rows: int, width: int) -> Callable[[], Callable]:
                     keys[i] = row.tolist()
             return [
                 ids,
+                hashes,
                 [len(s) for s in sets],
                 [set_key(s) if len(s) else None for s in sets],
                 keys,
@@ -204,7 +205,7 @@ def tile_links(tile: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
     return found
 
 
-def near_duplicates(
+def marked_rows(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -213,19 +214,22 @@ def near_duplicates(
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
 ) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one per input row.
+    """Rows (doc_id, text_hash, n_shingles, component_id, kept), one per input row.
 
+    `text_hash` is Spark's xxhash64 of the text and tells rows of one id apart.
     `component_id` is the smallest id that links reach. Null and empty texts and
     texts of white space only have no shingles and link with nothing. A row
     without id is never `kept`; it has the component of its copies that have an
     id, or none. Repeated rows have equal results. Other columns are ignored.
     Empty tables give an empty result.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(
+        F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash")
+    )
     signed = materialize(
         map_slices(
             rows, _sign(bands, band_rows, width),
-            "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>",
+            "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, bands array<bigint>",
         ),
         "signed",
     )
@@ -313,29 +317,39 @@ def near_duplicates(
     named = placed.join(least, "root").select("key", "component_id")
     return signed.join(named, "key", "left").select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame, *args, **options) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept) of `marked_rows`."""
+    return marked_rows(docs, *args, **options).drop("text_hash")
+
+
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay: one document of each group, all columns as they are.
 
-    Of rows that repeat an id, one stays. Rows without id are no member of a
-    group and all stay.
+    Of rows that repeat an id, one stays, if any of them is no copy of another
+    document's. Rows without id are no member of a group and all stay.
     """
-    marked = near_duplicates(docs, **options).where("doc_id IS NOT NULL")
-    gone = marked.where("NOT kept").select("doc_id").distinct()
-    # Written first, so that Spark plans both joins by what there is to drop
+    marked = marked_rows(docs, **options).where("doc_id IS NOT NULL")
+    gone = marked.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    # Written first, so that Spark plans the joins by what there is to drop
     gone = materialize(gone, "gone")
     repeated = marked.groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = materialize(repeated, "repeated")
-    once = docs.join(gone.union(repeated), "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(
+        gone.select(F.col("_id").alias("doc_id")).union(repeated), "doc_id", "left_anti"
+    ).select(docs.columns)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    # A repeated id may have a text that goes and another that stays
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     again = (
         docs.join(repeated, "doc_id", "left_semi")
-        .join(gone, "doc_id", "left_anti")
+        .join(gone, same, "left_anti")
         .groupBy("doc_id")
         .agg(F.min_by(row, F.xxhash64("text")).alias("_row"))
         .select("_row.*")

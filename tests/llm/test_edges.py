@@ -105,6 +105,12 @@ def test_deduplicate_keeps_one_of_repeated_ids(spark):
     assert sorted(str(r.doc_id) for r in left) == ["1", "2", "None"]
 
 
+def test_deduplicate_keeps_the_other_text_of_an_id(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "x y z"), (6, "A b c d e f"), (6, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, minhash.deduplicate(docs).collect())) == [(1, "a b c d e f"), (5, "x y z")]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
