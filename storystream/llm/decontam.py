@@ -7,23 +7,25 @@ by Myers' bit-parallel edit distance. Texts and items are compared in lower case
 with everything but letters and digits reduced to single spaces.
 
 The items are a stated query set: they go to the tasks in blocks of bounded size,
-one pass over the texts per block.
+one pass over the texts per block, and driver and tasks hold one block at a time.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storystream.llm.batches import map_slices
+from storystream.session import materialize
 
 #: Edits allowed per character of the normalised item
 ERROR_RATE = 0.05
-#: Normalised items of fewer characters say too little to be searched
-LEAST_CHARACTERS = 20
+#: Normalised items of fewer characters allow no edit and are found as whole words only
+SHORT_CHARACTERS = 20
 #: Characters of items that one pass over the texts may search for
 BLOCK_CHARACTERS = 4_000_000
 
@@ -101,6 +103,10 @@ class Matcher:
                 item = self.items[number]
                 if best.get(number, (1,))[0] == 0:
                     continue
+                if len(item.text) < SHORT_CHARACTERS:
+                    if text[last - length : last - length + 1] in ("", " ") and text[last + 1 : last + 2] in ("", " "):
+                        best[number] = (0, last + 1)
+                    continue
                 start = last - length + 1 - offset
                 # Hits in order of their place: those of one passage lie on nearly the same diagonal
                 if number in tried and abs(start - tried[number]) <= item.budget // 2:
@@ -119,26 +125,31 @@ class Matcher:
         return best
 
 
-def blocks(benchmark: DataFrame, rate: float = ERROR_RATE, limit: int = BLOCK_CHARACTERS) -> list[list[Item]]:
-    """The items in blocks of about `limit` characters, each collected on its own.
+def budget_of(text: str, rate: float) -> int:
+    return int(len(text) * rate) if len(text) >= SHORT_CHARACTERS else 0
+
+
+def block_count(benchmark: DataFrame, limit: int = BLOCK_CHARACTERS) -> int:
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    return total // limit + 1
+
 
-    Null and short items, which have fewer than LEAST_CHARACTERS characters, are
+def blocks(benchmark: DataFrame, count: int, rate: float = ERROR_RATE) -> Iterator[list[Item]]:
+    """The items in `count` blocks, one after the other; only one is collected at a time.
+
+    Null items and those without a letter or digit hold nothing to search and are
     left out; items of null id too. Of repeated ids every text counts.
     """
     usable = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = total // limit + 1
-    out = []
     for block in range(count):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()
         items = [(r.item_id, normalise(r.text)) for r in sorted(rows)]
-        out.append([Item(i, t, int(len(t) * rate)) for i, t in items if len(t) >= LEAST_CHARACTERS])
-    return [b for b in out if b]
-
+        found = [Item(i, t, budget_of(t, rate)) for i, t in items if t]
+        if found:
+            yield found
 
-def _pass(spark: SparkSession, items: list[Item]):
-    shared = spark.sparkContext.broadcast(items)
 
+def _pass(shared):
     def make():
         matcher = Matcher(shared.value)
 
@@ -157,28 +168,49 @@ def _pass(spark: SparkSession, items: list[Item]):
     return make
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, limit: int = BLOCK_CHARACTERS
+) -> DataFrame:
     """Rows (doc_id, item_id, distance, budget, end): the best passage of each document and item within budget.
 
-    `end` is its end in the normalised text. Null and empty texts hold no item.
-    Repeated rows of documents repeat their results; of equal items with
-    different ids each is found. Other columns are ignored; an empty table on
-    either side gives no rows.
+    `end` is its end in the normalised text. An item of fewer than
+    SHORT_CHARACTERS normalised characters has a budget of 0 and must stand
+    between word ends. Null and empty texts hold no item. Repeated rows of
+    documents repeat their results; of equal items with different ids each is
+    found. Other columns are ignored; an empty table on either side gives no
+    rows. Every block but a single one is searched and written by itself.
     """
     schema = "doc_id bigint, item_id bigint, distance int, budget int, end bigint"
-    spark = docs.sparkSession
+    spark: SparkSession = docs.sparkSession
     rows = docs.select("doc_id", "text")
     found = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, rate):
-        found = found.union(map_slices(rows, _pass(spark, block), schema))
+    count = block_count(benchmark, limit)
+    for block in blocks(benchmark, count, rate):
+        shared = spark.sparkContext.broadcast(block)
+        passed = map_slices(rows, _pass(shared), schema)
+        if count > 1:
+            passed = materialize(passed, "leaks")
+            shared.unpersist()
+        found = found.union(passed)
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of `docs` that hold no item within budget, all columns as they are."""
-    for block in blocks(benchmark, rate):
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, limit: int = BLOCK_CHARACTERS
+) -> DataFrame:
+    """The rows of `docs` that hold no item within budget, all columns as they are.
+
+    Items, short ones too, are those of `find_leaks`. Rows of null or empty text
+    hold no item and stay, rows of null id are judged by their text, and repeated
+    rows stay or go together. Between blocks the rows that are left are written.
+    """
+    count = block_count(benchmark, limit)
+    for block in blocks(benchmark, count, rate):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         docs = docs.where(~_holds_item(shared)("text"))
+        if count > 1:
+            docs = materialize(docs, "without-leaks")
+            shared.unpersist()
     return docs
 
 

@@ -214,9 +214,10 @@ def marked_rows(
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
 ) -> DataFrame:
-    """Rows (doc_id, text_hash, n_shingles, component_id, kept), one per input row.
+    """Rows (doc_id, text_hash, root, n_shingles, component_id, kept), one per input row.
 
-    `text_hash` is Spark's xxhash64 of the text and tells rows of one id apart.
+    `text_hash` is Spark's xxhash64 of the text and tells rows of one id apart;
+    `root` names the component, also where two of them have the same smallest id.
     `component_id` is the smallest id that links reach. Null and empty texts and
     texts of white space only have no shingles and link with nothing. A row
     without id is never `kept`; it has the component of its copies that have an
@@ -314,10 +315,11 @@ def marked_rows(
         "key", "first_id", F.coalesce("root", "key").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select("key", "component_id")
+    named = placed.join(least, "root").select("key", "root", "component_id")
     return signed.join(named, "key", "left").select(
         "doc_id",
         "text_hash",
+        "root",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
@@ -326,32 +328,47 @@ def marked_rows(
 
 def near_duplicates(docs: DataFrame, *args, **options) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) of `marked_rows`."""
-    return marked_rows(docs, *args, **options).drop("text_hash")
+    return marked_rows(docs, *args, **options).drop("text_hash", "root")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay: one document of each group, all columns as they are.
 
-    Of rows that repeat an id, one stays, if any of them is no copy of another
-    document's. Rows without id are no member of a group and all stay.
+    A row goes if its text's group has a smaller id, or a text of the same id that
+    comes first by hash; of rows equal in id and text one stays. Different texts
+    under one id are judged each by itself. Rows without id are no member of a
+    group and all stay.
     """
-    marked = marked_rows(docs, **options).where("doc_id IS NOT NULL")
-    gone = marked.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    marked = materialize(
+        marked_rows(docs, **options).where("doc_id IS NOT NULL").select("doc_id", "text_hash", "root", "kept"), "marked"
+    )
+    # Two texts of one id and one group have different hashes; the lower one stands for the group
+    first = marked.where("kept AND root IS NOT NULL").groupBy("doc_id", "root").agg(
+        F.min("text_hash").alias("lead"), F.max("text_hash").alias("last")
+    )
+    second = marked.join(first.where("lead <> last").select("doc_id", "root", "lead"), ["doc_id", "root"])
+    gone = marked.where("NOT kept").select("doc_id", "text_hash").union(
+        second.where("text_hash <> lead").select("doc_id", "text_hash")
+    )
     # Written first, so that Spark plans the joins by what there is to drop
-    gone = materialize(gone, "gone")
-    repeated = marked.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = materialize(gone.distinct(), "gone")
+    repeated = marked.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     repeated = materialize(repeated, "repeated")
-    once = docs.join(
-        gone.select(F.col("_id").alias("doc_id")).union(repeated), "doc_id", "left_anti"
-    ).select(docs.columns)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    # A repeated id may have a text that goes and another that stays
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    hashed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+        F.col("doc_id").alias("_id"),
+        F.xxhash64("text").alias("_hash"),
+    )
+
+    def same(rows: DataFrame):
+        return (F.col("_id") == rows["doc_id"]) & (F.col("_hash") == rows["text_hash"])
+
+    left = hashed.join(gone, same(gone), "left_anti")
+    once = left.join(repeated, same(repeated), "left_anti").select("_row.*")
     again = (
-        docs.join(repeated, "doc_id", "left_semi")
-        .join(gone, same, "left_anti")
-        .groupBy("doc_id")
-        .agg(F.min_by(row, F.xxhash64("text")).alias("_row"))
+        left.join(repeated, same(repeated), "left_semi")
+        .groupBy("_id", F.col("_row.text").alias("_text"))
+        .agg(F.first("_row").alias("_row"))
         .select("_row.*")
     )
     return once.unionByName(again)

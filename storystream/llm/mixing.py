@@ -54,6 +54,8 @@ def tokens_of(text: Column) -> Column:
 def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
     weight = F.lit(1.0)
     for name, value in weights.get(level, {}).items():
+        if not value >= 0:
+            raise ValueError(f"the weight of {level} {name} must be 0 or more")
         weight = F.when(F.col(level) == name, float(value)).otherwise(weight)
     return weight
 
@@ -64,30 +66,37 @@ def share_out(nodes: DataFrame, parent: list[str], level: str, budget: str, capa
     Siblings are taken in the order in which they run short (capacity per
     weight). One runs short if, of what the earlier ones leave, its share by
     weight exceeds its capacity; it then gets its capacity, and the others share
-    the rest. Their part per weight is that of the first that does not.
+    the rest. Their part per weight is that of the first that does not. A child of
+    weight 0 gets nothing.
     """
+    weighs = F.col("weight") > 0
+    usable = F.when(weighs, F.col(capacity)).otherwise(0)
     siblings = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    ordered = siblings.orderBy(F.col(capacity) / F.col("weight"), level)
+    ordered = siblings.orderBy(F.coalesce(F.try_divide(usable, F.col("weight")), F.lit(0.0)), level)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     onward = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     all_of_them = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rate = (F.col(budget) - F.col("_used")) / F.col("_left")
+    rate = F.try_divide(F.col(budget) - F.col("_used"), F.col("_left"))
     return (
-        nodes.withColumn("_used", F.coalesce(F.sum(capacity).over(earlier), F.lit(0)))
+        nodes.withColumn("_used", F.coalesce(F.sum(usable).over(earlier), F.lit(0)))
         .withColumn("_left", F.sum("weight").over(onward))
-        .withColumn("_rate", F.when(rate * F.col("weight") <= F.col(capacity), rate))
+        .withColumn("_rate", F.when(weighs & (rate * F.col("weight") <= usable), rate))
         .withColumn("_level", F.first("_rate", ignorenulls=True).over(all_of_them))
-        .withColumn(
-            "allotted",
-            F.coalesce(F.least(F.floor(F.col("_level") * F.col("weight")), F.col(capacity)), F.col(capacity)),
-        )
+        .withColumn("allotted", F.coalesce(F.least(F.floor(F.col("_level") * F.col("weight")), usable), usable))
         .drop("_used", "_left", "_rate", "_level")
     )
 
 
 def budgets(leaves: DataFrame, weights: dict, budget: float, epochs: int) -> DataFrame:
-    """Rows (domain, lang, source, tokens, rows, allotted) of leaves; a leaf is a row per source, not per document."""
-    level = leaves.withColumn("capacity", F.col("tokens") * epochs)
+    """Rows (domain, lang, source, tokens, rows, allotted) of leaves; a leaf is a row per source, not per document.
+
+    What lies below a weight of 0 can use nothing, so that its ancestors' other
+    children take up the whole budget.
+    """
+    open_leaf = F.lit(True)
+    for name in LEVELS:
+        open_leaf = open_leaf & (_weight(name, weights) > 0)
+    level = leaves.withColumn("capacity", F.when(open_leaf, F.col("tokens") * epochs).otherwise(0).cast("bigint"))
     nodes = (
         level.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         .withColumn("weight", _weight("domain", weights))
@@ -182,7 +191,9 @@ def mix(
     its budget by less than one document, and one with any budget is not empty.
     Null lang and source count as 'unknown'. Null and empty texts have no tokens:
     they are taken if their place lies before the budget's end. Rows equal in id and text are uses of their own,
-    in any order. Other columns are ignored; an empty table gives no rows.
+    in any order. A domain, language or source of weight 0 is left out, and its
+    share goes to its siblings; a budget that no child of any weight above 0 can
+    use is not spent. Other columns are ignored; an empty table gives no rows.
     """
     return _choose(docs, weights, budget, epochs, seed, False).select(
         "doc_id", "epoch", *LEVELS, "tokens",
@@ -198,5 +209,5 @@ def mix_documents(
     epochs: int = 1,
     seed: int = SEED,
 ) -> DataFrame:
-    """The chosen rows of `docs`, all columns as they are, as often as they are used."""
+    """The chosen rows of `docs`, all columns as they are, as often as they are used; edge cases are those of `mix`."""
     return _choose(docs, weights, budget, epochs, seed, True).select("_doc.*")

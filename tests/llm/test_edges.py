@@ -98,11 +98,20 @@ def test_defined_results(odd, labels, benchmark):
     assert sections[0] == sections[1] == 0 < sections[3]
 
 
-def test_deduplicate_keeps_one_of_repeated_ids(spark):
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z"), (2, "other words"), (3, "A B C D E F"), (None, "a b c d e f")]
+def test_deduplicate_keeps_one_of_rows_equal_in_id_and_text(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z"), (2, "other words here"), (2, "x y z"), (3, "A B C D E F"), (None, "a b c d e f")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    left = minhash.deduplicate(docs).collect()
-    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "None"]
+    left = sorted((str(r.doc_id), r.text) for r in minhash.deduplicate(docs).collect())
+    assert left == [("1", "a b c d e f"), ("2", "other words here"), ("2", "x y z"), ("None", "a b c d e f")]
+
+
+def test_deduplicate_keeps_one_of_near_texts_of_an_id(spark):
+    near = " ".join(f"w{i}" for i in range(200))
+    rows = [(4, near), (4, near + " more"), (4, ""), (4, None), (4, "and now something else"), (7, near + " else")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = [(r.doc_id, r.text) for r in minhash.deduplicate(docs).collect()]
+    assert {d for d, _ in left} == {4} and len(left) == 4
+    assert {(4, ""), (4, None), (4, "and now something else")} < set(left)
 
 
 def test_deduplicate_keeps_the_other_text_of_an_id(spark):
@@ -163,3 +172,38 @@ def test_pipeline_stages_on_the_test_tables(spark, tmp_path):
 def test_queries_on_the_test_tables(spark, name):
     found = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.count() > 0 and len(set(found.columns)) == len(found.columns)
+
+
+def test_short_items_are_found_between_word_ends(spark):
+    docs = spark.createDataFrame(
+        [(1, "He asked: What is 2+2? Nobody knew."), (2, "somewhat is 2 2x"), (3, "what is 2 2"), (4, None), (None, "What is 2 + 2"), (5, "!?")],
+        "doc_id bigint, text string",
+    )
+    items = spark.createDataFrame([(1, "What is 2+2?"), (2, "!!"), (3, ""), (4, None)], "item_id bigint, text string")
+    found = sorted(((r.doc_id or 0), r.item_id, r.distance, r.budget) for r in decontam.find_leaks(docs, items).collect())
+    assert found == [(0, 1, 0, 0), (1, 1, 0, 0), (3, 1, 0, 0)]
+    assert {r.doc_id for r in decontam.drop_leaks(docs, items).collect()} == {2, 4, 5}
+
+
+def test_items_in_several_blocks(spark):
+    texts = [f"item number {i} asks for the {i * 37 % 101}th letter of a long word" for i in range(30)]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts[:20])] + [(99, "clean text")], "doc_id bigint, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    one = {tuple(r) for r in decontam.find_leaks(docs, items).collect()}
+    many = {tuple(r) for r in decontam.find_leaks(docs, items, limit=300).collect()}
+    assert one == many and {(i, i) for i in range(20)} <= {r[:2] for r in many}
+    assert [r.doc_id for r in decontam.drop_leaks(docs, items, limit=300).collect()] == [99]
+
+
+def test_weights_of_zero(spark):
+    rows = [(i, "word " * 10, lang, source) for i, (lang, source) in enumerate([("en", "src0"), ("en", "src1"), ("de", "src1"), ("de", "x")] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    weights = {"domain": {"crawl": 0.0, "curated": 1.0}, "lang": {"de": 0.0}, "source": {}}
+    found = mixing.mix(docs, weights, budget=0.25, epochs=1).collect()
+    assert {(r.domain, r.lang) for r in found} == {("curated", "en")}
+    # The shares of what is left out go to the others: a quarter of 200 tokens is all that is left
+    assert sum(r.tokens for r in found) == 50
+    nothing = {"domain": {"crawl": 0.0, "curated": 0.0, "other": 0.0}}
+    assert mixing.mix(docs, nothing).collect() == []
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"lang": {"en": -1.0}})
