@@ -8,6 +8,7 @@ from storystream.functions.fuzzy import token_sort_ratio
 from storystream.functions.topics import TOPICS
 from storystream.functions.vectors import norm
 from storystream.operators import ingest
+from storystream.operators.centroids import centroid_stories
 from storystream.operators.enrich import with_embeddings
 from storystream.operators.entities import link_entities, mention_counts
 from storystream.operators.pairs import cosine_pair_count, cosine_partners, with_titles
@@ -243,6 +244,58 @@ def sweep_max_age(spark, sf_dir):
     return _sweep(spark, sf_dir, 0.25)
 
 
+# Slices of a day and rounds of a slice that the SQL below spells out: enough for the tables it is run on
+_SLICES, _ROUNDS = 6, 5
+
+
+def _centroid_rounds() -> str:
+    """Members after every round: those so far, who joins the closest active centroid, and who starts a story."""
+    day = 86_400_000_000
+    steps = [
+        f"""WITH timed AS MATERIALIZED (SELECT a.id, epoch_us(coalesce(a.published_at, a.created_at)) AS t, u.u
+    FROM articles_fx a JOIN units_fx u ON u.id = a.id),
+  sliced AS MATERIALIZED (SELECT *, t // {day} - min(t // {day}) OVER () AS slice FROM timed),
+  m0 AS MATERIALIZED (SELECT id, t, u, id AS story, NULL::DOUBLE AS sim FROM sliced WHERE false)"""
+    ]
+    for j in range(_SLICES * _ROUNDS):
+        steps.append(
+            f"""p{j} AS MATERIALIZED (
+    SELECT id, t, u FROM sliced WHERE slice = {j // _ROUNDS} AND id NOT IN (SELECT id FROM m{j})),
+  c{j} AS MATERIALIZED (
+    SELECT story, newest, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM (
+      SELECT story, any_value(newest) AS newest, list(mean ORDER BY d) AS c FROM (
+        SELECT story, d, sum(x) / count(*) AS mean, max(t) AS newest FROM (
+          SELECT story, t, unnest(u) AS x, generate_subscripts(u, 1) AS d FROM m{j}) GROUP BY story, d)
+      GROUP BY story)),
+  n{j} AS MATERIALIZED (
+    SELECT id, arg_max(story, (sim, -story)) AS story, max(sim) AS sim FROM (
+      SELECT p.id, c.story, round(list_dot_product(p.u, c.c), 12) AS sim FROM p{j} p JOIN c{j} c
+        ON abs(c.newest - p.t) <= {day}) WHERE sim >= 0.6 GROUP BY id),
+  r{j} AS MATERIALIZED (SELECT * FROM p{j} WHERE id NOT IN (SELECT id FROM n{j})),
+  s{j} AS MATERIALIZED (
+    SELECT * FROM r{j} a WHERE NOT EXISTS (
+      SELECT 1 FROM r{j} b WHERE (b.t < a.t OR (b.t = a.t AND b.id < a.id)) AND a.t - b.t <= {day}
+        AND round(list_dot_product(a.u, b.u), 12) >= 0.6)),
+  m{j + 1} AS MATERIALIZED (
+    SELECT * FROM m{j} UNION ALL SELECT p.id, p.t, p.u, n.story, n.sim FROM p{j} p JOIN n{j} n ON n.id = p.id
+    UNION ALL SELECT id, t, u, id, NULL FROM s{j})"""
+        )
+    return ",\n  ".join(steps) + "\n"
+
+
+@query(
+    "centroid_stories",
+    _centroid_rounds()
+    + f"""SELECT id AS article_id, story AS story_id, round(sim, 9) AS similarity, {_STATUS} AS status,
+  count(*) OVER (PARTITION BY story) AS article_count FROM m{_SLICES * _ROUNDS}""",
+)
+def stories_by_centroid(spark, sf_dir):
+    """All articles put into the stories whose centroids they are closest to, in rounds over days."""
+    found = centroid_stories(fx.embedded_articles(spark, sf_dir))
+    sizes = found.states.select(F.col("id").alias("story_id"), "article_count")
+    return found.members.withColumn("similarity", F.round("similarity", 9)).join(sizes, "story_id")
+
+
 # ---- ingest
 
 _FIRST = """SELECT *, min(id) OVER (PARTITION BY trim(url)) AS first_id FROM raw_fx
