@@ -363,10 +363,12 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     def same(rows: DataFrame):
         return (F.col("_id") == rows["doc_id"]) & (F.col("_hash") == rows["text_hash"])
 
-    left = hashed.join(gone, same(gone), "left_anti")
-    once = left.join(repeated, same(repeated), "left_anti").select("_row.*")
+    # Texts are shuffled once, against all that is not simply kept; rows that repeat are few
+    other = gone.union(repeated)
+    once = hashed.join(other, same(other), "left_anti").select("_row.*")
     again = (
-        left.join(repeated, same(repeated), "left_semi")
+        hashed.join(repeated, same(repeated), "left_semi")
+        .join(gone, same(gone), "left_anti")
         .groupBy("_id", F.col("_row.text").alias("_text"))
         .agg(F.first("_row").alias("_row"))
         .select("_row.*")
