@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from storystream.functions.text import classification_text, embedding_text
 from storystream.functions.topics import classify_topic
 from storystream.operators.entities import extract_mentions, extract_mentions_with
+from storystream.operators.gazetteer import gazetteer_mentions
 
 Encoder = Callable[[np.ndarray], np.ndarray]
 
@@ -36,9 +37,16 @@ def with_embeddings(articles: DataFrame, embeddings: DataFrame) -> DataFrame:
     return articles.join(embeddings.select("id", "embedding"), "id", "left")
 
 
-def mentions(articles: DataFrame, make_extractor: Callable | None = None) -> DataFrame:
+def mentions(
+    articles: DataFrame, make_extractor: Callable | None = None, gazetteer: DataFrame | None = None
+) -> DataFrame:
+    """Mentions by a model, by a table of names (id, name, type), or by patterns."""
     texts = articles.select("id", classification_text(F.col("title"), F.col("content")).alias("text"))
-    return extract_mentions_with(texts, make_extractor) if make_extractor else extract_mentions(texts)
+    if make_extractor:
+        return extract_mentions_with(texts, make_extractor)
+    if gazetteer is not None:
+        return gazetteer_mentions(texts, gazetteer).drop("entity_id")
+    return extract_mentions(texts)
 
 
 def processed_articles(processed: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from storystream.operators import ingest
 from storystream.operators.centroids import centroid_stories
 from storystream.operators.enrich import with_embeddings
 from storystream.operators.entities import link_entities, mention_counts
+from storystream.operators.gazetteer import gazetteer_mentions, words_of
 from storystream.operators.pairs import cosine_pair_count, cosine_partners, with_titles
 from storystream.operators.stories import assign_stories, cluster_size_report, story_states, threshold_sweep
 from storystream.operators.titles import title_duplicates, title_partners
@@ -460,6 +461,53 @@ def linked(spark, sf_dir):
     return _linked(spark, sf_dir)[1]
 
 
+# Names that overlap one another: single long words, pairs and triples from the start of every twentieth article
+_GAZETTEER = """
+  words_fx AS (SELECT id, content, regexp_extract_all(lower(content), '[\\pL\\pN_]+') AS w FROM articles_fx),
+  gazetteer AS (
+    SELECT id * 10 + 1 AS id, w[1] || ' ' || w[2] AS name FROM words_fx WHERE id % 20 = 0 AND len(w) >= 4
+    UNION ALL SELECT id * 10 + 2, w[2] || '-' || w[3] || ' ' || w[4] FROM words_fx WHERE id % 20 = 0 AND len(w) >= 4
+    UNION ALL SELECT id * 10 + 3, w[3] FROM words_fx WHERE id % 20 = 0 AND len(w) >= 4 AND length(w[3]) > 6)"""
+
+
+@query(
+    "gazetteer_mentions",
+    f"""WITH RECURSIVE {_GAZETTEER.strip()},
+  names AS (
+    SELECT array_to_string(w, ' ') AS gram, len(w) AS n, min(id) AS entity_id, arg_min(name, id) AS name
+    FROM (SELECT id, name, regexp_extract_all(name, '[\\pL\\pN_]+') AS w FROM gazetteer) GROUP BY ALL),
+  at_fx AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p FROM words_fx),
+  grams AS (
+    SELECT id, p, unnest([1, 2, 3]) AS n, unnest([w, w || ' ' || lead(w, 1) OVER o,
+      w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o]) AS gram
+    FROM at_fx WINDOW o AS (PARTITION BY id ORDER BY p)),
+  runs AS (SELECT id, p, max(g.n) AS n, arg_max(entity_id, g.n) AS entity_id, arg_max(name, g.n) AS name
+    FROM grams g JOIN names USING (gram, n) GROUP BY id, p),
+  linked AS (
+    SELECT a.id, a.p, a.n, a.entity_id, a.name, min(b.p) AS following
+    FROM runs a LEFT JOIN runs b ON b.id = a.id AND b.p >= a.p + a.n GROUP BY ALL),
+  walk AS (
+    SELECT * FROM linked l WHERE p = (SELECT min(p) FROM runs r WHERE r.id = l.id)
+    UNION ALL SELECT l.* FROM walk w JOIN linked l ON l.id = w.id AND l.p = w.following)
+SELECT id AS article_id, p AS position, entity_id, name, 'NAME' AS type FROM walk""",
+)
+def mentions_by_name(spark, sf_dir):
+    """Mentions of a table of names whose entries overlap."""
+    texts = fx.articles(spark, sf_dir).select("id", F.col("content").alias("text"))
+    words = texts.where("id % 20 = 0").select("id", words_of(F.col("text")).alias("w")).where("size(w) >= 4")
+    word = lambda i: F.get("w", F.lit(i))
+    names = words.select(
+        F.explode(
+            F.array(
+                F.struct((F.col("id") * 10 + 1).alias("id"), F.concat_ws(" ", word(0), word(1)).alias("name")),
+                F.struct((F.col("id") * 10 + 2).alias("id"), F.concat(word(1), F.lit("-"), word(2), F.lit(" "), word(3)).alias("name")),
+                F.struct((F.col("id") * 10 + 3).alias("id"), F.when(F.length(word(2)) > 6, word(2)).alias("name")),
+            )
+        ).alias("entity")
+    ).select("entity.*", F.lit("NAME").alias("type"))
+    return gazetteer_mentions(texts, names.where("name IS NOT NULL"))
+
+
 @query(
     "entity_lookup",
     f"""SELECT m.article_id, m.position, k.id AS entity_id FROM mentions_fx m

@@ -81,9 +81,19 @@ def republished(articles: DataFrame) -> DataFrame:
     return articles.select(*encode(F.col("url"), "id", "url"))
 
 
-def write_topic(messages: DataFrame, format: str = "kafka", path: str | None = None, **options: str) -> None:
-    """Append messages to a topic (Kafka) or a folder (text)."""
+def write_topic(
+    messages: DataFrame, format: str = "kafka", path: str | None = None, batch: int | None = None, **options: str
+) -> None:
+    """Append messages to a topic (Kafka) or a folder (text).
+
+    The messages of a stream's `batch` have a folder of their own, which a
+    repeated batch writes anew. Kafka has no such place: a repeated batch sends
+    again there, and the url that is the key tells the messages are the same.
+    """
     if format == "kafka":
         messages.write.format("kafka").options(**options).save()
-    else:
+    elif batch is None:
         messages.select("value").write.mode("append").format(format).options(**options).save(path)
+    else:
+        folder = f"{path}/batch={batch}"
+        messages.select("value").write.mode("overwrite").format(format).options(**options).save(folder)

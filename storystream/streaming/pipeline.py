@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from storystream import schema
-from storystream.functions.text import article_time
+from storystream.functions.text import article_time, html_text
 from storystream.operators import enrich, entities, ingest, stories
 from storystream.session import materialize
 from storystream.sources import feeds, messages
@@ -59,17 +59,28 @@ class Store:
     def write(self, name: str, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
 
-    def enrichments(self, before: int | None = None) -> DataFrame:
-        """Each article's last enrichment."""
+    def articles_by_batch(self) -> DataFrame:
+        return self._batches("articles", None)
+
+    def replace_articles(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").partitionBy("batch").parquet(f"{self.root}/articles")
+
+    def enrichments(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """Each article's last enrichment; with `of` (article_id), of those only, chosen before any are grouped."""
         last = self._batches("enrichments", before)
+        if of is not None:
+            last = last.join(of, "article_id", "left_semi")
         return last.groupBy("article_id").agg(F.max_by(F.struct("topic", "embedding"), "batch").alias("e")).select(
             "article_id", "e.*"
         )
 
-    def stories(self, before: int | None = None) -> DataFrame:
-        """Each story's last state: a story's count only grows, so the state with the highest is the last."""
+    def stories(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """Each story's last state, or those of `of` (id): a story's count only grows, so the highest is the last."""
         columns = [f.name for f in schema.STORIES.fields if f.name != "id"]
-        last = self.read("stories", before).groupBy("id").agg(F.max_by(F.struct(*columns), "article_count").alias("s"))
+        rows = self.read("stories", before)
+        if of is not None:
+            rows = rows.join(of, "id", "left_semi")
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*columns), "article_count").alias("s"))
         return last.select("id", "s.*")
 
 
@@ -80,6 +91,7 @@ class Models:
     make_encoder: Callable | None = None
     embeddings: DataFrame | None = None  # url, embedding: used when there is no encoder
     make_extractor: Callable | None = None
+    gazetteer: DataFrame | None = None  # id, name, type: used when there is no extractor
     threshold: float = stories.STORY_THRESHOLD
 
 
@@ -125,7 +137,7 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
         articles.select(F.col("id").alias("article_id"), "topic", F.col("embedding").cast("array<double>").alias("embedding")),
         number,
     )
-    mentions = materialize(enrich.mentions(articles, models.make_extractor), "mentions")
+    mentions = materialize(enrich.mentions(articles, models.make_extractor, models.gazetteer), "mentions")
     links = in_range("article_entities", "article_id", number)
     new, linked = entities.link_entities(mentions, store.read("entities", number), links)
     store.write("entities", new, number)
@@ -141,13 +153,16 @@ def _assign(store: Store, articles: DataFrame, number: int, models: Models) -> N
     reach = F.make_dt_interval(hours=F.lit(stories.WINDOW_HOURS))
     lo, hi = (F.lit(span[end]).cast("timestamp") for end in ("lo", "hi"))
     columns = ["id", "published_at", "created_at", "embedding"]
-    earlier = (
+    # The articles of the window first: only their enrichments are grouped, not those of all history
+    around = (
         store.read("articles", number)
         .filter(time.between(lo - reach, hi + reach))
         .join(articles.select("id"), "id", "left_anti")
-        .join(store.enrichments(number).withColumnRenamed("article_id", "id"), "id")
-        .select(*columns)
+        .select("id", "published_at", "created_at")
     )
+    around = materialize(around, "around")
+    enriched = store.enrichments(number, around.select(F.col("id").alias("article_id")))
+    earlier = around.join(enriched.withColumnRenamed("article_id", "id"), "id").select(*columns)
     members = store.read("story_articles", number)
     window = materialize(earlier.unionByName(articles.select(*columns)), "window")
     known = members.join(window.select(F.col("id").alias("article_id")), "article_id", "left_semi")
@@ -155,8 +170,7 @@ def _assign(store: Store, articles: DataFrame, number: int, models: Models) -> N
     added = materialize(found.members.filter("status <> 'existing'"), "members")
     store.write("story_articles", added.select("story_id", "article_id", "similarity"), number)
 
-    old = store.stories(number).join(added.select(F.col("story_id").alias("id")), "id", "left_semi")
-    old = materialize(old, "known-stories")
+    old = materialize(store.stories(number, added.select(F.col("story_id").alias("id"))), "known-stories")
     states = stories.story_states(added, articles, old)
     titles = articles.select("id", F.col("title").alias("seed_title"))
     store.write(
@@ -202,7 +216,7 @@ def start_feeds(
     raw = messages.raw_messages(feeds.entry_messages(sent, F.col("source"), F.col("feed_url")))
 
     def write(batch: DataFrame, number: int) -> None:
-        messages.write_topic(batch, format, path, **options)
+        messages.write_topic(batch, format, path, number, **options)
 
     return _start(raw, write, checkpoint, trigger or {"processingTime": feeds.POLL_INTERVAL})
 
@@ -220,7 +234,7 @@ def start_ingest(
 
     def job(batch: DataFrame, number: int) -> None:
         sent = ingest_batch(Store(batch.sparkSession, root), batch, number)
-        messages.write_topic(sent, format, path, **options)
+        messages.write_topic(sent, format, path, number, **options)
 
     return _start(stream, job, checkpoint, trigger or {"processingTime": "1 minute"})
 
@@ -239,3 +253,14 @@ def start_enrich(
 def republish(store: Store, format: str = "kafka", path: str | None = None, **options: str) -> None:
     """Send every article, duplicates included, through enrichment again."""
     messages.write_topic(messages.republished(store.read("articles")), format, path, **options)
+
+
+def clean_and_republish(store: Store, format: str = "kafka", path: str | None = None, **options: str) -> None:
+    """Take the markup out of every article, then send it through enrichment again.
+
+    The articles keep their batches and are replaced, from a copy written before,
+    ahead of the first message, so that enrichment meets none that is not cleaned.
+    """
+    articles = store.articles_by_batch()
+    store.replace_articles(materialize(articles.withColumn("content", html_text(F.col("content"))), "cleaned"))
+    republish(store, format, path, **options)

@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from models import HOUR, check_duplicates, cosine, ratio
 from storystream.session import materialize
 from storystream.sources import feeds, messages
-from storystream.streaming.pipeline import Models, Store, enrich_batch, ingest_batch, start_enrich, start_feeds, start_ingest
+from storystream.streaming.pipeline import (
+    Models,
+    Store,
+    clean_and_republish,
+    enrich_batch,
+    ingest_batch,
+    start_enrich,
+    start_feeds,
+    start_ingest,
+)
 
 START = 1_704_067_200  # 2024-01-01T00:00:00Z
 
@@ -171,6 +180,24 @@ def test_replay_refreshes_topics(spark, tmp_path):
     assert sorted(map(str, kept.collect())) == stories
 
 
+def test_articles_are_cleaned_before_they_are_sent_again(spark, tmp_path):
+    store = run(spark, tmp_path, "store", [])
+    marked = store.articles_by_batch().withColumn("content", F.concat(F.lit("<p>a &amp; b</p>"), "content"))
+    store.replace_articles(materialize(marked, "marked"))
+    clean_and_republish(store, "text", str(tmp_path / "again"))
+    articles = store.read("articles").collect()
+    assert articles and all(a.content.startswith("a & b") for a in articles)
+    sent = [json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "again")).collect()]
+    assert sorted(sent) == sorted(a.id for a in articles)
+
+
+def test_a_repeated_batch_sends_its_messages_once(spark, tmp_path):
+    batch = spark.createDataFrame([("k", "one"), ("k", "two")], "key string, value string")
+    for number in (0, 1, 1):
+        messages.write_topic(batch, "text", str(tmp_path / "topic"), number)
+    assert spark.read.text(str(tmp_path / "topic")).count() == 4
+
+
 def test_missing_article_is_reported(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     sent = spark.createDataFrame([("k", '{"id": 99, "url": "u"}')], "key string, value string")
