@@ -129,10 +129,12 @@ split AS (
   SELECT row, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
     list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM docs),
+at_fx AS (SELECT row, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
 five AS (
-  SELECT row, i, array_to_string(words[i:i + 4], ' ') AS w
-  FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM split)),
-twice AS (SELECT row, w FROM five GROUP BY row, w HAVING count(*) > 1),
+  SELECT row, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' '
+    || lead(w, 4) OVER o AS w
+  FROM at_fx WINDOW o AS (PARTITION BY row ORDER BY i)),
+twice AS (SELECT row, w FROM five WHERE w IS NOT NULL GROUP BY row, w HAVING count(*) > 1),
 repeated AS (
   SELECT row, count(DISTINCT i + k) AS n
   FROM (SELECT five.row, i, unnest(range(5)) AS k FROM five JOIN twice USING (row, w)) GROUP BY row),
