@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from storystream import schema
 from storystream.functions.fuzzy import token_sort_ratio
 from storystream.functions.topics import TOPICS
 from storystream.functions.vectors import norm
 from storystream.operators import ingest
 from storystream.operators.centroids import centroid_stories
-from storystream.operators.enrich import with_embeddings
+from storystream.operators.enrich import embed_articles, with_embeddings
 from storystream.operators.entities import link_entities, mention_counts
 from storystream.operators.gazetteer import gazetteer_mentions, words_of
 from storystream.operators.pairs import cosine_pair_count, cosine_partners, with_titles
@@ -17,7 +19,7 @@ from storystream.operators.stories import assign_stories, cluster_size_report, s
 from storystream.operators.titles import title_duplicates, title_partners
 from storystream.plans import fixtures as fx
 from storystream.plans import maintenance
-from storystream.plans.catalog.registry import query
+from storystream.plans.catalog.registry import ORACLES, query
 from storystream.session import new_table_path
 from storystream.sources import feeds, messages
 from storystream.streaming import pipeline
@@ -417,6 +419,92 @@ def stream_articles(spark, sf_dir):
     )
 
 
+# ---- enrichment
+
+
+def _stored(spark, articles):
+    """A store that holds the articles as one batch, and a folder for messages."""
+    store = pipeline.Store(spark, new_table_path(spark, "store"))
+    columns = {f.name: F.lit(None).cast(f.dataType) for f in schema.ARTICLES.fields if f.name not in articles.columns}
+    store.write("articles", articles.withColumns(columns).select(*schema.ARTICLES.fieldNames()), 0)
+    return store, new_table_path(spark, "processed")
+
+
+def _enrich(spark, store, topic, checkpoint):
+    """Enrich what the topic holds and the checkpoint has not seen, a file of messages at a time."""
+    stream = messages.read_topic(spark, "text", path=topic, maxFilesPerTrigger="1")
+    pipeline.start_enrich(stream, store.root, checkpoint, trigger={"availableNow": True}).awaitTermination()
+
+
+def _send(articles, topic, batch):
+    messages.write_topic(messages.republished(articles).coalesce(1), "text", topic, batch)
+
+
+@query("stream_enrich", "SELECT id AS article_id, topic FROM topics_fx")
+def stream_enrich(spark, sf_dir):
+    """Articles that processed messages name get their topic, in two batches."""
+    store, topic = _stored(spark, fx.topic_articles(spark, sf_dir))
+    articles = store.read("articles")
+    for batch in (0, 1):
+        _send(articles.filter(F.col("id") % 2 == batch), topic, batch)
+    _enrich(spark, store, topic, f"{topic}-checkpoint")
+    return store.enrichments().select("article_id", "topic")
+
+
+@query(
+    "stream_redelivery",
+    "SELECT id AS article_id, topic, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS times FROM topics_fx",
+)
+def stream_redelivery(spark, sf_dir):
+    """Messages that come again enrich their articles again, and each article still has one topic."""
+    store, topic = _stored(spark, fx.topic_articles(spark, sf_dir))
+    articles = store.read("articles")
+    _send(articles, topic, 0)
+    _send(articles.filter(F.col("id") % 3 == 0), topic, 1)
+    _enrich(spark, store, topic, f"{topic}-checkpoint")
+    times = store.read("enrichments").groupBy("article_id").agg(F.count("*").alias("times"))
+    return store.enrichments().select("article_id", "topic").join(times, "article_id")
+
+
+@query("stream_replay", "SELECT id AS article_id, topic FROM topics_fx")
+def stream_replay(spark, sf_dir):
+    """All articles are sent once more after their contents have changed: the topics are those of the new contents."""
+    store, topic = _stored(spark, fx.articles(spark, sf_dir))
+    pipeline.republish(store, "text", topic)
+    _enrich(spark, store, topic, f"{topic}-checkpoint")
+    changed, _ = _stored(spark, fx.topic_articles(spark, sf_dir))
+    store.replace_articles(changed.articles_by_batch())
+    pipeline.republish(store, "text", topic)
+    _enrich(spark, store, topic, f"{topic}-checkpoint")
+    return store.enrichments().select("article_id", "topic")
+
+
+def _letter_counter():
+    """Stands for a model: the length of a text, and how many e and blanks it has."""
+
+    def encode(texts):
+        return np.array([[len(t), t.count("e"), t.count(" ")] for t in texts.ravel()], dtype=np.float32)
+
+    return encode
+
+
+@query(
+    "embed_articles",
+    f"""SELECT id, length(text) AS characters, length(text) - length(replace(text, 'e', '')) AS letters,
+          length(text) - length(replace(text, ' ', '')) AS blanks FROM ({ORACLES["embedding_text"]})""",
+)
+def embedded_by_model(spark, sf_dir):
+    """Articles through the encoder that a model would stand for, in batches of a Python worker."""
+    content = (
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("Points: 7\n"), "title"))
+        .when(F.col("id") % 3 == 1, F.concat("content", F.lit("\n Comments URL: x")))
+        .otherwise(F.col("content"))
+    )
+    found = embed_articles(fx.articles(spark, sf_dir).withColumn("content", content), _letter_counter)
+    number = lambda i: F.get("embedding", F.lit(i)).cast("bigint")
+    return found.select("id", number(0).alias("characters"), number(1).alias("letters"), number(2).alias("blanks"))
+
+
 # ---- entities
 
 
