@@ -2,8 +2,8 @@
 
 The longest common subsequence uses the bit-parallel recurrence of Hyyrö (2004):
 one bit per character of the left title, one step per character of the right
-one. Many left titles are packed side by side into one long integer, each with
-a spare bit that takes its carry, so a step serves all of them at once.
+one. The left titles of a right one are packed side by side into one long integer,
+each with a spare bit that takes its carry, so a step serves all of them at once.
 """
 
 from __future__ import annotations
@@ -19,8 +19,12 @@ from pyspark.sql import types as T
 
 from storystream.functions.text import WHITESPACE
 
-# Bits packed into one integer: enough to outweigh the interpreter's cost per step
-PACK_BITS = 16_384
+# Bytes packed into one integer: enough to outweigh the interpreter's cost per step
+PACK_BYTES = 2048
+# Bytes of letter masks kept for titles that come again
+MASK_BYTES = 64 << 20
+# Key of the mask of all characters; no code point
+FULL = -1
 # Characters are counted in bins; characters that share one can only raise the bound
 BINS = 128
 BOUND_ROWS = 16_384
@@ -38,6 +42,25 @@ class Titles:
     def __init__(self, titles: Sequence[str]):
         self.codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in titles]
         self.lengths = np.array([len(c) for c in self.codes], dtype=np.int64)
+        # Bytes a title takes in a pack: a bit per character and at least one to spare
+        self.slots = self.lengths // 8 + 1
+        self._masks: dict[int, dict[int, bytes]] = {}
+        self._held = 0
+
+    def masks(self, title: int) -> dict[int, bytes]:
+        """Per letter of a title: the bits of the places where it stands; under `FULL`, the bits of all."""
+        if title not in self._masks:
+            codes = self.codes[title]
+            letters, row = np.unique(codes, return_inverse=True)
+            bits = np.zeros((len(letters) + 1, int(self.slots[title])), dtype=np.uint8)
+            place = np.arange(len(codes))
+            np.bitwise_or.at(bits, (row, place // 8), (1 << place % 8).astype(np.uint8))
+            bits[-1] = np.bitwise_or.reduce(bits[:-1], axis=0)
+            if self._held > MASK_BYTES:
+                self._masks, self._held = {}, 0
+            self._held += bits.size
+            self._masks[title] = dict(zip([*letters.tolist(), FULL], [line.tobytes() for line in bits]))
+        return self._masks[title]
 
     @cached_property
     def counts(self) -> np.ndarray:
@@ -65,72 +88,46 @@ def letter_bound(left: Titles, right: Titles, i: np.ndarray, j: np.ndarray) -> n
 
 
 def scores(left: Titles, right: Titles, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact scores of the pairs `(i, j)`."""
+    """Exact scores of the pairs `(i, j)`.
+
+    A right title steps once through a pack of just the left titles it is paired
+    with, so that few pairs cost little and many share each step.
+    """
     total = left.lengths[i] + right.lengths[j]
     common = np.zeros(len(i), dtype=np.int64)
-    members, position = np.unique(i, return_inverse=True)
-    # Titles of like length share a pack, so that a right title that is too short
-    # or too long for some is so for the whole pack
-    order = np.argsort(left.lengths[members], kind="stable")
-    slots = left.lengths[members[order]] // 8 + 1
-    pack_of = np.empty(len(members), dtype=np.int64)
-    pack_of[order] = np.cumsum(slots * 8) // PACK_BITS
-    rank = np.empty(len(members), dtype=np.int64)
-    rank[order] = np.arange(len(members))
-
-    by_pack = np.lexsort((rank[position], j, pack_of[position]))
-    for pairs in np.split(by_pack, np.flatnonzero(np.diff(pack_of[position[by_pack]])) + 1):
-        if not len(pairs):
-            continue
-        ranks = np.unique(rank[position[pairs]])
-        pack = _Pack([left.codes[title] for title in members[order[ranks]]])
-        slot = np.searchsorted(ranks, rank[position[pairs]])
-        for run in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(j[pairs])) + 1):
-            found = pack.common(right.codes[j[pairs[run[0]]]])
-            common[pairs[run]] = found[slot[run]]
+    by_right = np.argsort(j, kind="stable")
+    for run in np.split(by_right, np.flatnonzero(np.diff(j[by_right])) + 1):
+        filled = np.cumsum(left.slots[i[run]])
+        for pairs in np.split(run, np.flatnonzero(np.diff(filled // PACK_BYTES)) + 1):
+            if len(pairs):
+                common[pairs] = _common(left, i[pairs], right.codes[j[pairs[0]]])
     return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
 
 
-class _Pack:
-    """Left titles side by side in one integer, each in whole bytes with a spare bit."""
-
-    def __init__(self, codes: list[np.ndarray]):
-        lengths = np.array([len(c) for c in codes], dtype=np.int64)
-        slots = lengths // 8 + 1
-        self.starts = np.cumsum(slots) - slots
-        self.size = int(slots.sum())
-        letters = np.concatenate(codes) if len(codes) else np.empty(0, dtype=np.uint32)
-        inside = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        bits = np.repeat(self.starts * 8, lengths) + inside
-        self.full = self._integer(bits)
-        order = np.argsort(letters, kind="stable")
-        runs = np.split(order, np.flatnonzero(np.diff(letters[order])) + 1)
-        self.masks = {int(letters[run[0]]): self._integer(bits[run]) for run in runs if len(run)}
-
-    def _integer(self, bits: np.ndarray) -> int:
-        flags = np.zeros(self.size * 8, dtype=np.uint8)
-        flags[bits] = 1
-        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
-
-    def common(self, right: np.ndarray) -> np.ndarray:
-        """LCS length of every packed title with the right one."""
-        masks, full = self.masks, self.full
-        state = full
-        for letter in right.tolist():
-            mask = masks.get(letter)
-            if mask:
-                match = state & mask
-                state = ((state + match) | (state - match)) & full
-        cleared = np.frombuffer((state ^ full).to_bytes(self.size, "little"), dtype=np.uint8)
-        return np.add.reduceat(np.bitwise_count(cleared), self.starts, dtype=np.int64)
+def _common(left: Titles, members: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """LCS length of each left title with the right one; the left ones lie side by side in one integer."""
+    slots = left.slots[members]
+    titles = [left.masks(title) for title in members.tolist()]
+    gaps = [bytes(size) for size in slots.tolist()]
+    letters = right.tolist()
+    packed = {
+        letter: int.from_bytes(b"".join([own.get(letter, gap) for own, gap in zip(titles, gaps)]), "little")
+        for letter in set(letters)
+    }
+    full = int.from_bytes(b"".join([own[FULL] for own in titles]), "little")
+    state = full
+    for letter in letters:
+        match = state & packed[letter]
+        if match:
+            state = ((state + match) | (state - match)) & full
+    cleared = np.frombuffer((state ^ full).to_bytes(int(slots.sum()), "little"), dtype=np.uint8)
+    return np.add.reduceat(np.bitwise_count(cleared), np.cumsum(slots) - slots, dtype=np.int64)
 
 
 def pair_scores(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    """Scores of titles pairwise by position, both already token-sorted."""
-    a, b = Titles(left), Titles(right)
-    common = [int(_Pack([x]).common(y)[0]) if len(x) else 0 for x, y in zip(a.codes, b.codes)]
-    total = a.lengths + b.lengths
-    return np.where(total == 0, 100.0, 200.0 * np.array(common, dtype=np.int64) / np.maximum(total, 1))
+    """Scores of titles pairwise by position, both already token-sorted; equal titles are encoded once."""
+    (i, a), (j, b) = (pd.factorize(np.asarray(side, dtype=object)) for side in (left, right))
+    return scores(Titles(a), Titles(b), i, j)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,8 +2,9 @@
 
 Catalyst has no range join, so both sides are cut into buckets as wide as the
 time window; a row only meets rows of its own and the neighbouring buckets.
-A bucket with many rows is cut further into chunks by a hash of the id, and
-every pair of chunks becomes one tile. A tile therefore holds about
+A bucket with many rows is cut further into chunks, by a band that matching rows
+must share (such as length) where there is one and by a hash of the id, and every
+pair of chunks that can match becomes one tile. A tile therefore holds about
 2 * `chunk_rows` rows however many rows fall into one bucket, and the work of a
 hot bucket spreads over as many tasks as it has tiles. The comparison itself
 happens inside the tile, which returns only the pairs that pass.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS_PER_HOUR = 3_600_000_000
@@ -26,46 +27,82 @@ def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-def _chunked(df: DataFrame, width: int, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with bucket and chunk number; number of chunks per bucket."""
-    bucketed = df.withColumn("bucket", F.floor(F.col("t") / F.lit(width)))
-    chunks = bucketed.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).alias("chunks"))
-    rows = bucketed.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
-    return rows.drop("chunks"), chunks
+def _chunked(df: DataFrame, width: int, chunk_rows: int, band: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with bucket and chunk number; per bucket and chunk its lowest and highest band.
+
+    The chunks of a bucket follow its bands. A band that fills more than a chunk
+    is dealt over its chunks by a hash of the id. Windows run over counts only.
+    """
+    bucketed = df.withColumns({"bucket": F.floor(F.col("t") / F.lit(width)), "band": band})
+    upto = Window.partitionBy("bucket").orderBy("band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = (
+        bucketed.groupBy("bucket", "band")
+        .agg(F.count("*").alias("n"))
+        .withColumn("through", F.sum("n").over(upto))
+        .select(
+            "bucket",
+            "band",
+            F.floor((F.col("through") - F.col("n")) / F.lit(chunk_rows)).alias("first"),
+            F.floor((F.col("through") - 1) / F.lit(chunk_rows)).alias("last"),
+        )
+    )
+    chunks = (
+        counts.select("bucket", "band", F.explode(F.sequence("first", "last")).alias("chunk"))
+        .groupBy("bucket", "chunk")
+        .agg(F.min("band").alias("low"), F.max("band").alias("high"))
+    )
+    dealt = F.col("first") + F.pmod(F.xxhash64("id"), F.col("last") - F.col("first") + 1)
+    rows = bucketed.join(counts, ["bucket", "band"]).withColumn("chunk", dealt)
+    return rows.drop("band", "first", "last"), chunks
 
 
 def tiled(
-    left: DataFrame, right: DataFrame, hours: int, reaches: list[int], chunk_rows: int
+    left: DataFrame,
+    right: DataFrame,
+    hours: int,
+    reaches: list[int],
+    chunk_rows: int,
+    band: Column | None = None,
+    meets: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides, each row once for every tile it takes part in.
 
     `left` and `right` need `id` and `t` (microseconds). `reaches` are the
-    distances in buckets from a left row to the right rows it may match.
+    distances in buckets from a left row to the right rows it may match. With
+    `band`, a whole number, rows may match only if their bands are at most `meets`
+    apart: a crowded bucket is cut by band, and chunks too far apart share no tile.
     """
     width = hours * MICROS_PER_HOUR
+    band = F.lit(0) if band is None else band
     # New column identities, so that a table can be tiled against itself
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    left_rows, left_chunks = _chunked(left, width, chunk_rows)
-    right_rows, right_chunks = _chunked(right, width, chunk_rows)
+    left_rows, left_chunks = _chunked(left, width, chunk_rows, band)
+    right_rows, right_chunks = _chunked(right, width, chunk_rows, band)
     reach = F.explode(F.array(*[F.lit(r) for r in reaches])).alias("reach")
 
-    left_tiles = (
-        left_rows.select("*", reach)
+    theirs = right_chunks.select(
+        F.col("bucket").alias("right_bucket"),
+        F.col("chunk").alias("right_chunk"),
+        F.col("low").alias("right_low"),
+        F.col("high").alias("right_high"),
+    )
+    tiles = (
+        left_chunks.select("*", reach)
         .withColumn("right_bucket", F.col("bucket") + F.col("reach"))
-        .join(right_chunks.withColumnsRenamed({"bucket": "right_bucket"}), "right_bucket")
-        .withColumn("right_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .withColumnRenamed("chunk", "left_chunk")
-        .drop("right_bucket", "chunks")
+        .join(theirs, "right_bucket")
+        .filter((F.col("low") <= F.col("right_high") + meets) & (F.col("right_low") <= F.col("high") + meets))
+        .select(F.col("chunk").alias("left_chunk"), "bucket", "reach", "right_bucket", "right_chunk")
+    )
+    left_tiles = left_rows.withColumnRenamed("chunk", "left_chunk").join(
+        tiles.drop("right_bucket"), ["bucket", "left_chunk"]
     )
     right_tiles = (
-        right_rows.select("*", reach)
-        .withColumn("bucket", F.col("bucket") - F.col("reach"))
-        .join(left_chunks, "bucket")
-        .withColumn("left_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .withColumnRenamed("chunk", "right_chunk")
-        .drop("chunks")
+        right_rows.withColumnsRenamed({"bucket": "right_bucket", "chunk": "right_chunk"})
+        .join(tiles, ["right_bucket", "right_chunk"])
+        .drop("right_bucket")
     )
-    return left_tiles, right_tiles
+    # Both sides hold columns of the table of tiles, so one of them gets new ones once more
+    return left_tiles, right_tiles.select(*[F.col(c).alias(c) for c in right_tiles.columns])
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,23 @@ PAIR_BATCH = 200_000
 SECOND = 1_000_000
 
 
+# Bands of length that lie between a title and the longest one it can reach the threshold with
+BANDS = 4
+
+
+def _length_band(threshold: float) -> tuple[Column | None, int]:
+    """Band of a title's length, and how far apart the bands of titles that reach the threshold can be.
+
+    An LCS is no longer than the shorter title, so a score of s needs lengths
+    within a factor of (200 - s) / s. One band more covers rounding.
+    """
+    if threshold <= 0:
+        return None, 0
+    step = max(math.log((200 - threshold) / threshold), 0.1) / BANDS if threshold < 200 else 0.1
+    length = F.greatest(F.char_length("key"), F.lit(1))
+    return F.floor(F.log(length) / F.lit(step)), BANDS + 1
+
+
 def _keyed(articles: DataFrame, *also: str) -> DataFrame:
     """Dated articles with their token-sorted title."""
     return articles.filter(F.col("published_at").isNotNull()).select(
@@ -181,6 +200,7 @@ def title_duplicates(
         hours,
         [-1, 0, 1],
         CHUNK_ROWS,
+        *_length_band(threshold),
     )
     similar = (
         in_tiles(
@@ -225,5 +245,5 @@ def title_partners(
     the articles and not with their pairs.
     """
     keyed = materialize(_keyed(articles), "titles")
-    left, right = tiled(keyed, keyed, hours, [0, 1], CHUNK_ROWS)
+    left, right = tiled(keyed, keyed, hours, [0, 1], CHUNK_ROWS, *_length_band(threshold))
     return all_partners(in_tiles(left, right, _partners_in_tile(hours, threshold), PARTNERS))
