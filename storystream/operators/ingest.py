@@ -90,16 +90,24 @@ def ingest_articles(
     articles there are and those of these messages that arrived before.
     """
     valid, quarantine = split_payloads(messages)
-    trimmed = valid.withColumns({"url": strip(F.col("url")), "title": strip(F.col("title"))})
-    fresh = first_url_wins(trimmed, articles)
-    repeated = trimmed.join(fresh.select("arrival"), "arrival", "left_anti").select("arrival", "url")
+    # What decides is decoded and written once; contents, by far the most of a message, are decoded, shuffled and
+    # written only for what becomes an article
+    heads = materialize(
+        valid.select(
+            "arrival", "source", "source_url", "published_at", *[strip(F.col(c)).alias(c) for c in ("url", "title")]
+        ),
+        "heads",
+    )
+    fresh = materialize(first_url_wins(heads, articles), "fresh")
+    repeated = heads.join(fresh.select("arrival"), "arrival", "left_anti").select("arrival", "url")
 
-    new_sources = upsert_sources(sources, valid)
+    new_sources = upsert_sources(sources, heads)
     ids = source_ids(sources.select("id", "name").unionByName(new_sources.select("id", "name")))
     next_id = (articles.agg(F.max("id")).first()[0] or 0) + 1
+    numbered = with_sequence(fresh, ["arrival"], "id", next_id)
     inserted = materialize(
-        with_sequence(fresh, ["arrival"], "id", next_id)
-        .join(ids, F.col("source") == ids["name"])
+        numbered.join(ids, F.col("source") == ids["name"])
+        .join(valid.select("arrival", "content"), "arrival")
         .select(
             "id",
             "source_id",
