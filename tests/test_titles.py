@@ -42,6 +42,34 @@ def test_copies_of_one_title(spark):
     check_duplicates(found(title_duplicates(articles(spark, rows))), rows)
 
 
+def test_crowded_buckets_are_cut_by_length(spark, monkeypatch):
+    """Titles of very different lengths in one bucket: fewer rows of tiles, the same duplicates."""
+    monkeypatch.setattr(titles, "CHUNK_ROWS", 8)
+    rng = random.Random(21)
+    rows = [
+        (i, rng.randrange(5 * HOUR), " ".join(rng.choice(("ab", "cd", "e")) for _ in range(rng.choice([0, 1, 2, 6, 20, 60]))))
+        for i in range(1, 97)
+    ]
+    check_duplicates(found(title_duplicates(articles(spark, rows))), rows)
+    keyed = titles._keyed(articles(spark, rows))
+    whole, _ = titles.tiled(keyed, keyed, 6, [0], titles.CHUNK_ROWS)
+    cut, _ = titles.tiled(keyed, keyed, 6, [0], titles.CHUNK_ROWS, *titles._length_band(65))
+    assert cut.select("id").distinct().count() == len(rows)
+    assert cut.count() < 0.7 * whole.count()
+
+
+@pytest.mark.parametrize("threshold", [1, 40, 65, 99, 100])
+def test_titles_that_can_reach_the_threshold_have_close_bands(spark, threshold):
+    """Every shorter title that can still reach the threshold lies within the bands that meet."""
+    band, meets = titles._length_band(threshold)
+    rows = [(n, "x" * n) for n in range(0, 400)]
+    bands = {r.n: r.band for r in spark.createDataFrame(rows, "n int, key string").select("n", band.alias("band")).collect()}
+    for longer in range(1, 400):
+        for shorter in range(1, longer + 1):
+            if 200 * shorter / (shorter + longer) >= threshold:
+                assert bands[longer] - bands[shorter] <= meets
+
+
 def test_edges(spark):
     # 13 of 20 characters in common on both sides: 200 * 13 / 40 = 65
     a, b, short = "a" * 13 + "b" * 7, "a" * 13 + "c" * 7, "a" * 12 + "c" * 8
