@@ -1,13 +1,24 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A clause is read as a string of symbols: insult, threat, target, negation,
-report (verbs of saying), quotation mark and anything else. Small transducers
-each follow one thing - the scope of a negation, the scope of reported speech,
-whether somebody is addressed - and are composed into one machine whose table is
-built once. What the machine emits for a clause is a set of *matches*: an insult
-or a threat that is asserted, negated or reported, aimed at somebody or not. A
-document's score is a logistic function of its weighted matches; single words
-outside a match count for nothing.
+A sentence is read as a string of symbols: insult, threat verb, target, copula or
+filler, intent, negation, verb of saying, quotation mark and anything else. Small
+transducers each follow one thing and are composed into two machines whose tables
+are built once: one reads from the left (negation before, speech verb before,
+quotation, who is addressed, what is intended), one from the right (negation
+after, speech verb at the end, who is addressed after). What both say where an
+insult or threat verb stands decides what is matched there:
+
+- an insult is aimed if a target stands at most `BEFORE` symbols before or
+  `BEHIND` after it ("you are such an idiot", "idiots like you");
+- a threat is aimed if an intent precedes the verb and its target stands between
+  them or closely behind ("I will kill you", "werde dich töten"); a verb without
+  both ("kill the process") is loose;
+- either is negated by a negation at most `NEGATED_FOR` symbols before or directly
+  behind it, and reported inside quotation marks, which hold over full stops to
+  the end of the line, or by a verb of saying before it or at the sentence's end.
+
+A document's score is a logistic function of its weighted matches. Loose words
+weigh nothing by themselves; labelled rows alone can give them a weight.
 
 Symbols come from short word lists of general English, German, French and
 Spanish, and insults also from the labelled rows: words and stems that mark toxic
@@ -41,7 +52,9 @@ LEAST_LOG_ODDS = 3.0
 FULL_LOG_ODDS = 5.0
 STEM_LENGTHS = (4, 5, 6)
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = "ITGNRQ_"
+INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, QUOTE, OTHER = SYMBOLS = tuple("ITGNRWQ_")
+#: How far, in symbols, a part of a pattern reaches
+BEFORE, BEHIND, NEGATED_FOR, INTENDED_FOR, CLOSING = 4, 2, 4, 6, 3
 
 SEED = {
     INSULT: "idiot moron stupid loser scum worthless pathetic disgusting fool imbecile dumbass bastard "
@@ -50,10 +63,13 @@ SEED = {
     TARGET: "you your yours they them he she him her u du dich dir ihr euch sie vous tu te toi usted tú",
     NEGATION: "not no never neither nobody isn't aren't don't nicht kein keine niemals ne pas jamais nunca ni",
     REPORT: "said says say called calls claimed wrote quoted told asked sagte schrieb nannte dit écrit dijo escribió",
+    INTENT: "will shall gonna going want wants must should i'll we'll they'll he'll she'll werde wird werden wollen "
+    "soll sollte vais va allons veux voy vamos quiero quiere",
 }
 
 TOKEN = re.compile(r"[\w']+|[\"“”„«»]")
-CLAUSE_END = re.compile(r"[.!?;\n]+")
+SENTENCE_END = re.compile(r"[.!?;]+")
+MARKS = re.compile("[\"“”„«»]")
 
 
 @dataclass(frozen=True)
@@ -76,7 +92,7 @@ def _scope(opener: str, length: int) -> Transducer:
 
 
 def _flag(opener: str) -> Transducer:
-    """Holds from its opener to the end of the clause."""
+    """Holds from its opener to the end of the sentence."""
     return Transducer(0, (0, 1), {(0, opener): 1})
 
 
@@ -85,38 +101,77 @@ def _quoted() -> Transducer:
     return Transducer(0, (0, 1), {(0, QUOTE): 1, (1, QUOTE): 0})
 
 
-NEGATED, REPORTED, QUOTED, AIMED = _scope(NEGATION, 4), _flag(REPORT), _quoted(), _flag(TARGET)
+def _intended(length: int) -> Transducer:
+    """Holds for `length` symbols after an intent: 2 per symbol left, and 1 more once a target was named."""
+    moves = {(s, "*"): s - 2 if s > 3 else 0 for s in range(2 * length + 2)}
+    moves |= {(s, TARGET): (s - 2) | 1 if s > 3 else 0 for s in range(2 * length + 2)}
+    moves |= {(s, INTENT): 2 * length for s in range(2 * length + 2)}
+    return Transducer(0, tuple(range(2 * length + 2)), moves)
+
+
+def _among_first(opener: str, length: int) -> Transducer:
+    """Holds for good once its opener is among the first `length` symbols: `length` + 1, while counting up to `length`."""
+    moves = {(s, "*"): min(s + 1, length) for s in range(length)} | {(length, "*"): length}
+    moves |= {(s, opener): length + 1 for s in range(length)}
+    return Transducer(0, tuple(range(length + 2)), moves)
+
+
 HEADS, MOODS, AIMS = (INSULT, THREAT), ("asserted", "negated", "reported"), ("aimed", "loose")
 KINDS = tuple(product(HEADS, MOODS, AIMS))
 
 
 def compose(*machines: Transducer) -> dict[tuple[tuple[int, ...], str], tuple[int, ...]]:
-    """The product of machines that read the same symbols, as one table."""
-    symbols = (INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER)
-    return {
-        (states, symbol): tuple(m.step(s, symbol) for m, s in zip(machines, states))
-        for states in product(*(m.states for m in machines))
-        for symbol in symbols
-    }
-
-
-GRAMMAR = compose(NEGATED, REPORTED, QUOTED, AIMED)
-START = (NEGATED.start, REPORTED.start, QUOTED.start, AIMED.start)
+    """The product of machines that read the same symbols, as one table of the states that can be reached."""
+    start = tuple(m.start for m in machines)
+    table, todo, seen = {}, [start], {start}
+    while todo:
+        states = todo.pop()
+        for symbol in SYMBOLS:
+            after = tuple(m.step(s, symbol) for m, s in zip(machines, states))
+            table[states, symbol] = after
+            if after not in seen:
+                seen.add(after)
+                todo.append(after)
+    return table
+
+
+QUOTED = _quoted()
+FROM_LEFT = (_scope(NEGATION, NEGATED_FOR), _flag(REPORT), _scope(TARGET, BEFORE), _intended(INTENDED_FOR), QUOTED)
+FROM_RIGHT = (_scope(NEGATION, 1), _among_first(REPORT, CLOSING), _scope(TARGET, BEHIND))
+LEFT, RIGHT = compose(*FROM_LEFT), compose(*FROM_RIGHT)
+LEFT_START, RIGHT_START = tuple(m.start for m in FROM_LEFT), tuple(m.start for m in FROM_RIGHT)
+
+
+def judge(head: str, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[str, str, str]:
+    """The kind of match where a head stands between two states."""
+    negated, reported, addressed, intended, quoted = left
+    negated_after, said_after, addressed_after = right
+    if negated or negated_after:
+        mood = "negated"
+    else:
+        mood = "reported" if reported or quoted or said_after > CLOSING else "asserted"
+    if head == INSULT:
+        aimed = addressed or addressed_after
+    else:
+        aimed = intended & 1 or (intended and addressed_after)
+    return head, mood, "aimed" if aimed else "loose"
 
 
-def read_clause(symbols: Iterable[tuple[str, float]]) -> dict[tuple[str, str, str], float]:
-    """Weight of each kind of match in one clause of (symbol, weight)."""
-    state, heads = START, []
-    for symbol, weight in symbols:
-        negated, reported, quoted, _ = state
+def read_clause(symbols: Iterable[tuple[str, float]], quoted: int = 0) -> dict[tuple[str, str, str], float]:
+    """Weight of each kind of match in one sentence of (symbol, weight), which may begin inside a quotation."""
+    read, state, lefts = list(symbols), (*LEFT_START[:-1], quoted), {}
+    for at, (symbol, _) in enumerate(read):
         if symbol in HEADS:
-            mood = "negated" if negated else "reported" if reported or quoted else "asserted"
-            heads.append((symbol, mood, weight))
-        state = GRAMMAR[state, symbol]
-    aim = "aimed" if state[3] else "loose"
+            lefts[at] = state
+        state = LEFT[state, symbol]
     total: dict[tuple[str, str, str], float] = {}
-    for head, mood, weight in heads:
-        total[head, mood, aim] = total.get((head, mood, aim), 0.0) + weight
+    state = RIGHT_START
+    for at in range(len(read) - 1, min(lefts, default=len(read)) - 1, -1):
+        symbol, weight = read[at]
+        if at in lefts:
+            kind = judge(symbol, lefts[at], state)
+            total[kind] = total.get(kind, 0.0) + weight
+        state = RIGHT[state, symbol]
     return total
 
 
@@ -154,11 +209,15 @@ def matches(text: str | None, model: Model, known: set[str]) -> list[float]:
         stems = model.stems
         heads |= {w for w in words if w[:4] in stems or w[:5] in stems or w[:6] in stems}
     if heads:
-        for clause in CLAUSE_END.split(low):
-            tokens = TOKEN.findall(clause)
-            if not heads.isdisjoint(tokens):
-                for kind, weight in read_clause(map(model.symbol, tokens)).items():
-                    found[kind] += weight
+        for line in low.split("\n"):
+            marks, quoted = MARKS.search(line) is not None, QUOTED.start
+            for sentence in SENTENCE_END.split(line):
+                tokens = TOKEN.findall(sentence)
+                if not heads.isdisjoint(tokens):
+                    for kind, weight in read_clause(map(model.symbol, tokens), quoted).items():
+                        found[kind] += weight
+                if marks and len(MARKS.findall(sentence)) % 2:
+                    quoted = QUOTED.step(quoted, QUOTE)
     return [found[kind] for kind in KINDS]
 
 
@@ -166,11 +225,13 @@ def _seed_words() -> dict[str, tuple[str, float]]:
     return {word: (symbol, 1.0) for symbol, words in SEED.items() for word in words.split()}
 
 
-#: What is believed of a kind of match before any label is seen; rare kinds stay near it
+#: What is believed of a kind of match before any label is seen; rare kinds stay near it, and loose words say nothing
 PRIOR = tuple(
-    {"asserted": 2.0, "negated": 0.3, "reported": 0.5}[mood] * (1.5 if aim == "aimed" else 1.0)
+    {"asserted": 4.0, "negated": 0.3, "reported": 0.5}[mood] * (1.5 if aim == "aimed" else 0.0)
     for _, mood, aim in KINDS
 )
+#: How firmly it is believed: of loose words labels may easily say more
+FIRMNESS = (0.5, *(0.5 if aim == "aimed" else 0.05 for _, _, aim in KINDS))
 
 
 def _fit(rows: list[tuple[list[float], int]]) -> tuple[float, tuple[float, ...]]:
@@ -180,11 +241,11 @@ def _fit(rows: list[tuple[list[float], int]]) -> tuple[float, tuple[float, ...]]
         return start[0], tuple(start[1:])
     x = np.column_stack([np.ones(len(rows)), np.log1p(np.array([r[0] for r in rows]))])
     y = np.array([r[1] for r in rows], float)
-    w, ridge = start.copy(), 0.5
+    w, ridge = start.copy(), np.array(FIRMNESS)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + ridge * (w - start)
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -250,15 +311,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS
     """Rows (text, toxic) of at most `limit` labelled documents that are not held out.
 
     The labels are chosen before any text is read, so the join ships only them,
-    and their number is bounded by `limit`.
+    and their number is bounded by `limit`. Labels whose hash is too high to be
+    among them are left out where they are, so about `limit` rows are sorted.
     """
     usable = (
         labels.select("doc_id", "toxic")
         .where("toxic IN (0, 1) AND doc_id IS NOT NULL")
         .where(~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
-        .limit(limit)
     )
+    # Of n evenly spread hashes the smallest `limit` lie below this bound but for a chance of less than 1e-9
+    share = (limit + 6 * math.sqrt(limit) + 40) / max(usable.count(), 1)
+    if share < 1:
+        usable = usable.where(F.xxhash64("doc_id") < -(2**63) + int(share * 2**64))
+    usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", "toxic")
 
 
