@@ -12,7 +12,7 @@ exchange, by block, and are numbered inside blocks of bounded size.
 from __future__ import annotations
 
 from bisect import bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -55,14 +55,25 @@ def bucket_udf(keys: list[str]):
 class Histogram:
     """Exact bytes and rows below known keys."""
 
-    below: dict[str, tuple[int, int]]
     total: tuple[int, int]
+    below: dict[str, tuple[int, int]] = field(default_factory=dict)
+    keys: list[str] = field(default_factory=list)  # sorted
+    sizes: list[int] = field(default_factory=list)  # bytes below each of them
+
+    def add(self, counted: dict[str, tuple[int, int]]) -> None:
+        self.below |= counted
+        self.keys = sorted(self.below)
+        self.sizes = [self.below[k][0] for k in self.keys]
 
     def bracket(self, target: float) -> tuple[str | None, str | None]:
         """The known keys next to where `target` bytes lie below."""
-        keys = sorted(self.below)
-        at = bisect_right([self.below[k][0] for k in keys], target)
-        return (keys[at - 1] if at else None), (keys[at] if at < len(keys) else None)
+        at = bisect_right(self.sizes, target)
+        return (self.keys[at - 1] if at else None), (self.keys[at] if at < len(self.keys) else None)
+
+    def rows_between(self, low: str | None, high: str | None) -> int:
+        """Rows from one known key up to another; None is the end on its side."""
+        upper = self.total[1] if high is None else self.below[high][1]
+        return upper - (0 if low is None else self.below[low][1])
 
     def splitter(self, target: float) -> tuple[str | None, float]:
         """The known key whose bytes below are nearest to the target (None: above all), and by how much they miss it."""
@@ -87,23 +98,34 @@ def _count(narrow: DataFrame, keys: list[str]) -> dict[str, tuple[int, int]]:
     return {k: (int(b), int(n)) for k, b, n in zip(keys, np.cumsum(size), np.cumsum(rows))}
 
 
-def _draw(narrow: DataFrame, count: int, turn: int) -> list[str]:
-    """At most `count` distinct keys, spread like the rows."""
-    drawn = narrow.select("key").orderBy(F.xxhash64("key", F.lit(turn)), "key").limit(count)
-    return sorted({r.key for r in drawn.collect()})
+def _draw(narrow: DataFrame, rows: int, count: int, turn: int) -> list[str]:
+    """About `count` distinct keys, spread like the `rows` rows; none only if there is none.
+
+    Keys are chosen where they are, by a bound on their hash. Copies of a key are
+    chosen together and sent once. Where copies make up most of the rows, so that
+    a bound finds nothing, it is raised until it lets every key through.
+    """
+    share = 1.1 * count / max(rows, 1)
+    while True:
+        chance = F.shiftrightunsigned(F.xxhash64("key", F.lit(turn)), 11)  # evenly below 2**53
+        chosen = narrow.where(chance < int(min(share, 1.0) * 2**53)).select("key").distinct()
+        drawn = sorted(r.key for r in chosen.collect())
+        if drawn or share >= 1:
+            return drawn
+        share *= 64
 
 
 def measure(narrow: DataFrame, shards: int, tolerance: float, probes: int) -> Histogram:
     """Refine candidates until every splitter is within tolerance or its bracket is used up."""
     total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     probes = max(probes, total[0] // BLOCK_BYTES)
-    known = Histogram({}, (int(total[0]), int(total[1])))
-    open_rows, turn = narrow, 0
+    known = Histogram((int(total[0]), int(total[1])))
+    open_rows, rows, turn = narrow, known.total[1], 0
     while True:
-        drawn = [k for k in _draw(open_rows, probes, turn) if k not in known.below]
+        drawn = _draw(open_rows, rows, probes, turn)
         if not drawn:
             return known
-        known.below |= _count(narrow, drawn)
+        known.add(_count(narrow, drawn))
         brackets = set()
         for s in range(1, shards):
             target = known.total[0] * s / shards
@@ -115,7 +137,8 @@ def measure(narrow: DataFrame, shards: int, tolerance: float, probes: int) -> Hi
         for low, high in brackets:
             within = F.lit(True) if low is None else F.col("key") > low
             inside = inside | (within if high is None else within & (F.col("key") < high))
-        open_rows, turn = narrow.where(inside), turn + 1
+        open_rows, rows = narrow.where(inside), sum(known.rows_between(*b) for b in brackets)
+        turn += 1
 
 
 def shard(
@@ -146,9 +169,8 @@ def shard(
     cuts = sorted(k for k in cuts if k is not None)
 
     # Every known key may start a block; as many are used as blocks are wanted
-    keys = sorted(known.below)
     wanted = max(shards * 16, known.total[0] // BLOCK_BYTES)
-    thinned = keys[:: max(1, len(keys) // wanted)]
+    thinned = known.keys[:: max(1, len(known.keys) // wanted)]
     starts = sorted({*thinned, *cuts})
     shard_of = [0, *(bisect_right(cuts, k) for k in starts)]
     first = {0: 0} | {s: known.below[cuts[s - 1]][1] for s in range(1, len(cuts) + 1)}
