@@ -16,8 +16,9 @@ from storystream.operators.stories import (
     threshold_compare,
 )
 from storystream.plans import fixtures as fx
-from storystream.plans import listings, maintenance
+from storystream.plans import kept, listings, maintenance
 from storystream.plans.catalog.registry import query
+from storystream.session import materialize
 from storystream.sources import messages
 
 
@@ -156,15 +157,40 @@ def min_articles(spark, sf_dir):
     return listings.min_articles(_summaries(spark, sf_dir), 3).select("id", "article_count")
 
 
-@query(
-    "list_stories",
-    """SELECT *, (SELECT count(*) FROM summaries_fx WHERE article_count >= 2) AS total FROM summaries_fx
-       WHERE article_count >= 2 ORDER BY latest_article_at DESC, id DESC LIMIT 20 OFFSET 10""",
-)
+_STORIES = """SELECT *, (SELECT count(*) FROM summaries_fx WHERE article_count >= 2) AS total FROM summaries_fx
+       WHERE article_count >= 2 ORDER BY latest_article_at DESC, id DESC LIMIT 20 OFFSET 10"""
+
+
+@query("list_stories", _STORIES)
 def list_stories(spark, sf_dir):
     return _joined_names(listings.list_stories(_summaries(spark, sf_dir), offset=10, at_least=2))
 
 
+def _kept_parts(spark, sf_dir):
+    """Sums added by three batches, whose last corrects topics that were stored otherwise before."""
+    rows = fx.joined_members(spark, sf_dir).select("story_id", "source_id", "topic", "article_time", "article_id")
+    stored = F.when(F.col("article_id") % 5 == 0, F.lit("Business")).otherwise(F.col("topic"))
+    rows = materialize(rows.withColumn("old_topic", stored), "members-to-keep")
+    before = rows.withColumn("topic", F.col("old_topic"))
+    batches = [kept.summary_parts(before.filter(F.col("article_id") % 2 == b)) for b in (0, 1)]
+    return batches[0].unionByName(batches[1]).unionByName(kept.topic_corrections(rows))
+
+
+@query("kept_summaries", "SELECT * FROM summaries_fx")
+def kept_summaries(spark, sf_dir):
+    parts = _kept_parts(spark, sf_dir)
+    return _joined_names(kept.kept_summaries(parts, fx.stories(spark, sf_dir), fx.sources(spark, sf_dir)))
+
+
+@query("list_kept_stories", _STORIES)
+def list_kept_stories(spark, sf_dir):
+    parts = materialize(_kept_parts(spark, sf_dir), "parts")
+    page = kept.list_kept_stories(
+        parts, fx.stories(spark, sf_dir), fx.sources(spark, sf_dir), offset=10, at_least=2
+    )
+    return _joined_names(page)
+
+
 @query(
     "story_page",
     """SELECT (SELECT count(*) FROM summaries_fx) AS total, 20 AS "limit", 0 AS "offset",

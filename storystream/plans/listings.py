@@ -84,6 +84,11 @@ def story_summaries(joined: DataFrame) -> DataFrame:
     parts = joined.groupBy("story_id", "story_title", "source_id", "source_name", "topic").agg(
         F.count("*").alias("n"), F.min("article_time").alias("lo"), F.max("article_time").alias("hi")
     )
+    return summarise_parts(parts)
+
+
+def summarise_parts(parts: DataFrame) -> DataFrame:
+    """One row per story from sums (n, lo, hi) per story, source and topic; sums of 0 are no vote for their topic."""
     votes = F.when(F.col("topic") != UNCATEGORIZED, F.col("topic"))
     topics = parts.groupBy("story_id", "story_title", votes.alias("vote")).agg(
         F.sum("n").alias("n"),
@@ -92,7 +97,7 @@ def story_summaries(joined: DataFrame) -> DataFrame:
         F.collect_set("source_id").alias("source_ids"),
         F.collect_set("source_name").alias("names"),
     )
-    ballot = F.when(F.col("vote").isNotNull(), F.struct((-F.col("n")).alias("minus_n"), "vote"))
+    ballot = F.when(F.col("vote").isNotNull() & (F.col("n") > 0), F.struct((-F.col("n")).alias("minus_n"), "vote"))
     return topics.groupBy(F.col("story_id").alias("id"), F.col("story_title").alias("title")).agg(
         F.sum("n").alias("article_count"),
         F.size(F.array_distinct(F.flatten(F.collect_list("source_ids")))).cast("long").alias("source_count"),

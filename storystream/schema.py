@@ -68,6 +68,18 @@ STORY_ARTICLES = T.StructType(
     ]
 )
 
+# What a batch adds to the sums that story pages are made of
+SUMMARY_PARTS = T.StructType(
+    [
+        T.StructField("story_id", T.LongType()),
+        T.StructField("source_id", T.LongType()),
+        T.StructField("topic", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("lo", T.TimestampType()),
+        T.StructField("hi", T.TimestampType()),
+    ]
+)
+
 RAW_MESSAGE = T.StructType(
     [
         T.StructField(name, T.StringType())

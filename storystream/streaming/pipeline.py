@@ -21,6 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 from storystream import schema
 from storystream.functions.text import article_time, html_text
 from storystream.operators import enrich, entities, ingest, stories
+from storystream.plans import kept
+from storystream.plans.listings import STORY_LIMIT
 from storystream.session import materialize
 from storystream.sources import feeds, messages
 
@@ -32,6 +34,7 @@ TABLES = {
     "article_entities": schema.ARTICLE_ENTITIES,
     "stories": schema.STORIES,
     "story_articles": schema.STORY_ARTICLES,
+    "summary_parts": schema.SUMMARY_PARTS,
 }
 
 
@@ -83,6 +86,12 @@ class Store:
         last = rows.groupBy("id").agg(F.max_by(F.struct(*columns), "article_count").alias("s"))
         return last.select("id", "s.*")
 
+    def list_stories(self, limit: int = STORY_LIMIT, offset: int = 0, at_least: int = 1) -> DataFrame:
+        """A page of stories, from the sums that the batches added; no article is read."""
+        return kept.list_kept_stories(
+            self.read("summary_parts"), self.stories(), self.read("sources"), limit, offset, at_least
+        )
+
 
 @dataclass
 class Models:
@@ -144,6 +153,20 @@ def enrich_batch(store: Store, batch: DataFrame, number: int, models: Models | N
     store.write("article_entities", linked, number)
     store.write("missing", missing, number)
     _assign(store, articles, number, models)
+    _keep_summaries(store, articles, number)
+
+
+def _keep_summaries(store: Store, articles: DataFrame, number: int) -> None:
+    """What the batch adds to the summaries: its new members, and known ones that have another topic now."""
+    time = article_time(F.col("published_at"), F.col("created_at"))
+    batch = articles.select(F.col("id").alias("article_id"), "source_id", "topic", time.alias("article_time"))
+    added = store.read("story_articles", number + 1).join(batch, "article_id")
+    known = store.read("story_articles", number).join(batch.select("article_id"), "article_id", "left_semi")
+    known = materialize(known.select("article_id", "story_id"), "known-members")
+    before = store.enrichments(number, known.select("article_id")).select("article_id", F.col("topic").alias("old_topic"))
+    new = kept.summary_parts(added.join(known, "article_id", "left_anti"))
+    corrected = kept.topic_corrections(known.join(batch, "article_id").join(before, "article_id"))
+    store.write("summary_parts", new.unionByName(corrected).select(*schema.SUMMARY_PARTS.names), number)
 
 
 def _assign(store: Store, articles: DataFrame, number: int, models: Models) -> None:

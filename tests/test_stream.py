@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from models import HOUR, check_duplicates, cosine, ratio
+from storystream.plans.listings import list_stories, story_members, story_summaries
 from storystream.session import materialize
 from storystream.sources import feeds, messages
 from storystream.streaming.pipeline import (
@@ -198,6 +199,36 @@ def test_a_repeated_batch_sends_its_messages_once(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "topic")).count() == 4
 
 
+def _page(df):
+    return [(r.id, r.title, r.article_count, r.source_names, r.first_article_at, r.latest_article_at, r.topic) for r in df.collect()]
+
+
+def test_kept_summaries_equal_those_of_all_members(spark, tmp_path):
+    """After batches, a repeated one, and a replay that changes topics."""
+    store = run(spark, tmp_path, "store", [13, 27], repeat=1)
+
+    def summaries():
+        articles = store.read("articles")
+        topics = store.enrichments().select(F.col("article_id").alias("id"), "topic")
+        members = story_members(store.stories(), store.read("story_articles"), articles.join(topics, "id"), store.read("sources"))
+        return materialize(story_summaries(members), "summaries")
+
+    expected = summaries()
+    assert expected.filter("article_count > 1").count() > 1
+    assert _page(store.list_stories(limit=100)) == _page(list_stories(expected, 100))
+    cleaned = store.read("articles").withColumn("content", F.when(F.col("id") % 2 == 0, "nothing").otherwise(F.col("content")))
+    store.replace_articles(materialize(cleaned.withColumn("batch", F.lit(0)), "cleaned"))
+    for number in (3, 3, 4):
+        enrich_batch(store, messages.republished(store.read("articles")), number, Models(embeddings=embeddings(spark)))
+    changed = summaries()
+    assert {r.topic for r in changed.collect()} != {r.topic for r in expected.collect()}
+    for at_least in (1, 2):
+        assert _page(store.list_stories(5, 2, at_least)) == _page(list_stories(changed, 5, 2, at_least))
+    total = {r.total for r in store.list_stories(5, 0, 2).collect()}
+    assert total == {changed.filter("article_count >= 2").count()}
+    assert store.list_stories(offset=1000).count() == 0
+
+
 def test_missing_article_is_reported(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     sent = spark.createDataFrame([("k", '{"id": 99, "url": "u"}')], "key string, value string")
