@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storystream.functions.text import is_valid_payload, parse_iso, placeholder_url, strip
@@ -40,6 +40,14 @@ def split_payloads(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, rejected
 
 
+def split_late(messages: DataFrame, oldest: Column) -> tuple[DataFrame, DataFrame]:
+    """Messages in time, and the usable ones from before `oldest`; without a date a message is never late."""
+    payload = F.col("payload")
+    usable = payload.isNotNull() & is_valid_payload(payload["source"], payload["title"], payload["url"])
+    late = F.coalesce(usable & (parse_iso(payload["published_at"]) < oldest), F.lit(False))
+    return messages.filter(~late), messages.filter(late).select("arrival", "value", F.lit("late").alias("reason"))
+
+
 def first_url_wins(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """First arrival of each url that is not known yet.
 
@@ -83,11 +91,13 @@ def ingest_articles(
     sources: DataFrame,
     hours: int = WINDOW_HOURS,
     threshold: float = DUPLICATE_THRESHOLD,
+    known_urls: DataFrame | None = None,
 ) -> Ingested:
     """Articles, sources and rejects from messages in order of arrival.
 
     `messages` has arrival, value and payload. Title candidates are the
-    articles there are and those of these messages that arrived before.
+    articles there are and those of these messages that arrived before. Urls
+    are looked up in `known_urls`, which is all articles unless given.
     """
     valid, quarantine = split_payloads(messages)
     # What decides is decoded and written once; contents, by far the most of a message, are decoded, shuffled and
@@ -98,7 +108,7 @@ def ingest_articles(
         ),
         "heads",
     )
-    fresh = materialize(first_url_wins(heads, articles), "fresh")
+    fresh = materialize(first_url_wins(heads, articles if known_urls is None else known_urls), "fresh")
     repeated = heads.join(fresh.select("arrival"), "arrival", "left_anti").select("arrival", "url")
 
     new_sources = upsert_sources(sources, heads)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,8 @@ TABLES = {
     "stories": schema.STORIES,
     "story_articles": schema.STORY_ARTICLES,
     "summary_parts": schema.SUMMARY_PARTS,
+    # The newest date of each batch
+    "marks": T.StructType([T.StructField("newest", T.TimestampType())]),
 }
 
 
@@ -104,14 +107,32 @@ class Models:
     threshold: float = stories.STORY_THRESHOLD
 
 
-def ingest_batch(store: Store, batch: DataFrame, number: int) -> DataFrame:
-    """Write the batch's articles, sources and rejects; returns its processed messages."""
+def ingest_batch(store: Store, batch: DataFrame, number: int, retention_hours: int | None = None) -> DataFrame:
+    """Write the batch's articles, sources and rejects; returns its processed messages.
+
+    With `retention_hours`, urls are looked up only among articles of that many
+    hours before the newest one of earlier batches, so that a batch does not read
+    the urls of all history. Messages from before go into quarantine as late. A
+    copy of an older article that bears a new date is then an article of its own.
+    """
     decoded = messages.decode_raw(messages.with_arrival(batch))
-    found = ingest.ingest_articles(decoded, store.read("articles", number), store.read("sources", number))
+    articles = store.read("articles", number)
+    known, late = None, None
+    newest = None
+    if retention_hours is not None:
+        newest = store.read("marks", number).agg(F.max("newest")).first()[0]
+    if newest is not None:
+        oldest = F.lit(newest - timedelta(hours=retention_hours))
+        decoded, late = ingest.split_late(decoded, oldest)
+        undated = F.col("published_at").isNull() & (F.col("created_at") >= oldest)
+        known = articles.filter((F.col("published_at") >= oldest) | undated)
+    found = ingest.ingest_articles(decoded, articles, store.read("sources", number), known_urls=known)
+    quarantine = found.quarantine if late is None else found.quarantine.unionByName(late)
     articles = materialize(found.articles.select(*[f.name for f in schema.ARTICLES.fields]), "articles")
     store.write("articles", articles, number)
     store.write("sources", found.sources, number)
-    store.write("quarantine", found.quarantine.select("value", "reason"), number)
+    store.write("marks", articles.agg(F.max("published_at").alias("newest")), number)
+    store.write("quarantine", quarantine.select("value", "reason"), number)
     return messages.processed_messages(articles)
 
 
@@ -251,12 +272,13 @@ def start_ingest(
     format: str = "kafka",
     path: str | None = None,
     trigger: dict | None = None,
+    retention_hours: int | None = None,
     **options: str,
 ) -> StreamingQuery:
-    """Raw messages become articles; those that are no duplicate are sent on."""
+    """Raw messages become articles; those that are no duplicate are sent on. For `retention_hours` see `ingest_batch`."""
 
     def job(batch: DataFrame, number: int) -> None:
-        sent = ingest_batch(Store(batch.sparkSession, root), batch, number)
+        sent = ingest_batch(Store(batch.sparkSession, root), batch, number, retention_hours)
         messages.write_topic(sent, format, path, number, **options)
 
     return _start(stream, job, checkpoint, trigger or {"processingTime": "1 minute"})

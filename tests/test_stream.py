@@ -229,6 +229,38 @@ def test_kept_summaries_equal_those_of_all_members(spark, tmp_path):
     assert store.list_stories(offset=1000).count() == 0
 
 
+def _ingest(spark, folder, store, number, rows, retention):
+    """One batch of (url, date); gives the urls that became articles, and what went into quarantine."""
+    folder.mkdir(parents=True, exist_ok=True)
+    lines = [json.dumps({"source": "s", "title": f"Title {u} {d}", "url": u, "published_at": d and f"2024-01-{d}T00:00:00Z"})
+             for u, d in rows]
+    (folder / "part.txt").write_text("\n".join(lines))
+    batch = messages.read_topic(spark, "text", stream=False, path=str(folder))
+    ingest_batch(store, batch, number, retention)
+    added = [r.url for r in store.articles_by_batch().filter(F.col("batch") == number).collect()]
+    rejects = spark.read.parquet(f"{store.root}/quarantine").filter(F.col("batch") == number).collect()
+    return sorted(added), sorted((json.loads(r.value)["url"], r.reason) for r in rejects)
+
+
+def test_retention_bounds_the_urls_looked_up(spark, tmp_path):
+    first = [("a", "10"), ("b", "01"), ("u", None)]
+    # In time: a copy, the edge itself, a new url, one without date, and b under a new date; from before: d and b
+    second = [("a", "10"), ("e", "08"), ("c", "09"), ("n", None), ("u", None), ("b", "10"), ("d", "02"), ("b", "01")]
+    bounded, whole = Store(spark, str(tmp_path / "bounded")), Store(spark, str(tmp_path / "whole"))
+    for store, retention in ((bounded, 48), (whole, None)):
+        added, rejects = _ingest(spark, tmp_path / "first", store, 0, first, retention)
+        assert (added, rejects) == (["a", "b", "u"], [])
+    for _ in range(2):
+        added, rejects = _ingest(spark, tmp_path / "second", bounded, 1, second, 48)
+        assert (added, rejects) == (["b", "c", "e", "n"], [("b", "late"), ("d", "late")])
+    assert _ingest(spark, tmp_path / "second", whole, 1, second, None) == (["c", "d", "e", "n"], [])
+    ids = sorted(r.id for r in bounded.read("articles").collect())
+    assert ids == list(range(1, 8))
+    # A batch without dates leaves the newest date as it is
+    assert _ingest(spark, tmp_path / "third", bounded, 2, [("m", None)], 48) == (["m"], [])
+    assert _ingest(spark, tmp_path / "fourth", bounded, 3, [("f", "07"), ("c", "09")], 48) == ([], [("f", "late")])
+
+
 def test_missing_article_is_reported(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     sent = spark.createDataFrame([("k", '{"id": 99, "url": "u"}')], "key string, value string")
