@@ -235,20 +235,32 @@ FIRMNESS = (0.5, *(0.5 if aim == "aimed" else 0.05 for _, _, aim in KINDS))
 
 
 def _fit(rows: list[tuple[list[float], int]]) -> tuple[float, tuple[float, ...]]:
-    """Ridge logistic regression around the prior, by Newton steps."""
+    """Ridge logistic regression around the prior, by Newton steps that are halved until they gain."""
     start = np.array([-3.0, *PRIOR])
     if not rows:
         return start[0], tuple(start[1:])
     x = np.column_stack([np.ones(len(rows)), np.log1p(np.array([r[0] for r in rows]))])
     y = np.array([r[1] for r in rows], float)
-    w, ridge = start.copy(), np.array(FIRMNESS)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    ridge = np.array(FIRMNESS)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (ridge * (w - start) ** 2).sum())
+
+    w = start.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         gradient = x.T @ (p - y) + ridge * (w - start)
         curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(curve, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        # A whole step may lead far beyond the minimum, where the curve is flat and the next one leads back
+        before, descent, share = loss(w), float(gradient @ step), 1.0
+        while loss(w - share * step) > before - 1e-4 * share * descent and share > 1e-9:
+            share /= 2
+        if share <= 1e-9:
+            break
+        w -= share * step
+        if np.abs(share * step).max() < 1e-6:
             break
     return float(w[0]), tuple(map(float, w[1:]))
 
