@@ -65,8 +65,14 @@ def _guard(keyword: str) -> str:
 
 
 def keyword_pattern(keyword: str) -> str:
-    """Regular expression of one keyword as whole words, for `rlike` on lower-cased text."""
-    return f"{STARTS}(?:{_alternatives(keyword)}){ENDS}{_guard(keyword)}"
+    """Regular expression of one keyword as whole words, for `rlike` on lower-cased text.
+
+    The keyword's first word, which all forms start with, stands first as plain letters: the engine searches for it
+    as a string, and looks at the character before it only where it is found, not at every character of the text.
+    """
+    head = keyword.split(" ")[0]
+    starts = f"(?<!{WORD}{head})"
+    return f"{head}{starts}(?:{_alternatives(keyword, len(head))}){ENDS}{_guard(keyword)}"
 
 
 def taxonomy_pattern() -> str:

@@ -13,6 +13,10 @@ from storystream.functions.topics import (
     UNCATEGORIZED,
     classify_topic,
     keyword_forms,
+    ENDS,
+    STARTS,
+    _alternatives,
+    _guard,
     keyword_pattern,
     topic_hits,
 )
@@ -65,6 +69,21 @@ def test_every_form_matches_its_topic_alone(spark):
     assert df.filter(classify_topic(F.concat(F.lit("The "), "text", F.lit("."))) != F.col("expected")).count() == 0
 
 
+def test_keyword_patterns_search_a_word_first_and_match_whole_words_only(spark):
+    """A pattern that begins with a lookbehind is tried at every character, one that begins with letters is not."""
+    keywords = [k for ks in TAXONOMY.values() for k in ks]
+    assert all(keyword_pattern(k).startswith(k.split(" ")[0]) for k in keywords)
+    around = ["", " ", "x", "é", "7", "_", "-", "\n", "\U0001d4d0", "s", "hack"]
+    rows = [(b + f.replace(" ", "\t ") + a,) for k in keywords for f in keyword_forms(k) for b in around for a in (*around, " news")]
+    df = spark.createDataFrame(rows, "text string").cache()
+    for keyword in ["ai", "hack", "robot", "google pixel", "machine learning"]:
+        slow = f"{STARTS}(?:{_alternatives(keyword)}){ENDS}{_guard(keyword)}"
+        counts = df.agg(
+            F.count_if(F.col("text").rlike(slow)), F.count_if(F.col("text").rlike(slow) != F.col("text").rlike(keyword_pattern(keyword)))
+        ).first()
+        assert counts[0] > 0 and counts[1] == 0
+
+
 def test_combined_pattern_agrees_with_single_patterns(spark):
     words = sorted({w for ks in TAXONOMY.values() for k in ks for w in keyword_forms(k)}) + ["news", "of"]
     rows = [(" ".join(words[(i * 7 + j * j) % len(words)] for j in range(12)),) for i in range(150)]
