@@ -1,7 +1,9 @@
 """Range joins in time as tiles of bounded size.
 
-Catalyst has no range join, so both sides are cut into buckets as wide as the
-time window; a row only meets rows of its own and the neighbouring buckets.
+Catalyst has no range join, so both sides are cut into buckets at least as wide as
+the time window; a row only meets rows of its own and the neighbouring buckets.
+Where windows hold few rows a bucket covers several, because each tile has a
+fixed cost that would exceed its comparisons.
 A bucket with many rows is cut further into chunks, by a band that matching rows
 must share (such as length) where there is one and by a hash of the id, and every
 pair of chunks that can match becomes one tile. A tile therefore holds about
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 MICROS_PER_HOUR = 3_600_000_000
 TILE = ["bucket", "reach", "left_chunk", "right_chunk"]
+# A bucket is widened until the bucket of an average row holds about so many
+BUCKET_ROWS = 500
 PARTNERS = "id long, partner_id long, score double, partners long"
 
 
@@ -56,6 +60,18 @@ def _chunked(df: DataFrame, width: int, chunk_rows: int, band: Column) -> tuple[
     return rows.drop("band", "first", "last"), chunks
 
 
+def bucket_width(rows: DataFrame, hours: int) -> int:
+    """Microseconds of a bucket: the window times a whole number, 1 unless the rows (`t`) lie thinly.
+
+    The mean is over rows, so that a crowded time counts by its rows and keeps
+    buckets narrow; rows of one time cost more comparisons in a wide bucket.
+    """
+    width = hours * MICROS_PER_HOUR
+    sizes = rows.groupBy(F.floor(F.col("t") / F.lit(width)).alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    mean = sizes.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+    return width * max(1, int(BUCKET_ROWS / mean)) if mean else width
+
+
 def tiled(
     left: DataFrame,
     right: DataFrame,
@@ -64,6 +80,7 @@ def tiled(
     chunk_rows: int,
     band: Column | None = None,
     meets: int = 0,
+    widen: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides, each row once for every tile it takes part in.
 
@@ -71,8 +88,10 @@ def tiled(
     distances in buckets from a left row to the right rows it may match. With
     `band`, a whole number, rows may match only if their bands are at most `meets`
     apart: a crowded bucket is cut by band, and chunks too far apart share no tile.
+    Buckets are widened where `right` is thin, which takes a count of its rows;
+    without `widen` they are `hours` wide.
     """
-    width = hours * MICROS_PER_HOUR
+    width = bucket_width(right, hours) if widen else hours * MICROS_PER_HOUR
     band = F.lit(0) if band is None else band
     # New column identities, so that a table can be tiled against itself
     right = right.select(*[F.col(c).alias(c) for c in right.columns])

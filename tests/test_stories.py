@@ -4,6 +4,7 @@ import pytest
 from models import HOUR, check_best_earlier, cosine
 from storystream.operators import stories as st
 from storystream.operators.stories import assign_stories, best_partners, story_states, threshold_sweep, timed_units
+from storystream.operators.tiles import TILE, bucket_width, tiled
 
 
 def rows_of(seed, n, hours, centers=6, noise=0.6, dims=8):
@@ -125,3 +126,16 @@ def test_sweep(spark, hours):
         members = [r for r in got if r.threshold == threshold]
         assert len(members) == dated.count()
         check_stories(members, partners(dated, threshold=threshold, hours=hours))
+
+
+def test_thin_times_share_buckets_and_crowded_ones_do_not(spark):
+    """Tiles have a fixed cost: their number follows the rows, not the hours that the rows are spread over."""
+    thin = spark.range(3000).selectExpr("id", "id * 420000000L AS t")
+    crowded = spark.range(3000).selectExpr("id", "id * 1000000L AS t")
+    assert bucket_width(crowded, 1) == HOUR
+    assert bucket_width(thin.limit(0), 1) == HOUR
+    left, right = tiled(thin, thin, 1, [-1, 0, 1], 2000)
+    assert left.select(*TILE).distinct().count() < 30
+    near = left.alias("a").join(right.alias("b"), TILE).where("abs(a.t - b.t) <= 3600000000L")
+    pairs = near.select("a.id", "b.id").collect()
+    assert len(pairs) == len(set(pairs)) == sum(1 for i in range(3000) for j in range(max(0, i - 8), min(3000, i + 9)))
