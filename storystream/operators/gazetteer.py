@@ -38,12 +38,14 @@ def runs(texts: DataFrame, entities: DataFrame) -> DataFrame:
         )
     firsts = names.select(F.substring_index("gram", " ", 1).alias("first")).distinct()
     words = texts.select(F.col("id").alias("article_id"), words_of(F.col("text")).alias("words"))
-    windows = F.transform("words", lambda word, i: F.struct(word.alias("first"), F.slice("words", i + 1, lengths[-1]).alias("run")))
-    starts = words.select("article_id", F.posexplode(windows).alias("start", "at")).select("article_id", "start", "at.*")
-    some = starts.join(firsts, "first", "left_semi")
-    grams = some.withColumn("n", F.explode(F.array(*(F.lit(n) for n in lengths)))).where("size(run) >= n").select(
-        "article_id", "start", "n", F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("gram")
-    )
+    # Every word of every text is shuffled once, so its row is no more than the run as one string: words hold no blank,
+    # and the first one, the key, is read from it
+    windows = F.transform("words", lambda word, i: F.array_join(F.slice("words", i + 1, lengths[-1]), " "))
+    starts = words.select("article_id", F.posexplode(windows).alias("start", "run"))
+    some = starts.join(firsts, F.substring_index("run", " ", 1) == F.col("first"), "left_semi")
+    grams = some.withColumn("n", F.explode(F.array(*(F.lit(n) for n in lengths)))).where(
+        "size(split(run, ' ')) >= n"
+    ).select("article_id", "start", "n", F.expr("substring_index(run, ' ', n)").alias("gram"))
     return grams.join(names, ["gram", "n"]).select("article_id", "start", "n", "entity")
 
 

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from storystream.operators import gazetteer
 from storystream.operators.gazetteer import gazetteer_mentions
 
 WORD = re.compile(r"\w+")
@@ -61,3 +62,18 @@ def test_enrichment_uses_the_table(spark):
     found = mentions(articles, gazetteer=names).select("article_id", "position", "name", "type")
     assert [tuple(r) for r in found.collect()] == [(1, 1, "ACME corp", "ORG")]
     assert found.where(F.col("name").isNull()).count() == 0
+
+
+def test_a_word_is_shuffled_as_its_run_in_one_string(spark):
+    texts = spark.createDataFrame([(1, "ada lovelace met ada")], "id long, text string")
+    entities = spark.createDataFrame([(1, "Ada Lovelace", "NAME"), (2, "Ada", "NAME")], "id long, name string, type string")
+    found = gazetteer.runs(texts, entities)
+    assert sorted((r.start, r.n) for r in found.collect()) == [(0, 1), (0, 2), (3, 1)]
+    todo, types = [found._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join" and node.joinType().toString() == "LeftSemi":
+            rows = node.children().apply(0).output()
+            types.append(sorted(rows.apply(i).dataType().simpleString() for i in range(rows.size())))
+    assert types == [["bigint", "int", "string"]]
