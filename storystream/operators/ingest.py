@@ -31,11 +31,12 @@ class Ingested:
 def split_payloads(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable payloads, and the rest with a reason; `messages` has arrival, value, payload."""
     payload = F.col("payload")
-    complete = is_valid_payload(payload["source"], payload["title"], payload["url"])
-    readable = payload.isNotNull()
-    valid = messages.filter(readable & complete).select("arrival", "payload.*")
-    rejected = messages.filter(~readable | ~complete).select(
-        "arrival", "value", F.when(readable, "missing field").otherwise("unreadable").alias("reason")
+    # A filter moves below the decoding and repeats it for every use of the payload, so each uses it once
+    of_payload = lambda test: F.transform(F.array(payload), test)[0]
+    complete = lambda p: is_valid_payload(p["source"], p["title"], p["url"])
+    valid = messages.filter(of_payload(lambda p: p.isNotNull() & complete(p))).select("arrival", "payload.*")
+    rejected = messages.filter(of_payload(lambda p: p.isNull() | ~complete(p))).select(
+        "arrival", "value", F.when(payload.isNotNull(), "missing field").otherwise("unreadable").alias("reason")
     )
     return valid, rejected
 

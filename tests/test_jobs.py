@@ -43,6 +43,14 @@ def test_unreadable_messages(spark):
     assert reasons == {0: "missing field", 1: "unreadable", 2: "unreadable", 4: "missing field"}
 
 
+def test_a_filter_decodes_a_message_once(spark):
+    sent = spark.range(3).selectExpr("id AS arrival", "concat('{', id) AS value")
+    for side in ingest.split_payloads(messages.decode_raw(sent)):
+        plan = side._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        filters = [line.count("from_json(") for line in plan if "Filter" in line]
+        assert filters and max(filters) <= 1
+
+
 def test_link_entities(spark):
     found = spark.createDataFrame(
         [(1, 0, "NASA", "ORG"), (1, 1, "nasa", "ORG"), (2, 0, "Nasa", "ORG"), (2, 1, "NASA", "GPE"), (3, 0, "Mars", "LOC")],
