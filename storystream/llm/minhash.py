@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from storystream.llm.batches import map_slices
 from storystream.llm.links import components
+from storystream.llm.sieve import passed, sieve
 from storystream.session import materialize
 
 SHINGLE_WORDS = 5
@@ -271,9 +272,11 @@ def marked_rows(
         .distinct()
     )
     wanted = shared.groupBy("first_id").agg(F.lit(1).alias("_"))
+    # Texts that no band shares are not shuffled
+    near, _ = passed(rows, sieve(wanted.select("first_id"), "wanted"), F.col("doc_id").cast("bigint"))
     sets = materialize(
         map_slices(
-            rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("first_id"), "left_semi").select("text"),
+            near.join(wanted.hint("merge"), F.col("doc_id") == F.col("first_id"), "left_semi").select("text"),
             _sets(width), "key binary, elements binary",
         ).dropDuplicates(["key"]),
         "sets",
@@ -363,11 +366,12 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     def same(rows: DataFrame):
         return (F.col("_id") == rows["doc_id"]) & (F.col("_hash") == rows["text_hash"])
 
-    # Texts are shuffled once, against all that is not simply kept; rows that repeat are few
+    # Only texts that may go or repeat are shuffled
     other = gone.union(repeated)
-    once = hashed.join(other, same(other), "left_anti").select("_row.*")
+    met, kept = passed(hashed, sieve(other, "other"), F.col("_id").cast("bigint"), "_hash")
+    once = met.join(other, same(other), "left_anti").select("_row.*").unionByName(kept.select("_row.*"))
     again = (
-        hashed.join(repeated, same(repeated), "left_semi")
+        met.join(repeated, same(repeated), "left_semi")
         .join(gone, same(gone), "left_anti")
         .groupBy("_id", F.col("_row.text").alias("_text"))
         .agg(F.first("_row").alias("_row"))
